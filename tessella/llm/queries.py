@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, url_filter
+from . import language_id, quality, secret_scan, url_filter
 
 #: Sites that the URL filter blocks where no rule fits.
 LISTED_SITES = (
@@ -39,7 +39,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n.values(), F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op6_secret_scan)}
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op5_url_filter, op6_secret_scan, op8_language_id)}
 
 _IN = ", ".join(f"'{x}'" for x in LISTED_SITES)
 ORACLES = {
