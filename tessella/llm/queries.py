@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality, secret_scan, token_output, url_filter
+from . import decontaminate, language_id, packing, quality, secret_scan, token_output, url_filter
 
 #: Sites that the URL filter blocks where no rule fits.
 LISTED_SITES = (
@@ -58,11 +58,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), capacity=PACK_CAPACITY)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", capacity=PACK_CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op8_language_id, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output)}
 
 _IN = ", ".join(f"'{x}'" for x in LISTED_SITES)
 ORACLES = {
