@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, quality, secret_scan, token_output, url_filter
+from . import decontaminate, language_id, near_dedup, packing, quality, secret_scan, token_output, url_filter
 
 #: Sites that the URL filter blocks where no rule fits.
 LISTED_SITES = (
@@ -49,6 +49,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 #: The folder of public vocabulary files.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PACK_CAPACITY = 2048
@@ -66,7 +70,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", capacity=PACK_CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_minhash_near_dedup, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output)}
 
 _IN = ", ".join(f"'{x}'" for x in LISTED_SITES)
 ORACLES = {
