@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops
 from .components import connected_components
-from .shared import materialize, release_shuffles
+from .shared import IdFilter, materialize, release_shuffles
 
 TREES = 16
 DEPTH = 8
@@ -26,9 +26,6 @@ MIN_DEPTH = 4
 NEIGHBOURS = 4
 #: Standard deviations by which a signature's estimate may fall short of the threshold.
 SLACK = 5.0
-#: Bits of the filter that keeps rows without a candidate out of the confirmation; beyond its capacity all rows pass.
-FILTER_BITS = 1 << 23
-
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -139,24 +136,13 @@ def estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(count, "a long, b long, same int")
 
 
-def _bit(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-
-
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = ends.select(_bit(F.col("id")).alias("p")).select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("m"))
-    table = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[table["w"].to_numpy()] = table["m"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    near = IdFilter(ends).split(docs.select("id", "text"), "id")
 
     def sets_of(batches):
-        known = shared.value
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            batch = batch.filter(pa.array(((known[p // 64] >> (p % 64)) & 1).astype(bool)))
             for rows, data, offsets in bytesops.runs(batch):
                 sets, sizes = shingle_sets(data, offsets, width)
                 cut = np.concatenate(([0], np.cumsum(sizes)))
@@ -164,7 +150,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(raw, pa.binary())], ["id", "s"])
 
     # rows that share an id share it with equal sets or not at all: one of them stands for the class
-    found = docs.select("id", "text", _bit(F.col("id")).alias("p")).mapInArrow(sets_of, "id long, s binary")
+    found = near.mapInArrow(sets_of, "id long, s binary")
     found = found.join(ends, "id")
 
     def judge(batches):

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, packing, quality, secret_scan, token_output, url_filter
+from . import decontaminate, language_id, near_dedup, packing, quality, secret_scan, substring_dedup, token_output, url_filter
 
 #: Sites that the URL filter blocks where no rule fits.
 LISTED_SITES = (
@@ -70,7 +70,11 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", capacity=PACK_CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_minhash_near_dedup, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_minhash_near_dedup, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output, op10_suffix_dedup)}
 
 _IN = ", ".join(f"'{x}'" for x in LISTED_SITES)
 ORACLES = {

@@ -55,3 +55,46 @@ def release_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Bits of an IdFilter: 1 MB, whatever the corpus; beyond its capacity everything passes.
+FILTER_BITS = 1 << 23
+
+
+class IdFilter:
+    """A one-hash Bloom filter of ids, of fixed size, that saves rows without a partner the way through a shuffle.
+
+    It never rejects an id that was put in; the join behind it stays exact.
+    """
+
+    def __init__(self, ids: DataFrame):
+        import numpy as np
+
+        (name,) = ids.columns
+        at = ids.select(self._slot(F.col(name)).alias("p"))
+        words = at.select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("m"))
+        table = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+        bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+        bits[table["w"].to_numpy()] = table["m"].to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def _slot(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    def split(self, docs: DataFrame, id_col: str, accepted: bool = True) -> DataFrame:
+        """The rows of docs whose id the filter accepts, or the others."""
+        import numpy as np
+        import pyarrow as pa
+
+        shared, names, schema = self.shared, docs.columns, docs.schema
+
+        def work(batches):
+            bits = shared.value
+            for b in batches:
+                p = b.column(len(names)).to_numpy(zero_copy_only=False)
+                hit = ((bits[p // 64] >> (p % 64)) & 1).astype(bool)
+                b = b.filter(pa.array(hit if accepted else ~hit))
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))], names)
+
+        return docs.select("*", self._slot(F.col(id_col)).alias("__slot")).mapInArrow(work, schema)
