@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops
 from .components import connected_components
-from .shared import IdFilter, materialize, release_shuffles
+from .shared import IdFilter, materialize, release_shuffles, without
 
 TREES = 16
 DEPTH = 8
@@ -139,7 +139,7 @@ def estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    near = IdFilter(ends).split(docs.select("id", "text"), "id")
+    near, _ = IdFilter(ends).split(docs.select("id", "text"), "id")
 
     def sets_of(batches):
         for batch in batches:
@@ -206,4 +206,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that stand for their component; a row whose id is repeated stays with every repeat."""
     gone = near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return without(docs, materialize(gone, "near-gone"), id_col)

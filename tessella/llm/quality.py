@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops
@@ -183,6 +183,17 @@ def fit(train: DataFrame, *, features: int = 192, ridge: float = 1.0, width: flo
     return QualityModel(mean, model.scale, weights, shift, coef, ((knots[0] + 0.5) * BIN, knots[1]))
 
 
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, folds: int, held_out_fold: int, **options) -> tuple[QualityModel, DataFrame]:
+    """(model, statistics of all rows). See classify()."""
+    stats = materialize(with_statistics(docs, id_col, text_col), "quality-statistics")
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).cast("double").alias("y"))
+    return fit(stats.where(~_held(F.col("id"), folds, held_out_fold)).join(known, "id"), **options), stats
+
+
+def _held(id_: Column, folds: int, held_out_fold: int) -> Column:
+    return F.coalesce(id_hash(id_, folds) == held_out_fold, F.lit(False))
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out_fold: int = 1, **options
 ) -> DataFrame:
@@ -192,10 +203,7 @@ def classify(
     scored like one; null labels teach nothing, and of several labels of an id the mean counts; a null id is never
     held out, has no label and is scored. Without any label every score is 0.5. Extra columns are ignored.
     """
-    stats = materialize(with_statistics(docs, id_col, text_col), "quality-statistics")
-    held = F.coalesce(id_hash(F.col("id"), folds) == held_out_fold, F.lit(False))
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).cast("double").alias("y"))
-    model = fit(stats.where(~held).join(known, "id"), **options)
+    model, stats = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, held_out_fold=held_out_fold, **options)
 
     def score(batches):
         for b in batches:
@@ -204,4 +212,20 @@ def classify(
 
     id_type = dict(docs.dtypes)[id_col]
     scored = stats.mapInArrow(score, f"id {id_type}, score double")
-    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select(
+        F.col("id").alias(id_col), _held(F.col("id"), folds, held_out_fold).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out_fold: int = 1, **options
+) -> DataFrame:
+    """The rows of docs that classify() predicts as 1, with all their columns; they are judged where they stand."""
+    model, _ = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, held_out_fold=held_out_fold, **options)
+
+    def keep(batches):
+        for b in batches:
+            for rows, data, offsets in bytesops.runs(b, text_col):
+                yield rows.filter(pa.array(model.score(statistics(data, offsets).astype(np.float32).astype(float)) >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -64,37 +64,37 @@ FILTER_BITS = 1 << 23
 class IdFilter:
     """A one-hash Bloom filter of ids, of fixed size, that saves rows without a partner the way through a shuffle.
 
-    It never rejects an id that was put in; the join behind it stays exact.
+    It never rejects an id that was put in; the join behind it stays exact. It reaches the rows as a scalar subquery.
     """
 
     def __init__(self, ids: DataFrame):
-        import numpy as np
-
         (name,) = ids.columns
-        at = ids.select(self._slot(F.col(name)).alias("p"))
-        words = at.select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("m"))
-        table = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-        bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-        bits[table["w"].to_numpy()] = table["m"].to_numpy()
-        self.shared = ids.sparkSession.sparkContext.broadcast(bits)
+        spark = ids.sparkSession
+        at = ids.where(F.col(name).isNotNull()).select(self._slot(F.col(name)).alias("p"))
+        some = at.select(F.call_function("shiftright", "p", F.lit(6)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("m"))
+        some = some.groupBy("w").agg(F.bit_or("m").alias("m"))
+        none = spark.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("m"))
+        words = some.unionByName(none).groupBy("w").agg(F.bit_or("m").alias("m"))
+        one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("words"))
+        self.words = materialize(one, "id-filter")
 
     @staticmethod
     def _slot(c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
-    def split(self, docs: DataFrame, id_col: str, accepted: bool = True) -> DataFrame:
-        """The rows of docs whose id the filter accepts, or the others."""
-        import numpy as np
-        import pyarrow as pa
+    def accepts(self, id_: Column) -> Column:
+        slot = self._slot(id_)
+        word = F.get(self.words.scalar(), F.call_function("shiftright", slot, F.lit(6)).cast("int"))
+        bit = F.call_function("shiftright", word, (slot % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+        return F.coalesce(id_.isNotNull() & (bit == 1), F.lit(False))
 
-        shared, names, schema = self.shared, docs.columns, docs.schema
+    def split(self, docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+        """(rows whose id the filter accepts, the others)."""
+        hit = self.accepts(F.col(id_col))
+        return docs.where(hit), docs.where(~hit)
 
-        def work(batches):
-            bits = shared.value
-            for b in batches:
-                p = b.column(len(names)).to_numpy(zero_copy_only=False)
-                hit = ((bits[p // 64] >> (p % 64)) & 1).astype(bool)
-                b = b.filter(pa.array(hit if accepted else ~hit))
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))], names)
 
-        return docs.select("*", self._slot(F.col(id_col)).alias("__slot")).mapInArrow(work, schema)
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in gone (one column id_col); only rows that the filter accepts are shuffled."""
+    maybe, rest = IdFilter(gone).split(docs, id_col)
+    return rest.unionByName(maybe.join(gone, id_col, "left_anti").select(docs.columns))

@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = hot.join(copies, "id", "left_anti")
     hot = materialize(hot.groupBy("id").agg(F.collect_list("hashes").alias("hashes")), "repeat-hashes")
     release_shuffles(spark)
-    near = IdFilter(hot.select("id")).split(rows.select("id", "text"), "id")
+    near, _ = IdFilter(hot.select("id")).split(rows.select("id", "text"), "id")
     spans = materialize(_spans(near.join(hot, "id").select("id", "text", "hashes"), shards), "repeat-spans")
     release_shuffles(spark)
     whole = np.array([0, np.iinfo(np.int32).max], np.int32).tobytes()
@@ -328,9 +328,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spans = materialize(repeated_spans(rows), "repeat-united")
-    known = IdFilter(spans.select("id"))
-    touched = known.split(rows, "id").join(spans, "id", "left")
-    clean = known.split(rows, "id", accepted=False).withColumn("spans", F.lit(None).cast("array<binary>"))
+    touched, clean = IdFilter(spans.select("id")).split(rows, "id")
+    touched = touched.join(spans, "id", "left")
+    clean = clean.withColumn("spans", F.lit(None).cast("array<binary>"))
 
     def cut(batches):
         for b in batches:
