@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, packing, quality, secret_scan, substring_dedup, token_output, url_filter
+from . import decontaminate, language_id, near_dedup, packing, quality, secret_scan, substring_dedup, token_output, topk_search, url_filter
 
 #: Sites that the URL filter blocks where no rule fits.
 LISTED_SITES = (
@@ -41,6 +41,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n.values(), F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query, with its whole text, against all documents."""
+    return topk_search.top_k(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -74,7 +79,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_minhash_near_dedup, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_classifier, op3_minhash_near_dedup, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output, op10_suffix_dedup)}
 
 _IN = ", ".join(f"'{x}'" for x in LISTED_SITES)
 ORACLES = {
