@@ -1,4 +1,4 @@
 """Query plans: registered queries over the test tables, and the session builder."""
 
-from . import graphs, search  # noqa: F401
+from . import evaluation, graphs, requests, search  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
