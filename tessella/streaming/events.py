@@ -44,24 +44,33 @@ STATE = "n bigint, last_type string, last_seen timestamp"
 SESSION_OUT = "user_id bigint, n bigint, last_type string, last_seen timestamp"
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, last, seen = state.get if state.exists else (0, "", pd.Timestamp(0))
-    for b in batches:
-        b = b.sort_values(["ts", "event_id"])
-        n += len(b)
-        if len(b) and b["ts"].iloc[-1] >= seen:
-            last, seen = b["event_type"].iloc[-1], b["ts"].iloc[-1]
-    if state.hasTimedOut:
-        state.remove()
-    else:
-        state.update((int(n), last, seen))
-        state.setTimeoutDuration(6 * 3600 * 1000)
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_type": [last], "last_seen": [seen]})
-
-
-def session_state(events: DataFrame) -> DataFrame:
-    """The state of each user after every batch: events so far, the last type, when it was seen. Idle state expires."""
-    return events.select("event_id", "ts", "user_id", "event_type").groupBy("user_id").applyInPandasWithState(_fold, SESSION_OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def _folder(timeout: bool):
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last, seen = state.get if state.exists else (0, "", pd.Timestamp(0))
+        for b in batches:
+            b = b.sort_values(["ts", "event_id"])
+            n += len(b)
+            if len(b) and b["ts"].iloc[-1] >= seen:
+                last, seen = b["event_type"].iloc[-1], b["ts"].iloc[-1]
+        if timeout and state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((int(n), last, seen))
+            if timeout:
+                state.setTimeoutDuration(6 * 3600 * 1000)
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_type": [last], "last_seen": [seen]})
+
+    return fold
+
+
+def session_state(events: DataFrame, *, expire: bool = True) -> DataFrame:
+    """The state of each user after every batch: events so far, the last type, when it was seen.
+
+    State that is idle for six hours expires; a stream that ends with its input needs expire=False, as a timeout by
+    the clock keeps it waiting.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    return events.select("event_id", "ts", "user_id", "event_type").groupBy("user_id").applyInPandasWithState(_folder(expire), SESSION_OUT, STATE, "update", timeout)
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -20,7 +20,7 @@ def test_windows_of_a_stream_equal_the_batch(spark, sf_dir, stream):
 
 
 def test_state_counts_every_event(spark, sf_dir, stream):
-    got = EV.run_to_memory(EV.session_state(stream), "s" + uuid.uuid4().hex, "update")
+    got = EV.run_to_memory(EV.session_state(stream, expire=False), "s" + uuid.uuid4().hex, "update")
     want = {r["user_id"]: r["n"] for r in read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).collect()}
     assert {r["user_id"]: r["n"] for r in got.collect()} == want
 
