@@ -73,6 +73,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * inverse[start]
 
 
+def span_hash_all(prefix: np.ndarray, width: int) -> np.ndarray:
+    """span_hash() of every span of the width."""
+    n = len(prefix) - width
+    _, inverse = _tables(len(prefix))
+    return (prefix[width:] - prefix[:n]) * inverse[:n]
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -25,6 +25,8 @@ LENGTH = 50
 GRAM = 20
 #: Windows of one segment at most: a text of one repeated byte is cut.
 SEGMENT_WINDOWS = 4096
+#: Windows that are hashed at a time.
+PIECE = 1 << 16
 #: Bytes of distinct segments that one suffix array covers; a hash with more is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -42,9 +44,13 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none.astype(np.uint64)
-    prefix = bytesops.prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    least = window_minimum(bytesops.mix(bytesops.span_hash(prefix, at, at + gram)), length - gram + 1)
+    least = np.empty(len(data) - length + 1, np.uint64)
+    for a in range(0, len(least), PIECE):
+        # piece by piece: hashes of a long text never stand in memory together
+        b = min(a + PIECE, len(least))
+        piece = data[a : b + length - 1]
+        prefix = bytesops.prefix_hash(piece)
+        least[a:b] = window_minimum(bytesops.mix(bytesops.span_hash_all(prefix, gram)), length - gram + 1)
     size = np.diff(offsets)
     long_ = size >= length
     edge = np.zeros(len(data) + 1, dtype=np.int8)
@@ -147,7 +153,7 @@ def _shared_hashes(docs: DataFrame, shards: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for rows, data, offsets in bytesops.runs(batch, run_bytes=2 << 20):
+            for rows, data, offsets in bytesops.runs(batch):
                 doc, _, _, h = segments(data, offsets)
                 # once per text
                 order = np.lexsort((h, doc))
@@ -197,7 +203,7 @@ def _spans(docs: DataFrame, shards: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for rows, data, offsets in bytesops.runs(batch, run_bytes=2 << 20):
+            for rows, data, offsets in bytesops.runs(batch):
                 doc, start, windows, h = segments(data, offsets)
                 mine = []
                 for i, lists in enumerate(rows.column("hashes").to_pylist()):
