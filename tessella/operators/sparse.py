@@ -46,17 +46,21 @@ def average_length(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.avg("dl").alias("avgdl"))
 
 
-def tfidf_weights(post: DataFrame, vocab: DataFrame) -> DataFrame:
+def _asked(vocab: DataFrame, only: DataFrame | None) -> DataFrame:
+    """The vocabulary, or its terms that are asked for: lengths and counts stay those of all terms."""
+    return vocab if only is None else vocab.join(only.select("term").distinct(), "term", "left_semi")
+
+
+def tfidf_weights(post: DataFrame, vocab: DataFrame, *, only: DataFrame | None = None) -> DataFrame:
     """(doc, term, weight): tf over the document's tokens in the vocabulary, times idf."""
-    kept = post.join(vocab.select("term", "idf"), "term")
-    total = F.sum("tf").over(Window.partitionBy("doc"))
-    return kept.select("doc", "term", (F.col("tf") / total * F.col("idf")).alias("weight"))
+    kept = post.join(_asked(vocab, only).select("term", "idf"), "term").join(document_length(post, vocab), "doc")
+    return kept.select("doc", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("weight"))
 
 
-def bm25_weights(post: DataFrame, vocab: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_weights(post: DataFrame, vocab: DataFrame, *, k1: float = K1, b: float = B, only: DataFrame | None = None) -> DataFrame:
     """(doc, term, weight) with weight > 0."""
     lengths = document_length(post, vocab)
-    rows = post.join(vocab.select("term", "idf"), "term").join(lengths, "doc").crossJoin(F.broadcast(average_length(lengths)))
+    rows = post.join(_asked(vocab, only).select("term", "idf"), "term").join(lengths, "doc").crossJoin(F.broadcast(average_length(lengths)))
     tf = F.col("tf").cast("double")
     weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return rows.select("doc", "term", weight.alias("weight")).where("weight > 0")

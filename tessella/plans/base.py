@@ -86,12 +86,14 @@ def ranked_sql(source: str, k: int, item: str = "doc") -> str:
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = doc_postings(spark, sf_dir)
-    return sparse.scores(sparse.bm25_weights(post, sparse.vocabulary(post)), benchmark_terms(spark, sf_dir))
+    terms = benchmark_terms(spark, sf_dir)
+    return sparse.scores(sparse.bm25_weights(post, sparse.vocabulary(post), only=terms), terms)
 
 
 def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = doc_postings(spark, sf_dir)
-    return sparse.scores(sparse.tfidf_weights(post, sparse.vocabulary(post, method="tfidf")), benchmark_terms(spark, sf_dir))
+    terms = benchmark_terms(spark, sf_dir)
+    return sparse.scores(sparse.tfidf_weights(post, sparse.vocabulary(post, method="tfidf"), only=terms), terms)
 
 
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
