@@ -77,11 +77,13 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 
 
 def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    """(order, rank of each key among the different ones, from 1)."""
+    order = np.argsort(keys)
     sorted_ = keys[order]
-    step = np.concatenate(([0], (sorted_[1:] != sorted_[:-1]).astype(np.int64)))
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
     rank = np.empty(len(keys), dtype=np.int64)
-    rank[order] = np.cumsum(step)
+    rank[order] = np.cumsum(new, dtype=np.int32)
     return order, rank
 
 
@@ -96,33 +98,37 @@ def equal_windows(x: np.ndarray, length: int = LENGTH) -> np.ndarray:
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : n + i]
     order, rank = _dense(key)
-    first = rank
-    depth = 8
+    start, depth, first = 8, 8, rank
     while depth < length:
+        # the deepest intervals so far, from which the expansion starts
+        start, first = depth, rank
         follow = np.zeros(n, np.int64)
-        follow[: max(n - depth, 0)] = rank[depth:] + 1
+        follow[: max(n - depth, 0)] = rank[depth:]
         order, rank = _dense((rank << 32) | follow)
         depth *= 2
-    position = np.empty(n + 1, dtype=np.int64)  # of each suffix in the order; the empty suffix stands last
-    position[order] = np.arange(n)
+    position = np.empty(n + 1, dtype=np.int32)  # of each suffix in the order; the empty suffix stands last
+    position[order] = np.arange(n, dtype=np.int32)
     position[n] = n
-    successor = np.concatenate((position[order + 1], [n]))  # where each suffix without its first byte stands
-    # intervals of common prefix 8, then one more byte at a time: two neighbours stay together while their successors do
+    successor = position[np.concatenate((order + 1, [n]))]  # where each suffix without its first byte stands
+    # from intervals of that common prefix, one more byte at a time: neighbours stay together while their successors do
+    known = first[order]
     bound = np.ones(n + 1, dtype=bool)
-    bound[1:n] = first[order[1:]] != first[order[:-1]]
+    bound[1:n] = known[1:] != known[:-1]
     open_ = np.flatnonzero(~bound)
-    for _ in range(8, length):
+    here, before = successor[open_], successor[open_ - 1]
+    for _ in range(start, length):
         if not len(open_):
             break
-        interval = np.cumsum(bound)
-        apart = interval[successor[open_]] != interval[successor[open_ - 1]]
+        interval = np.cumsum(bound, dtype=np.int32)
+        apart = interval[here] != interval[before]
         bound[open_[apart]] = True
-        open_ = open_[~apart]
-    return np.cumsum(bound)[position[:n]]
+        together = ~apart
+        open_, here, before = open_[together], here[together], before[together]
+    return np.cumsum(bound, dtype=np.int32)[position[:n]]
 
 
-def flag_windows(block: list[bytes], owner: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For distinct segments and occurrences (owner: segment number, id): per segment the least id of each window."""
+def flag_windows(block: list[bytes], owner: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct segments and occurrences (owner: segment number, id): the least id of each window, segment by segment, and the windows of each."""
     least = np.full(len(block), np.iinfo(np.int64).max)
     np.minimum.at(least, owner, ids)
     x = np.frombuffer(b"".join(block), dtype=np.uint8)
@@ -134,7 +140,7 @@ def flag_windows(block: list[bytes], owner: np.ndarray, ids: np.ndarray, length:
     of = np.repeat(np.arange(len(block)), windows)
     low = np.full(group.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, group, least[of])
-    return np.split(low[group], np.cumsum(windows)[:-1])
+    return low[group], windows
 
 
 def _deal(shards: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,10 +269,9 @@ def _spans(docs: DataFrame, shards: int) -> DataFrame:
             b = max(int(np.searchsorted(filled, (filled[a - 1] if a else 0) + BLOCK_BYTES)), a + 1)
             b = int(np.searchsorted(h, h[b - 1], side="right"))
             lo, hi = np.searchsorted(owner, [a, b])
-            least = flag_windows(names[a:b], owner[lo:hi] - a, id_[lo:hi])
+            flat, count = flag_windows(names[a:b], owner[lo:hi] - a, id_[lo:hi])
             # windows of each occurrence, at most a segment's worth at a time
-            count = np.array([len(x) for x in least])
-            flat, begin = np.concatenate(least), np.cumsum(count) - count
+            begin = np.cumsum(count) - count
             for c in range(lo, hi, 20_000):
                 o = owner[c : min(c + 20_000, hi)] - a
                 n = count[o]
