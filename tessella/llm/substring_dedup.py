@@ -154,6 +154,38 @@ def _binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+BUCKETS = "bucket int, ids binary, values binary"
+
+
+def _to_buckets(ids: np.ndarray, values: np.ndarray, shards: int):
+    """Values of 8 bytes for ids, one row per bucket of ids: a task's rows do not grow with the texts it knows of."""
+    order, cut = _deal(shards, bytesops.mix(ids.astype(np.uint64)))
+    some = np.flatnonzero(np.diff(cut))
+    parts = [order[cut[i] : cut[i + 1]] for i in some]
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _binary([ids[x].tobytes() for x in parts]), _binary([values[x].tobytes() for x in parts])], ["bucket", "ids", "values"])
+
+
+def _by_id(rows: DataFrame, shards: int) -> DataFrame:
+    """(id, values): all values of each id."""
+
+    def gather(batches):
+        ids, values = [], []
+        for b in batches:
+            ids += [np.frombuffer(x.as_py(), np.int64) for x in b.column("ids")]
+            values += [np.frombuffer(x.as_py(), np.uint64) for x in b.column("values")]
+        if not ids:
+            return
+        id_, v = np.concatenate(ids), np.concatenate(values)
+        order = np.argsort(id_, kind="stable")
+        id_, v = id_[order], v[order]
+        cut = np.flatnonzero(np.concatenate(([True], id_[1:] != id_[:-1], [True])))
+        for at in range(0, len(cut) - 1, 1024):
+            c = cut[at : at + 1025]
+            yield pa.RecordBatch.from_arrays([pa.array(id_[c[:-1]]), _binary([v[x:y].tobytes() for x, y in zip(c, c[1:], strict=False)])], ["id", "values"])
+
+    return rows.repartition(shards, "bucket").mapInArrow(gather, "id long, values binary")
+
+
 def _shared_hashes(docs: DataFrame, shards: int) -> DataFrame:
     """(id, hashes): the document's segment hashes that another text has too."""
 
@@ -191,17 +223,10 @@ def _shared_hashes(docs: DataFrame, shards: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         several = np.minimum.reduceat(content, begin) != np.maximum.reduceat(content, begin)
         hot = np.repeat(several, np.diff(np.concatenate((begin, [len(h)]))))
-        h, ids = h[hot], ids[hot]
-        order = np.argsort(ids, kind="stable")
-        h, ids = h[order], ids[order]
-        begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-        cut = np.concatenate((begin, [len(ids)]))
-        for at in range(0, len(begin), 4096):
-            some = range(at, min(at + 4096, len(begin)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[begin[at : at + 4096]]), _binary([h[cut[i] : cut[i + 1]].tobytes() for i in some])], ["id", "hashes"])
+        yield from _to_buckets(ids[hot], h[hot], shards)
 
     sent = docs.mapInArrow(send, "shard int, h binary, ids binary, content binary, n binary")
-    return sent.repartition(shards, "shard").mapInArrow(meet, "id long, hashes binary")
+    return _by_id(sent.repartition(shards, "shard").mapInArrow(meet, BUCKETS), shards).withColumnRenamed("values", "hashes")
 
 
 def _spans(docs: DataFrame, shards: int) -> DataFrame:
@@ -212,10 +237,9 @@ def _spans(docs: DataFrame, shards: int) -> DataFrame:
             for rows, data, offsets in bytesops.runs(batch):
                 doc, start, windows, h = segments(data, offsets)
                 mine = []
-                for i, lists in enumerate(rows.column("hashes").to_pylist()):
+                for i, wanted in enumerate(rows.column("hashes")):
                     a, b = np.searchsorted(doc, [i, i + 1])
-                    wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in lists])
-                    mine.append(a + np.flatnonzero(np.isin(h[a:b], wanted)))
+                    mine.append(a + np.flatnonzero(np.isin(h[a:b], np.frombuffer(wanted.as_buffer(), np.uint64))))
                 mine = np.concatenate(mine)
                 doc, start, windows, h = doc[mine], start[mine], windows[mine], h[mine]
                 ids = rows.column("id").to_numpy()
@@ -285,16 +309,10 @@ def _spans(docs: DataFrame, shards: int) -> DataFrame:
                 found.append((id_[c + which[p]], (s + step[p]).astype(np.int32), (s + step[q] + LENGTH).astype(np.int32)))
             a = b
         id_, s, e = (np.concatenate([f[k] for f in found]) for k in range(3))
-        order = np.lexsort((s, id_))
-        id_, pair = id_[order], np.stack((s[order], e[order]), axis=1)
-        begin = np.flatnonzero(np.concatenate(([True], id_[1:] != id_[:-1]))) if len(id_) else np.zeros(0, np.int64)
-        cut = np.concatenate((begin, [len(id_)]))
-        for at in range(0, len(begin), 4096):
-            some = range(at, min(at + 4096, len(begin)))
-            yield pa.RecordBatch.from_arrays([pa.array(id_[begin[at : at + 4096]]), _binary([pair[cut[i] : cut[i + 1]].tobytes() for i in some])], ["id", "spans"])
+        yield from _to_buckets(id_, np.stack((s, e), axis=1).view(np.uint64).ravel(), shards)
 
     sent = docs.mapInArrow(send, "shard int, bytes binary, size binary, h binary, owner binary, ids binary, start binary")
-    return sent.repartition(shards, "shard").mapInArrow(meet, "id long, spans binary")
+    return _by_id(sent.repartition(shards, "shard").mapInArrow(meet, BUCKETS), shards).withColumnRenamed("values", "spans")
 
 
 def unite(spans: list[bytes], size: int) -> list[tuple[int, int]]:
@@ -320,8 +338,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = same.join(least, ["h", "m"]).where("id > least").select("id").distinct()
     copies = materialize(copies, "repeat-copies")
     hot = _shared_hashes(rows.select("id", "text", F.xxhash64("text").alias("content")), shards)
-    hot = hot.join(copies, "id", "left_anti")
-    hot = materialize(hot.groupBy("id").agg(F.collect_list("hashes").alias("hashes")), "repeat-hashes")
+    hot = materialize(hot.join(copies, "id", "left_anti"), "repeat-hashes")
     release_shuffles(spark)
     near, _ = IdFilter(hot.select("id")).split(rows.select("id", "text"), "id")
     spans = materialize(_spans(near.join(hot, "id").select("id", "text", "hashes"), shards), "repeat-spans")
