@@ -186,6 +186,20 @@ def _by_id(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartition(shards, "bucket").mapInArrow(gather, "id long, values binary")
 
 
+#: The first pass compares 48 bits of a hash; a chance agreement only lets a segment travel in vain.
+ROUTE_MASK = np.uint64((1 << 48) - 1)
+
+
+def _short(h: np.ndarray) -> bytes:
+    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _shared_hashes(docs: DataFrame, shards: int) -> DataFrame:
     """(id, hashes): the document's segment hashes that another text has too."""
 
@@ -193,6 +207,7 @@ def _shared_hashes(docs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for rows, data, offsets in bytesops.runs(batch):
                 doc, _, _, h = segments(data, offsets)
+                h = h & ROUTE_MASK
                 # once per text
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
@@ -205,7 +220,7 @@ def _shared_hashes(docs: DataFrame, shards: int) -> DataFrame:
                 for s in np.flatnonzero(np.diff(cut)):
                     part = order[cut[s] : cut[s + 1]]
                     who, n = np.unique(doc[part], return_counts=True)
-                    out.append((int(s), h[part].tobytes(), ids[who].tobytes(), content[who].tobytes(), n.astype(np.int32).tobytes()))
+                    out.append((int(s), _short(h[part]), ids[who].tobytes(), content[who].tobytes(), n.astype(np.int32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[_binary([o[k] for o in out]) for k in range(1, 5)]], ["shard", "h", "ids", "content", "n"])
 
     def meet(batches):
@@ -213,7 +228,7 @@ def _shared_hashes(docs: DataFrame, shards: int) -> DataFrame:
         for b in batches:
             for h, ids, content, n in zip(*(b.column(c) for c in ("h", "ids", "content", "n")), strict=True):
                 n = np.frombuffer(n.as_buffer(), np.int32)
-                parts.append((np.frombuffer(h.as_py(), np.uint64), np.repeat(np.frombuffer(ids.as_buffer(), np.int64), n), np.repeat(np.frombuffer(content.as_buffer(), np.int64), n)))
+                parts.append((_long(h.as_buffer()), np.repeat(np.frombuffer(ids.as_buffer(), np.int64), n), np.repeat(np.frombuffer(content.as_buffer(), np.int64), n)))
         if not parts:
             return
         h, ids, content = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -239,7 +254,7 @@ def _spans(docs: DataFrame, shards: int) -> DataFrame:
                 mine = []
                 for i, wanted in enumerate(rows.column("hashes")):
                     a, b = np.searchsorted(doc, [i, i + 1])
-                    mine.append(a + np.flatnonzero(np.isin(h[a:b], np.frombuffer(wanted.as_buffer(), np.uint64))))
+                    mine.append(a + np.flatnonzero(np.isin(h[a:b] & ROUTE_MASK, np.frombuffer(wanted.as_buffer(), np.uint64))))
                 mine = np.concatenate(mine)
                 doc, start, windows, h = doc[mine], start[mine], windows[mine], h[mine]
                 ids = rows.column("id").to_numpy()
