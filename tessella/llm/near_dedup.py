@@ -5,7 +5,8 @@ signature order of DEPTH hash values. Neighbours in an order that share at least
 candidates: where few classes share that prefix all of them meet, and in a dense region the nearest neighbours share
 longer prefixes, so the depth adapts to the region and no group is ever paired with itself. Candidates whose signatures
 could belong to a link are confirmed on the full shingle sets. The closest candidate of each class is confirmed first;
-the others only if they would join two components that are still apart.
+the others only if they would join two components that are still apart. Where more classes share a prefix than one meets
+as neighbours, and they lie in several components after that, every two of them from different components are compared.
 """
 
 from __future__ import annotations
@@ -105,10 +106,15 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(work, "id long, n long, k1 long, k2 long, keys array<long>")
 
 
+def tree_keys(classes: DataFrame) -> DataFrame:
+    """(id, n, tree, p, q): a row per class and tree, with the two halves of its key."""
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda i: F.struct(i.alias("tree"), F.get("keys", i * 2).alias("p"), F.get("keys", i * 2 + 1).alias("q")))
+    return classes.select("id", "n", F.explode(trees).alias("t")).select("id", "n", "t.tree", "t.p", "t.q")
+
+
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) with a < b: neighbours in some tree whose sizes allow a link."""
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda i: F.struct(i.alias("tree"), F.get("keys", i * 2).alias("p"), F.get("keys", i * 2 + 1).alias("q")))
-    rows = classes.select("id", "n", F.explode(trees).alias("t")).select("id", "n", "t.tree", "t.p", "t.q")
+    rows = tree_keys(classes)
     # p is the first half of the key: equal p is a common prefix of MIN_DEPTH values
     order = Window.partitionBy("tree", "p").orderBy("q", "id")
     near = rows.select("id", "n", *[F.lead(F.struct("id", "n"), k).over(order).alias(f"n{k}") for k in range(1, NEIGHBOURS + 1)])
@@ -117,13 +123,18 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
 
 
+def least_same(percent: int) -> int:
+    """Equal signature values that a link has at least."""
+    total = TREES * DEPTH
+    p = percent / 100
+    return int(total * p - SLACK * (total * p * (1 - p)) ** 0.5)
+
+
 def estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, same): equal signature values, for the pairs that may be a link."""
     left = classes.select(F.col("id").alias("a"), F.col("keys").alias("ka"))
     right = classes.select(F.col("id").alias("b"), F.col("keys").alias("kb"))
-    total = TREES * DEPTH
-    p = percent / 100
-    least = int(total * p - SLACK * (total * p * (1 - p)) ** 0.5)
+    least = least_same(percent)
 
     def count(batches):
         for b in batches:
@@ -136,9 +147,8 @@ def estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(count, "a long, b long, same int")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def full_sets(ends: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, s) of the distinct ids in ends: the bytes of each one's shingle set."""
     near, _ = IdFilter(ends).split(docs.select("id", "text"), "id")
 
     def sets_of(batches):
@@ -150,8 +160,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(raw, pa.binary())], ["id", "s"])
 
     # rows that share an id share it with equal sets or not at all: one of them stands for the class
-    found = near.mapInArrow(sets_of, "id long, s binary")
-    found = found.join(ends, "id")
+    return near.mapInArrow(sets_of, "id long, s binary").join(ends, "id")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    found = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, width)
 
     def judge(batches):
         for b in batches:
@@ -166,6 +180,69 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def crowded(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, tree, p, c): classes under prefixes that more share than one meets as neighbours, in several components c."""
+    named = found.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    rows = tree_keys(classes).select("id", "tree", "p").join(named, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    open_ = rows.groupBy("tree", "p").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y"))
+    open_ = open_.where((F.col("m") > NEIGHBOURS + 1) & (F.col("x") < F.col("y"))).select("tree", "p")
+    return rows.join(open_, ["tree", "p"]).select("id", "tree", "p", "c")
+
+
+def joins(ids: np.ndarray, c: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components c as all links between these classes would.
+
+    The classes that resemble most others come first, so a hub joins its copies before they are compared to each other.
+    """
+    least = least_same(percent)
+    score = np.zeros(len(ids), np.int64)
+    for column in sig.T:
+        _, value, count = np.unique(column, return_inverse=True, return_counts=True)
+        score += count[value]
+    order = np.lexsort((ids, -score))
+    ids, sig, sets = ids[order], sig[order], [sets[i] for i in order]
+    label = np.unique(c, return_inverse=True)[1][order]
+    n = np.array([len(s) for s in sets], np.int64)
+    cut = np.concatenate(([0], np.cumsum(n)))
+    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(universe), bool)
+    out = []
+    for i in range(len(ids) - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent]
+        rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= least]
+        if not len(rest):
+            continue
+        mark[flat[cut[i] : cut[i + 1]]] = True
+        if len(rest) * 8 > len(ids) - i:
+            both = np.add.reduceat(mark[flat[cut[i + 1] :]], cut[i + 1 : -1] - cut[i + 1], dtype=np.int64)[rest - i - 1]
+        else:
+            both = np.array([np.count_nonzero(mark[flat[cut[j] : cut[j + 1]]]) for j in rest])
+        mark[flat[cut[i] : cut[i + 1]]] = False
+        rest = rest[100 * both >= percent * (n[rest] + n[i] - both)]
+        if len(rest):
+            _, first = np.unique(label[rest], return_index=True)
+            out += [(ids[i], ids[j]) for j in rest[first]]
+            label[np.isin(label, label[rest])] = label[i]
+    return out
+
+
+def crowded_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between the components that meet under one prefix; rows are those of crowded."""
+    sets = full_sets(rows.select("id").distinct(), docs, width).dropDuplicates(["id"])
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sig = np.concatenate([x.flatten().to_numpy() for x in group.column("keys").chunks]).view(np.uint16).reshape(group.num_rows, -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
+        found = joins(group.column("id").to_numpy(), group.column("c").to_numpy(), sig, sets, percent)
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    both = rows.join(classes.select("id", "keys"), "id").join(sets, "id")
+    return both.groupBy("tree", "p").applyInArrow(work, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -196,6 +273,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(materialize(confirm(apart, rows, width, percent), "near-links"))
         found = materialize(connected_components(links), "near-components")
     release_shuffles(spark)
+    met = materialize(crowded(classes, found), "near-crowded")
+    if not met.isEmpty():
+        links = links.unionByName(materialize(crowded_links(met, classes, rows, width, percent), "near-links"))
+        found = materialize(connected_components(links), "near-components")
+        release_shuffles(spark)
     named = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = known.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")

@@ -53,6 +53,19 @@ def test_small_cases(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_copies_that_link_only_to_their_base(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(600)]
+    texts = [base] + [list(base) for _ in range(300)]
+    for k, text in enumerate(texts[1:]):
+        for at in rng.sample(range(5, 595), 13):
+            text[at] = f"c{k}x{at}"
+    rng.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    check(near_dedup.near_duplicates(frame, width=3, percent=85).collect(), docs, 3, 85)
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
