@@ -92,8 +92,17 @@ _TAGS = "WITH w AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), ' '
 @query(f"{_TAGS}, k AS (SELECT *, CASE WHEN pos % 5 = 1 THEN 'B' WHEN pos % 5 = 2 THEN 'I' ELSE 'O' END AS tag FROM w), s AS (SELECT doc_id, 'COL' AS field, string_agg(token, ' ' ORDER BY pos) AS surface FROM k WHERE pos IN (1, 2) GROUP BY 1) SELECT * FROM s")
 def bio_decode(spark, sf_dir):
     """Tags laid over the first words of every document; the first span of the field wins."""
-    words = F.split(F.substring("text", 1, 200), " ")
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "token"))
+    return _decoded(spark, sf_dir, F.substring("text", 1, 200))
+
+
+@query()
+def bio_decode_all(spark, sf_dir):
+    """bio_decode over whole texts."""
+    return _decoded(spark, sf_dir, F.col("text"))
+
+
+def _decoded(spark, sf_dir, text):
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text, " ")).alias("pos", "token"))
     m = F.pmod(F.col("pos") + 1, F.lit(5))
     return nlu.bio_spans(rows.withColumn("tag", F.when(m == 1, "B-COL").when(m == 2, "I-COL").otherwise("O")), "doc_id")
 
