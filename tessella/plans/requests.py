@@ -77,8 +77,18 @@ def target_part(spark, sf_dir):
 
 @query("WITH t AS (SELECT conv_id, turn, lower(text) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN t LIKE '%shoe%' OR t LIKE '%boot%' OR t LIKE '%heel%' OR t LIKE '%sneaker%' OR t LIKE '%sandal%' OR t LIKE '%loafer%' OR t LIKE '%clog%' OR t LIKE '%slipper%' OR t LIKE '%giay%' THEN 'shoe' ELSE '' END AS slot FROM t WHERE conv_id % 2 = 0")
 def shoe_mentions(spark, sf_dir):
+    return _shoes(read_table(spark, sf_dir, "conversations").where("conv_id % 2 = 0"))
+
+
+@query()
+def shoe_mentions_all(spark, sf_dir):
+    """shoe_mentions of every conversation."""
+    return _shoes(read_table(spark, sf_dir, "conversations"))
+
+
+def _shoes(c):
     slot = nlu.slot_from_text(F.col("text"))
-    return read_table(spark, sf_dir, "conversations").where("conv_id % 2 = 0").select("conv_id", "turn", F.when(slot == "shoe", slot).otherwise("").alias("slot"))
+    return c.select("conv_id", "turn", F.when(slot == "shoe", slot).otherwise("").alias("slot"))
 
 
 @query(_rows([(1, ""), (2, "bottom"), (3, "shoe"), (4, "bottom"), (5, "outerwear"), (6, ""), (7, ""), (8, ""), (9, "top"), (10, "bottom"), (11, ""), (12, ""), (13, "outerwear"), (14, "outerwear")], "id, slot"))
@@ -176,7 +186,16 @@ def context_lines(spark, sf_dir):
 
 @query("WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 5 = 0) SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM t GROUP BY 1")
 def history_digest(spark, sf_dir):
-    c = read_table(spark, sf_dir, "conversations").where("conv_id % 5 = 0")
+    return _digests(read_table(spark, sf_dir, "conversations").where("conv_id % 5 = 0"))
+
+
+@query()
+def history_digest_all(spark, sf_dir):
+    """history_digest of every conversation."""
+    return _digests(read_table(spark, sf_dir, "conversations"))
+
+
+def _digests(c):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return c.groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.md5(TX.history_lines(F.col("t"))).alias("digest"))
 

@@ -7,6 +7,8 @@ from tessella.plans import ORACLES, QUERIES
 
 BOUNDS = {
     "bio_decode": ["substr(text, 1, 200)"],
+    "history_digest": ["conv_id % 5 = 0"],
+    "shoe_mentions": ["conv_id % 2 = 0"],
 }
 
 
