@@ -9,6 +9,10 @@ BOUNDS = {
     "bio_decode": ["substr(text, 1, 200)"],
     "history_digest": ["conv_id % 5 = 0"],
     "shoe_mentions": ["conv_id % 2 = 0"],
+    "personal_rerank": ["customer % 10 = 0"],
+    "taste_maxsim": ["c.vec_id < 20"],
+    "neighbor_mean": ["item_a < 50", "item < 50"],
+    "cold_cascade": ["item_a < 100"],
 }
 
 
