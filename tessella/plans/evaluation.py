@@ -111,9 +111,9 @@ def _negative_sql(on: str) -> str:
     return f"WITH {_NEGATIVE} SELECT anchor, candidate FROM (SELECT anchor, candidate, row_number() OVER (PARTITION BY anchor ORDER BY md5(CAST(anchor AS VARCHAR) || '|' || CAST(candidate AS VARCHAR) || '|42'), candidate) AS r FROM a JOIN pool USING ({on}) WHERE anchor <> candidate AND candidate <> anchor + 1) WHERE r <= 100"
 
 
-def _negatives(spark, sf_dir, on):
+def _negatives(spark, sf_dir, on, some="item % 50 = 0"):
     cat = catalogue(spark, sf_dir).select("item", F.col("product_type").alias("slot"), F.col("size").alias("bin"))
-    a = cat.where("item % 50 = 0").withColumnRenamed("item", "anchor").select("anchor", on)
+    a = cat.where(some).withColumnRenamed("item", "anchor").select("anchor", on)
     pos = a.select("anchor", (F.col("anchor") + 1).alias("candidate"))
     return metrics.sample_negatives(a, cat.withColumnRenamed("item", "candidate").select("candidate", on), pos, on=[on]).select("anchor", "candidate")
 
@@ -128,11 +128,33 @@ def negatives_pop_matched(spark, sf_dir):
     return _negatives(spark, sf_dir, "bin")
 
 
+@query()
+def negatives_same_slot_all(spark, sf_dir):
+    """negatives_same_slot with every item as an anchor."""
+    return _negatives(spark, sf_dir, "slot", "true")
+
+
+@query()
+def negatives_pop_matched_all(spark, sf_dir):
+    """negatives_pop_matched with every item as an anchor."""
+    return _negatives(spark, sf_dir, "bin", "true")
+
+
 @query(f"WITH {_NEGATIVE}, s AS (SELECT a.anchor, p.size AS p, n.size AS s FROM a JOIN pool p ON p.candidate = anchor + 1 JOIN pool n ON n.candidate > anchor + 1 AND n.candidate <= anchor + 40) SELECT anchor, round(count(CASE WHEN s > p THEN 1 END) + 1 + count(CASE WHEN s = p THEN 1 END) / 2, 6) AS rank, round((count(CASE WHEN s < p THEN 1 END) + count(CASE WHEN s = p THEN 1 END) / 2) / count(*), 6) AS auc FROM s GROUP BY 1")
 def tie_rank(spark, sf_dir):
     """The rank of one positive among negatives, ties counting half."""
+    return _tie_rank(spark, sf_dir, "item % 50 = 0")
+
+
+@query()
+def tie_rank_all(spark, sf_dir):
+    """tie_rank with every item as an anchor."""
+    return _tie_rank(spark, sf_dir, "true")
+
+
+def _tie_rank(spark, sf_dir, some):
     cat = catalogue(spark, sf_dir).select("item", "size")
-    steps = cat.where("item % 50 = 0").select(F.col("item").alias("anchor"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("d"))
+    steps = cat.where(some).select(F.col("item").alias("anchor"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("d"))
     rows = steps.withColumn("item", F.col("anchor") + F.col("d")).join(cat, "item").select("anchor", F.col("size").cast("double").alias("score"), (F.col("d") == 1).cast("int").alias("label"))
     return metrics.against_negatives(rows, "anchor", "score", "label").select("anchor", F.round("rank", 6).alias("rank"), F.round("auc", 6).alias("auc"))
 

@@ -13,6 +13,9 @@ BOUNDS = {
     "taste_maxsim": ["c.vec_id < 20"],
     "neighbor_mean": ["item_a < 50", "item < 50"],
     "cold_cascade": ["item_a < 100"],
+    "negatives_same_slot": ["item % 50 = 0"],
+    "negatives_pop_matched": ["item % 50 = 0"],
+    "tie_rank": ["item % 50 = 0"],
 }
 
 
