@@ -31,15 +31,17 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is masked in the text; n_chars follows. Documents without one stay as they are."""
-    found = secret_scan.scan_secrets(docs).where(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("__spans"))
+    # spans follow from the text: the key tells apart rows of one id, and rows without one
+    keyed = docs.withColumn("__key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("text"))))
+    found = secret_scan.scan_secrets(keyed, id_col="__key").where(F.size("spans") > 0).groupBy("__key").agg(F.first("spans").alias("__spans"))
     found = materialize(found, "secrets-found")
     # only rows that may hold one are shuffled
-    maybe, clean = IdFilter(found.select("doc_id")).split(docs, "doc_id")
-    joined = maybe.join(found, "doc_id", "left")
+    maybe, clean = IdFilter(found.select("__key")).split(keyed, "__key")
+    joined = maybe.join(found, "__key", "left")
     hit = F.col("__spans").isNotNull()
     out = joined.withColumn("text", F.when(hit, secret_scan.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
     out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.unionByName(out.select(docs.columns))
+    return clean.select(docs.columns).unionByName(out.select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

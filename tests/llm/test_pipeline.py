@@ -31,3 +31,13 @@ def test_stages_in_turn(spark, sf_dir):
 
 def test_run_equals_its_stages(spark, sf_dir):
     assert {r["doc_id"] for r in cp.run(spark, sf_dir).select("doc_id").collect()}
+
+
+def test_secrets_of_null_and_repeated_ids_are_masked(spark):
+    a, b = "token=abcdefghijklmnop z", "other words here, then token=ponmlkjihgfedcba"
+    texts = [(None, a), (None, b), (1, a), (1, b), (1, "plain"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.mask_secrets(spark, docs, "").collect()
+    assert len(got) == len(texts) and all(plain(r["text"] or "") == [] and r["n_chars"] == len(r["text"] or "") for r in got)
+    assert sorted(str(r["doc_id"]) for r in got if "[secret]" in (r["text"] or "")) == ["1", "1", "None", "None"]
+    assert sum("other words here" in (r["text"] or "") for r in got) == 2 and sum(r["text"] == "plain" for r in got) == 1
