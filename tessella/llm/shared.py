@@ -27,11 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, and survives the loss of executors."""
+def materialize(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, and survives the loss of executors.
+
+    partition_by names a column that gets a folder for each of its values, so that a filter on it reads no others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
