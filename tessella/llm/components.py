@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-MAX_STEPS = 60
-
 
 def _stars(links: DataFrame, small: bool) -> DataFrame:
     """Links (u, v) with u > v, rewired to each neighbourhood's least node."""
@@ -38,7 +36,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     now = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = materialize(now, "links")
     seen = None
-    for _ in range(MAX_STEPS):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen is not None and tuple(mark) == seen:
             break
@@ -46,7 +44,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         if not seen[0]:
             break
         now = materialize(_stars(_stars(now, small=False), small=True), "links")
-    else:
-        raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

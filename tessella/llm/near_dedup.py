@@ -6,7 +6,8 @@ candidates: where few classes share that prefix all of them meet, and in a dense
 longer prefixes, so the depth adapts to the region and no group is ever paired with itself. Candidates whose signatures
 could belong to a link are confirmed on the full shingle sets. The closest candidate of each class is confirmed first;
 the others only if they would join two components that are still apart. Where more classes share a prefix than one meets
-as neighbours, and they lie in several components after that, every two of them from different components are compared.
+as neighbours, and they lie in several components after that, every two of them from different components are compared:
+the region is cut into blocks of bounded size, and each two blocks that may hold a link meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ DEPTH = 8
 MIN_DEPTH = 4
 #: Neighbours that each class meets on one side in each order.
 NEIGHBOURS = 4
+#: Classes of one block of a crowded region; a task compares two blocks.
+BLOCK = 1024
+#: Copies of one text are dealt apart if they are more than this part of all rows.
+HOT = 1 / 2000
 #: Standard deviations by which a signature's estimate may fall short of the threshold.
 SLACK = 5.0
 _rng = np.random.default_rng(20240229)
@@ -189,18 +194,41 @@ def crowded(classes: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(open_, ["tree", "p"]).select("id", "tree", "p", "c")
 
 
-def joins(ids: np.ndarray, c: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components c as all links between these classes would.
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(tree, p, a, b, block, id, c) of the rows of crowded: the members of every two blocks that may hold a link.
+
+    A large component has blocks of its own, which need not meet each other; small ones share blocks.
+    """
+    group = ["tree", "p"]
+    sizes = rows.groupBy(*group, "c").agg(F.count("*").alias("m"))
+    small = sizes.where(F.col("m") <= BLOCK).groupBy(*group).agg(F.sum("m").alias("rest"))
+    sizes = sizes.join(small, group, "left").withColumn("own", F.when(F.col("m") > BLOCK, F.col("c")))
+    sizes = sizes.withColumn("parts", F.ceil(F.when(F.col("own").isNotNull(), F.col("m")).otherwise(F.col("rest")) / BLOCK))
+    sizes = materialize(sizes.select(*group, "c", "own", "parts"), "near-sizes")
+    each = F.when(F.col("own").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("c"), F.col("parts"))))
+    blocks = sizes.select(*group, "own", F.explode(each).alias("k")).distinct()
+    blocks = blocks.select(*group, "own", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), "k").alias("block"))
+    x, y = blocks.select(*group, F.col("own").alias("oa"), F.col("block").alias("a")), blocks.select(*group, F.col("own").alias("ob"), F.col("block").alias("b"))
+    pairs = x.join(y, group).where((F.col("a") <= F.col("b")) & F.coalesce(F.col("oa") != F.col("ob"), F.lit(True)))
+    met = pairs.select(*group, "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    dealt = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("c"), F.col("parts")))
+    placed = rows.join(sizes, [*group, "c"]).select(*group, "id", "c", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), dealt.alias("k")).alias("block"))
+    return met.join(placed, [*group, "block"]).select(*group, "a", "b", "block", "id", "c")
+
+
+def joins(ids: np.ndarray, c: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join the components c as all links between these classes would; with side, links across two sides.
 
     The classes that resemble most others come first, so a hub joins its copies before they are compared to each other.
     """
+    side = np.arange(len(ids)) if side is None else side
     least = least_same(percent)
     score = np.zeros(len(ids), np.int64)
     for column in sig.T:
         _, value, count = np.unique(column, return_inverse=True, return_counts=True)
         score += count[value]
     order = np.lexsort((ids, -score))
-    ids, sig, sets = ids[order], sig[order], [sets[i] for i in order]
+    ids, sig, sets, side = ids[order], sig[order], [sets[i] for i in order], side[order]
     label = np.unique(c, return_inverse=True)[1][order]
     n = np.array([len(s) for s in sets], np.int64)
     cut = np.concatenate(([0], np.cumsum(n)))
@@ -208,7 +236,7 @@ def joins(ids: np.ndarray, c: np.ndarray, sig: np.ndarray, sets: list[np.ndarray
     mark = np.zeros(len(universe), bool)
     out = []
     for i in range(len(ids) - 1):
-        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rest = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (side[i + 1 :] != side[i]))
         rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent]
         rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= least]
         if not len(rest):
@@ -229,18 +257,20 @@ def joins(ids: np.ndarray, c: np.ndarray, sig: np.ndarray, sets: list[np.ndarray
 
 def crowded_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links between the components that meet under one prefix; rows are those of crowded."""
-    sets = full_sets(rows.select("id").distinct(), docs, width).dropDuplicates(["id"])
+    sets = materialize(full_sets(rows.select("id").distinct(), docs, width).dropDuplicates(["id"]).join(classes.select("id", "keys"), "id"), "near-sets")
 
     def work(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         sig = np.concatenate([x.flatten().to_numpy() for x in group.column("keys").chunks]).view(np.uint16).reshape(group.num_rows, -1)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
-        found = joins(group.column("id").to_numpy(), group.column("c").to_numpy(), sig, sets, percent)
+        side = group.column("side").to_numpy()
+        found = joins(group.column("id").to_numpy(), group.column("c").to_numpy(), sig, sets, percent, side if side.any() else None)
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": a, "b": b})
 
-    both = rows.join(classes.select("id", "keys"), "id").join(sets, "id")
-    return both.groupBy("tree", "p").applyInArrow(work, "a long, b long")
+    both = block_pairs(rows).withColumn("side", (F.col("block") != F.col("a")).cast("int")).join(sets, "id")
+    both = both.select("tree", "p", F.col("a").alias("x"), F.col("b").alias("y"), "side", "id", "c", "keys", "s")
+    return both.groupBy("tree", "p", "x", "y").applyInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -255,9 +285,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = materialize(profile(rows, width), "near-profile")
     full = known.where((F.col("n") > 0) & F.col("id").isNotNull())
-    reps = full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    classes = full.join(reps, ["k1", "k2", "n"]).where(F.col("id") == F.col("rep")).select("id", "n", "keys").dropDuplicates(["id"])
-    classes = materialize(classes, "near-classes")
+    # combined before the shuffle: a class of any size costs one row per task
+    reps = full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.count("*").alias("copies"))
+    reps = materialize(reps, "near-classes")
+    classes = reps.select(F.col("rep").alias("id"), "n", "keys").dropDuplicates(["id"])
+    reps = reps.drop("keys")
     pairs = materialize(estimate(candidates(classes, percent), classes, percent), "near-pairs")
     best = [F.row_number().over(Window.partitionBy(c).orderBy(F.desc("same"), o)) for c, o in (("a", "b"), ("b", "a"))]
     ranked = pairs.select("a", "b", F.least(*best).alias("rank"))
@@ -279,8 +311,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = materialize(connected_components(links), "near-components")
         release_shuffles(spark)
     named = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    out = known.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+    named = materialize(named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"), "copies"), "near-named")
+    key, rows = ["k1", "k2", "n"], known.select("id", "n", "k1", "k2")
+    # texts without shingles match nothing; classes of more than HOT of all rows, of which there are at most 1 / HOT, are
+    # broadcast, so that no key of the join holds more
+    hot = named.where(F.col("copies") > full.count() * HOT).drop("copies")
+    often = rows.where("n > 0").join(F.broadcast(hot.withColumnRenamed("component", "hot")), key, "left")
+    other = often.where("hot IS NULL").drop("hot").join(named.drop("copies"), key, "left")
+    out = often.where("hot IS NOT NULL").withColumnRenamed("hot", "component").unionByName(other)
+    out = out.unionByName(rows.where("n = 0").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -61,12 +61,12 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Bits of an IdFilter: 1 MB, whatever the corpus; beyond its capacity everything passes.
-FILTER_BITS = 1 << 23
+#: Bits of an IdFilter for each id, and its least and largest sizes: 1 and 16 MB. With more ids than fit, more rows pass.
+BITS_PER_ID, MIN_FILTER_BITS, MAX_FILTER_BITS = 64, 1 << 23, 1 << 27
 
 
 class IdFilter:
-    """A one-hash Bloom filter of ids, of fixed size, that saves rows without a partner the way through a shuffle.
+    """A one-hash Bloom filter of ids, of bounded size, that saves rows without a partner the way through a shuffle.
 
     It never rejects an id that was put in; the join behind it stays exact. It reaches the rows as a scalar subquery.
     """
@@ -74,17 +74,20 @@ class IdFilter:
     def __init__(self, ids: DataFrame):
         (name,) = ids.columns
         spark = ids.sparkSession
+        self.bits = MIN_FILTER_BITS
+        n = ids.count()
+        while self.bits < min(n * BITS_PER_ID, MAX_FILTER_BITS):
+            self.bits *= 2
         at = ids.where(F.col(name).isNotNull()).select(self._slot(F.col(name)).alias("p"))
         some = at.select(F.call_function("shiftright", "p", F.lit(6)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("m"))
         some = some.groupBy("w").agg(F.bit_or("m").alias("m"))
-        none = spark.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("m"))
+        none = spark.range(self.bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("m"))
         words = some.unionByName(none).groupBy("w").agg(F.bit_or("m").alias("m"))
         one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("words"))
         self.words = materialize(one, "id-filter")
 
-    @staticmethod
-    def _slot(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    def _slot(self, c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.bits))
 
     def accepts(self, id_: Column) -> Column:
         slot = self._slot(id_)

@@ -66,6 +66,35 @@ def test_copies_that_link_only_to_their_base(spark):
     check(near_dedup.near_duplicates(frame, width=3, percent=85).collect(), docs, 3, 85)
 
 
+def dense_pairs(n):
+    """n pairs of texts over one common stock of words: 0.92 within a pair, 0.84 (no link) across."""
+    docs = []
+    for k in range(n):
+        pair = [f"p{k}x{i}" for i in range(20)]
+        for side in "ab":
+            docs.append((len(docs), " ".join([f"w{i}" for i in range(402)] + pair + [f"{side}{k}y{i}" for i in range(18)])))
+    return docs
+
+
+def test_links_in_a_dense_region(spark, monkeypatch):
+    for n, block in ((1000, near_dedup.BLOCK), (60, 16)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        frame = spark.createDataFrame(dense_pairs(n), "doc_id long, text string").repartition(8)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame, width=3, percent=85).collect()}
+        assert got == {i: i // 2 * 2 for i in range(2 * n)}
+
+
+def test_blocks_of_a_crowded_region(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rows = [(i, 1, 7, 0 if i < 40 else i if i < 70 else 70) for i in range(74)] + [(i, 2, 7, i % 3) for i in range(9)]
+    met = near_dedup.block_pairs(spark.createDataFrame(rows, "id long, tree int, p long, c long")).collect()
+    tasks = {}
+    for r in met:
+        tasks.setdefault((r["tree"], r["p"], r["a"], r["b"]), []).append((r["id"], r["c"], r["block"]))
+    seen = {(k[0], *sorted((x[0], y[0]))) for k, members in tasks.items() for x in members for y in members if x[1] != y[1] and (k[2] == k[3] or x[2] != y[2])}
+    assert seen == {(r[1], *sorted((r[0], t[0]))) for r in rows for t in rows if r[1] == t[1] and r[3] != t[3]}
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
