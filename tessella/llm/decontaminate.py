@@ -1,9 +1,12 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item with an error budget of e edits is cut into e+1 pieces; any text within e edits of it holds one piece
-unchanged. An Aho-Corasick automaton over all pieces finds these hits in one pass over a text, and Myers' bit-parallel
-search gives the distance of the item to the region around the hits. No document is compared with another, and nothing
-is shuffled. The test items, not the corpus, are held in memory, in blocks of bounded size.
+unchanged. An Aho-Corasick automaton over all pieces finds these hits in one pass over a text. The pieces are the leaves
+of a tree that halves the item and its budget: where a part of an item holds at most its share of the edits, one of its
+halves does too. So a hit is verified from the leaf to the root, each time with Myers' bit-parallel search over a
+region twice as long, and one that stands in other text ends at a region of a few letters. Myers' search over the
+regions that reach the root gives the item's distance. No document is compared with another, and nothing is shuffled.
+The test items, not the corpus, are held in memory, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable
+from dataclasses import dataclass
 from math import ceil
 
 import pyarrow as pa
@@ -20,7 +24,9 @@ from pyspark.sql import types as T
 
 #: Text of the test items that one pass holds; more items take more passes.
 BLOCK_BYTES = 16 << 20
-ERROR_RATE = 0.06
+#: Edits that an item may have, as a part of its normalised length.
+ERROR_RATE = 0.1
+#: A shorter item says too little inside a longer text: it leaks only where it is the whole text, within its budget.
 MIN_LENGTH = 16
 
 _RUN = re.compile(r"[\W_]+")
@@ -55,41 +61,94 @@ def myers(peq: dict[str, int], m: int, text: str, limit: int) -> int:
     return best
 
 
+@dataclass(slots=True)
+class Node:
+    """A part a..b of an item with its share of the budget; the root is the whole item."""
+
+    a: int
+    b: int
+    budget: int
+    masks: dict[str, int]
+    parent: Node | None
+    item: int
+
+
+def _masks(text: str) -> dict[str, int]:
+    masks: dict[str, int] = defaultdict(int)
+    for i, c in enumerate(text):
+        masks[c] |= 1 << i
+    return dict(masks)
+
+
 class Matcher:
     """All items (id, normalised text) of one block."""
 
-    def __init__(self, items: Iterable[tuple[int, str]], error_rate: float = ERROR_RATE):
+    def __init__(self, items: Iterable[tuple[int, str]], error_rate: float = ERROR_RATE, min_length: int = MIN_LENGTH):
         import ahocorasick
 
         self.items: list[tuple[int, int, int, dict[str, int]]] = []  # id, length, budget, masks
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.short: list[tuple[int, str, int]] = []
+        leaves: dict[str, list[Node]] = defaultdict(list)
         for id_, text in items:
             m = len(text)
+            if not m:
+                continue
             e = min(int(error_rate * m), m - 1)
-            masks: dict[str, int] = defaultdict(int)
-            for i, c in enumerate(text):
-                masks[c] |= 1 << i
-            cuts = [m * k // (e + 1) for k in range(e + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                pieces[text[a:b]].append((len(self.items), a))
-            self.items.append((id_, m, e, dict(masks)))
+            if m < min_length:
+                self.short.append((id_, text, e))
+                continue
+            root = Node(0, m, e, _masks(text), None, len(self.items))
+            self._split(root, text, leaves)
+            self.items.append((id_, m, e, root.masks))
         self.automaton = ahocorasick.Automaton()
-        for piece, where in pieces.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if pieces:
+        for piece, nodes in leaves.items():
+            self.automaton.add_word(piece, (len(piece), nodes))
+        if leaves:
             self.automaton.make_automaton()
 
+    def _split(self, node: Node, text: str, leaves: dict[str, list[Node]]) -> None:
+        if not node.budget:
+            leaves[text[node.a : node.b]].append(node)
+            return
+        # the two shares and one edit more are the budget: both halves cannot exceed theirs
+        left = (node.budget - 1) // 2
+        mid = node.a + (node.b - node.a) * (left + 1) // (node.budget + 1)
+        for a, b, e in ((node.a, mid, left), (mid, node.b, node.budget - 1 - left)):
+            part = text[a:b]
+            self._split(Node(a, b, e, _masks(part) if e else {}, node, node.item), text, leaves)
+
     def match(self, text: str) -> list[tuple[int, int]]:
         """(item id, distance) of the items within their budget of some substring of a normalised text, by id."""
+        out = []
+        for id_, item, e in self.short:
+            if abs(len(item) - len(text)) <= e:
+                d = edit_distance(item, text)
+                if d <= e:
+                    out.append((id_, d))
         if not self.items:
-            return []
+            return sorted(out)
         windows: dict[int, list[list[int]]] = defaultdict(list)
-        for end, (length, where) in self.automaton.iter(text):
-            for i, offset in where:
-                _, m, e, _ = self.items[i]
-                start = end + 1 - length - offset - e
-                windows[i].append([start, start + m + 2 * e])
-        out = []
+        seen: dict[int, int] = {}
+        for end, (length, leaves) in self.automaton.iter(text):
+            start = end + 1 - length
+            for leaf in leaves:
+                # where the item would begin
+                origin = start - leaf.a
+                node = leaf.parent
+                while node is not None and node.parent is not None:
+                    e = node.budget
+                    # a region is judged once for all leaves under the node that put the item at one place
+                    key = (id(node), origin)
+                    known = seen.get(key)
+                    if known is None:
+                        region = text[max(origin + node.a - e, 0) : origin + node.b + e]
+                        known = seen[key] = myers(node.masks, node.b - node.a, region, e) <= e
+                    if not known:
+                        break
+                    node = node.parent
+                else:
+                    _, m, e, _ = self.items[leaf.item]
+                    windows[leaf.item].append([origin - e, origin + m + e])
         for i, spans in windows.items():
             id_, m, e, masks = self.items[i]
             best = e + 1
@@ -109,6 +168,16 @@ class Matcher:
         return sorted(out)
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Of two short strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def fresh(columns: Iterable[str], name: str) -> str:
     """A column name that no given one clashes with, whatever its case."""
     taken = {c.lower() for c in columns}
@@ -122,9 +191,9 @@ def find_leaks(
 ) -> tuple[DataFrame, str, str]:
     """docs with two more columns, and their names: ids of the test items in the text, and their edit distances.
 
-    Texts and items are compared normalised. Items of fewer than min_length characters say too little and are left out,
-    as are null ones; items repeated under one id count once with the least distance. A null or empty text matches
-    nothing. All columns and rows of docs stay.
+    Texts and items are compared normalised. Items of fewer than min_length characters leak only as a whole text; null
+    and empty ones match nothing, nor does a null or empty text; items repeated under one id count once with the least
+    distance. All columns and rows of docs stay.
     """
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -135,12 +204,12 @@ def find_leaks(
     out, names = docs, docs.columns
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).distinct().orderBy("i", "t").collect()
-        kept = [(r["i"], n) for r in rows if len(n := normalize(r["t"])) >= max(min_length, 1)]
+        kept = [(r["i"], n) for r in rows if (n := normalize(r["t"]))]
         shared = docs.sparkSession.sparkContext.broadcast(kept)
         first = k == 0
 
         def work(batches, shared=shared, first=first):
-            matcher = Matcher(shared.value, error_rate)
+            matcher = Matcher(shared.value, error_rate, min_length)
             for batch in batches:
                 found = []
                 text = batch.column(text_col)

@@ -18,13 +18,18 @@ def slow_distance(pattern, text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("abc ", min_size=1, max_size=14), min_size=1, max_size=4), st.text("abc ", max_size=60), st.sampled_from([0.0, 0.1, 0.3]))
+@given(st.lists(st.text("abc ", min_size=1, max_size=14), min_size=1, max_size=4), st.text("abc ", max_size=60), st.sampled_from([0.0, 0.1, 0.3, 0.5]))
 def test_matches_brute_force(items, text, rate):
-    got = dc.Matcher(list(enumerate(items)), rate).match(text)
+    got = dc.Matcher(list(enumerate(items)), rate, 1).match(text)
     want = [(i, d) for i, x in enumerate(items) if (d := slow_distance(x, text)) <= min(int(rate * len(x)), len(x) - 1)]
     assert got == want
 
 
+def test_short_items_leak_only_as_whole_texts():
+    m = dc.Matcher([(1, "short one"), (2, "a longer item of some words")], 0.2)
+    assert m.match("short one") == [(1, 0)] and m.match("shrt one") == [(1, 1)] and m.match("a short one") == [] and m.match("") == []
+
+
 ITEM = "The quick brown fox jumps over the lazy dog while the band plays on and on until morning comes."
 
 
@@ -41,13 +46,28 @@ def test_rows(spark):
 
 
 def test_query_against_brute_force(spark, sf_dir):
+    """Every text against every item: near matches too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    items = [(r["item_id"], dc.normalize(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    items = {r["item_id"]: dc.normalize(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    masks = {i: dc._masks(t) for i, t in items.items()}
     got = {r["doc_id"]: r for r in queries.op7_decontaminate(spark, sf_dir).collect()}
     assert len(got) == len(docs)
     for d in docs:
         text = dc.normalize(d["text"])
-        exact = {i for i, t in items if t in text}
-        assert exact <= set(got[d["doc_id"]]["item_ids"])
-        for i, n in zip(got[d["doc_id"]]["item_ids"], got[d["doc_id"]]["distances"], strict=True):
-            assert (n == 0) == (i in exact)
+        want = {}
+        for i, t in items.items():
+            e = int(dc.ERROR_RATE * len(t))
+            if t in text:
+                want[i] = 0
+            elif len(text) >= len(t) - e and len(text) <= 20_000:
+                n = dc.myers(masks[i], len(t), text, e)
+                if n <= e:
+                    want[i] = n
+        found = dict(zip(got[d["doc_id"]]["item_ids"], got[d["doc_id"]]["distances"], strict=True))
+        assert found == want if len(text) <= 20_000 else want.items() <= found.items()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abcd", min_size=1, max_size=20), st.text("abcd", max_size=40))
+def test_myers_is_the_dynamic_programme(pattern, text):
+    assert dc.myers(dc._masks(pattern), len(pattern), text, len(pattern)) == slow_distance(pattern, text)
