@@ -1,7 +1,9 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-Each slot of the filter holds one bit per language; the AND of an n-gram's slots is the set of all languages whose
-filter contains it. A text's popcount per language, less the false positives that the language's fill predicts, decides.
+Each slot of the filter holds one bit per language, in as many words as the languages need; the AND of an n-gram's slots
+is the set of all languages whose filter contains it. A text's popcount per language, less the false positives that the
+language's fill predicts, decides. The filter grows with the n-grams learned up to a stated size; beyond it the fill
+rises, and with it the correction.
 """
 
 from __future__ import annotations
@@ -11,16 +13,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops
 from .shared import id_hash, materialize
 
 GRAM = 4  # bytes of lower-case text
-SLOTS = 1 << 20
+#: Slots of the filter for each gram of the largest language, and the least and largest numbers of slots.
+SLOTS_PER_GRAM, MIN_SLOTS, MAX_SLOTS = 8, 1 << 20, 1 << 23
 HASHES = 3
-MAX_LANGUAGES = 64
+WORD = 64  # languages of one word of a slot
 UNDETERMINED = "und"
 
 _LETTERS = np.full(256, 32, dtype=np.uint8)
@@ -45,10 +48,10 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return g[at], at
 
 
-def slots(g: np.ndarray) -> list[np.ndarray]:
+def slots(g: np.ndarray, n_slots: int) -> list[np.ndarray]:
     h = bytesops.mix(g.astype(np.uint64) + np.uint64(1))
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + np.uint64(i) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+    return [((h + np.uint64(i) * step) & np.uint64(n_slots - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 def lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -59,30 +62,36 @@ def lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
-    masks: np.ndarray  # one word of language bits per slot
+    masks: np.ndarray  # words x slots: the language bits of each slot
+    false: np.ndarray  # how often a gram that a language lacks passes its filter
     prior: int
 
+    @classmethod
+    def build(cls, languages: list[str], masks: np.ndarray, prior: int) -> LanguageModel:
+        fill = [np.mean((masks[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)) for i in range(len(languages))]
+        return cls(languages, masks, np.array(fill, dtype=float) ** HASHES, prior)
+
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) corrected counts, and the grams per text."""
         g, at = grams(data, offsets)
-        where = slots(g)
-        mask = self.masks[where[0]] & self.masks[where[1]] & self.masks[where[2]]
+        where = slots(g, self.masks.shape[1])
         cut = np.searchsorted(at, offsets)
         n = np.diff(cut).astype(float)
         out = np.zeros((len(n), len(self.languages)))
-        for i in range(len(self.languages)):
-            bit = np.uint64(i)
-            false = float(np.mean((self.masks >> bit) & np.uint64(1))) ** HASHES
-            hits = bytesops.per_text((mask >> bit) & np.uint64(1), cut)
+        for i, false in enumerate(self.false):
+            if i % WORD == 0:
+                word = self.masks[i // WORD]
+                mask = word[where[0]] & word[where[1]] & word[where[2]]
+            hits = bytesops.per_text((mask >> np.uint64(i % WORD)) & np.uint64(1), cut)
             out[:, i] = np.maximum(hits - n * false, 0) / max(1 - false, 1e-9)
         return out, n
 
 
-def train(rows: DataFrame, *, min_count: int = 3, min_share: float = 0.15, grams_per_language: int = 60_000) -> LanguageModel:
+def train(rows: DataFrame, *, min_count: int = 3, min_share: float = 0.15) -> LanguageModel:
     """Learn from rows (text, lang) with lang not null.
 
-    A gram enters a language's filter if the language holds at least min_share of the gram's frequency over all
-    languages; the most frequent grams_per_language of each language enter, so the filter's size is fixed.
+    A gram enters a language's filter if the language holds it min_count times and has at least min_share of the gram's
+    frequency over all languages.
     """
 
     def count(batches):
@@ -113,29 +122,32 @@ def train(rows: DataFrame, *, min_count: int = 3, min_share: float = 0.15, grams
     counts = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "language-counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"{len(totals)} languages; a slot holds {MAX_LANGUAGES}")
     languages = sorted(totals)
     if not languages:
-        return LanguageModel([], np.zeros(SLOTS, np.uint64), 0)
+        return LanguageModel.build([], np.zeros((1, MIN_SLOTS), np.uint64), 0)
     number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
     size = F.create_map(*[F.lit(x) for k in languages for x in (k, float(totals[k]))])
     rate = counts.withColumn("rate", F.col("n") / size[F.col("lang")]).withColumn("bit", number[F.col("lang")])
-    total = rate.groupBy("gram").agg(F.sum("rate").alias("all"), F.collect_list(F.struct("bit", "rate", "n", "lang")).alias("by"))
+    total = rate.groupBy("gram").agg(F.sum("rate").alias("all"), F.collect_list(F.struct("bit", "rate", "n")).alias("by"))
     kept = total.select("gram", "all", F.explode("by").alias("b")).where((F.col("b.n") >= min_count) & (F.col("b.rate") >= min_share * F.col("all")))
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("b.bit").orderBy(F.desc("b.n"), "gram"))).where(F.col("rank") <= grams_per_language)
-    chosen = ranked.select("gram", F.expr("shiftleft(1L, b.bit)").alias("mask")).groupBy("gram").agg(F.bit_or("mask").alias("mask"))
+    bits = kept.select("gram", "b.bit", F.expr(f"cast(b.bit div {WORD} as int)").alias("word"), F.expr(f"shiftleft(1L, cast(b.bit % {WORD} as int))").alias("mask"))
+    bits = materialize(bits, "language-bits")
+    most = bits.groupBy("bit").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n_slots = MIN_SLOTS
+    while n_slots < min(most * SLOTS_PER_GRAM, MAX_SLOTS):
+        n_slots *= 2
+    chosen = bits.groupBy("gram", "word").agg(F.bit_or("mask").alias("mask"))
 
     def spread(batches):
         for b in batches:
             g, m = b.column("gram").to_numpy().astype(np.uint32), b.column("mask").to_numpy()
-            for s in slots(g):
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(m)], ["slot", "mask"])
+            for s in slots(g, n_slots):
+                yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(s), pa.array(m)], ["word", "slot", "mask"])
 
-    table = chosen.mapInArrow(spread, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    masks = np.zeros(SLOTS, dtype=np.uint64)
-    masks[table["slot"].to_numpy()] = table["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    return LanguageModel(languages, masks, int(np.argmax([totals[k] for k in languages])))
+    table = chosen.mapInArrow(spread, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros((-(-len(languages) // WORD), n_slots), dtype=np.uint64)
+    masks[table.column("word").to_numpy(), table.column("slot").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
+    return LanguageModel.build(languages, masks, int(np.argmax([totals[k] for k in languages])))
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out_fold: int = 0, **options) -> DataFrame:
