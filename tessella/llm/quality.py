@@ -7,7 +7,7 @@ adjacent violators over a fixed number of score bins, so nothing that reaches th
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops
-from .shared import id_hash, materialize
+from .shared import IdFilter, id_hash, materialize
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -135,8 +135,16 @@ def isotonic(bins: np.ndarray, positives: np.ndarray, counts: np.ndarray) -> tup
 BIN = 1e-3
 
 
+#: Parts of the labelled rows; each is scored for the calibration by a fit on the others.
+PARTS = 4
+
+
 def fit(train: DataFrame, *, features: int = 192, ridge: float = 1.0, width: float = 1.0, seed: int = 7) -> QualityModel:
-    """Fit on rows (id, x, y). A quarter of them, by hash of the id, calibrates. No rows: every score is 0.5."""
+    """Fit on rows (id, x, y). No rows: every score is 0.5.
+
+    The normal equations are summed for each of PARTS parts of the rows, by hash of the id. The sum of all gives the
+    coefficients; for the calibration each part's rows are scored by the sum of the other parts.
+    """
     d = len(FEATURES)
     sums = train.agg(F.count("*"), *[F.sum(F.col("x")[i]) for i in range(d)], *[F.sum(F.col("x")[i].cast("double") * F.col("x")[i]) for i in range(d)]).first()
     n = sums[0]
@@ -147,49 +155,61 @@ def fit(train: DataFrame, *, features: int = 192, ridge: float = 1.0, width: flo
     mean = np.array(sums[1 : d + 1], dtype=float) / n
     var = np.array(sums[d + 1 :], dtype=float) / n - mean**2
     model = QualityModel(mean, np.sqrt(np.maximum(var, 1e-8)), weights, shift, np.zeros(features + 1), (np.zeros(1), np.zeros(1)))
-    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(4))
-    fit_rows, held = train.where(part != 0), train.where(part == 0)
+    rows = train.select("x", "y", F.coalesce(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(PARTS)), F.lit(0)).cast("int").alias("part"))
     size = features + 2
     upper = np.triu_indices(size)
 
     def normal(batches):
-        total = np.zeros((size, size))
+        total = np.zeros((PARTS, size, size))
         for b in batches:
             if b.num_rows:
                 z = np.concatenate((model.features(_matrix(b)), b.column("y").to_numpy()[:, None]), axis=1)
-                total += z.T @ z
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]), dtype=np.int32)), pa.array(total[upper])], ["cell", "v"])
-
-    cells = fit_rows.select("x", "y").mapInArrow(normal, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    full = np.zeros((size, size))
-    for r in cells:
-        full[upper[0][r["cell"]], upper[1][r["cell"]]] = r["v"]
-    full = full + np.triu(full, 1).T
+                part = b.column("part").to_numpy()
+                for i in np.unique(part):
+                    total[i] += z[part == i].T @ z[part == i]
+        for i in np.flatnonzero(total.any(axis=(1, 2))):
+            cells = np.arange(len(upper[0]), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), i, np.int32)), pa.array(cells), pa.array(total[i][upper])], ["part", "cell", "v"])
+
+    cells = rows.mapInArrow(normal, "part int, cell int, v double").groupBy("part", "cell").agg(F.sum("v").alias("v")).toArrow()
+    full = np.zeros((PARTS, size, size))
+    at = cells.column("cell").to_numpy()
+    full[cells.column("part").to_numpy(), upper[0][at], upper[1][at]] = cells.column("v").to_numpy()
+    full = full + np.triu(full, 1).transpose(0, 2, 1)
     penalty = np.diag([ridge] * features + [1e-9])
-    coef = np.linalg.solve(full[:-1, :-1] + penalty, full[:-1, -1])
-    model = QualityModel(mean, model.scale, weights, shift, coef, model.knots)
+    coef = ridge_solution(full.sum(axis=0), penalty)
+    others = [replace(model, coef=ridge_solution(full.sum(axis=0) - part, penalty)) for part in full]
 
     def binned(batches):
         for b in batches:
             if b.num_rows:
-                at = np.floor(np.clip(model.raw(_matrix(b)), -1, 2) / BIN).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), b.column("y")], ["bin", "y"])
+                x, part = _matrix(b), b.column("part").to_numpy()
+                raw = np.zeros(len(x))
+                for i in np.unique(part):
+                    raw[part == i] = others[i].raw(x[part == i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.floor(np.clip(raw, -1, 2) / BIN).astype(np.int32)), b.column("y")], ["bin", "y"])
 
-    # with few rows to calibrate on, those of the fit serve too
-    rows = held if held.count() >= 200 else train
-    bins = rows.select("x", "y").mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.sum("y").alias("p"), F.count("*").alias("n")).orderBy("bin").collect()
+    bins = rows.mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.sum("y").alias("p"), F.count("*").alias("n")).orderBy("bin").collect()
     knots = isotonic(*(np.array([float(r[k]) for r in bins]) for k in ("bin", "p", "n")))
     return QualityModel(mean, model.scale, weights, shift, coef, ((knots[0] + 0.5) * BIN, knots[1]))
 
 
+def ridge_solution(sums: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """Coefficients from the summed products of features and label (the last column)."""
+    return np.linalg.solve(sums[:-1, :-1] + penalty, sums[:-1, -1])
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, folds: int, held_out_fold: int, **options) -> tuple[QualityModel, DataFrame]:
     """(model, statistics of all rows). See classify()."""
     stats = materialize(with_statistics(docs, id_col, text_col), "quality-statistics")
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).cast("double").alias("y"))
+    known = _known(labels, id_col, label_col)
     return fit(stats.where(~_held(F.col("id"), folds, held_out_fold)).join(known, "id"), **options), stats
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).cast("double").alias("y"))
+
+
 def _held(id_: Column, folds: int, held_out_fold: int) -> Column:
     return F.coalesce(id_hash(id_, folds) == held_out_fold, F.lit(False))
 
@@ -220,8 +240,14 @@ def classify(
 def keep_good(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out_fold: int = 1, **options
 ) -> DataFrame:
-    """The rows of docs that classify() predicts as 1, with all their columns; they are judged where they stand."""
-    model, _ = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, held_out_fold=held_out_fold, **options)
+    """The rows of docs that classify() predicts as 1, with all their columns; they are judged where they stand.
+
+    Only rows that have a label are read for the fit.
+    """
+    known = materialize(_known(labels, id_col, label_col).where(~_held(F.col("id"), folds, held_out_fold)), "quality-labels")
+    labelled, _ = IdFilter(known.select("id")).split(docs.select(id_col, text_col), id_col)
+    stats = materialize(with_statistics(labelled, id_col, text_col), "quality-statistics")
+    model = fit(stats.join(known, "id"), **options)
 
     def keep(batches):
         for b in batches:
