@@ -10,20 +10,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.stage import written
 
 #: Query vectors that one pass over the items holds, in bytes.
 QUERY_BLOCK_BYTES = 32 << 20
+#: Queries and items of one product: 16 MB of scores.
+TILE = (1024, 2048)
+
+
+def _tops(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the k largest finite scores of each row, ties by id; ids has a row for each or is one row."""
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    else:
+        row, col = np.nonzero(np.isfinite(score))
+    s, i = score[row, col], ids[row, col] if ids.ndim == 2 else ids[col]
+    order = np.lexsort((i, -s, row))
+    row, s, i = row[order], s[order], i[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], i[keep], s[keep]
 
 
 def knn(items: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str, query_id: str = "query", places: int = 9, group_col: str | None = None, same_group: bool | None = None, exclude_self: bool = False) -> DataFrame:
     """(query, id, score, rank): the k items of largest dot product for each query, ties by id.
 
     queries has query_id, vector_col and, with group_col, its group: same_group asks for equal (True) or different
-    (False) groups. Each task keeps its k best for a query, so the shuffle carries k rows per query and task.
+    (False) groups. Queries go through the driver in blocks of bounded size; where there are several, each block's hits
+    are written before the next one, so that one block lives at a time. Each task keeps its k best for a query, so the
+    shuffle carries k rows per query and task.
     """
     spark = items.sparkSession
     group = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
-    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("v"), group.alias("g"))
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("v"), group.alias("g")).where(F.col("v").isNotNull())
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), group.alias("g")).where(F.col("v").isNotNull())
     size = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
     blocks = max(1, ceil(size / QUERY_BLOCK_BYTES))
@@ -32,30 +51,40 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col
         part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).orderBy("q").toArrow()
         if not part.num_rows:
             continue
-        m = np.array(part.column("v").to_pylist(), dtype=float)
-        shared = spark.sparkContext.broadcast((part.column("q").to_numpy(), m, np.array(part.column("g").to_pylist(), dtype=object)))
+        shared = spark.sparkContext.broadcast((part.column("q").to_numpy(), _matrix(part.column("v").combine_chunks()), np.array(part.column("g").to_pylist(), dtype=object)))
 
         def best(batches, shared=shared):
             q, m, g = shared.value
-            held = (np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64))
+            held = np.full((len(q), k), -np.inf)
+            held_id = np.zeros((len(q), k), np.int64)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                ids = b.column("id").to_numpy()
-                s = np.round(m @ x.T, places)
-                if same_group is not None:
-                    s[(g[:, None] == np.array(b.column("g").to_pylist(), dtype=object)[None, :]) != same_group] = -np.inf
-                if exclude_self:
-                    s[q[:, None] == ids[None, :]] = -np.inf
-                s = np.concatenate((held[0], s), axis=1)
-                ids = np.concatenate((held[1], np.broadcast_to(ids, (len(q), len(ids)))), axis=1)
-                order = np.lexsort((ids, -s), axis=1)[:, :k]
-                held = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-            at = np.nonzero(np.isfinite(held[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(q[at[0]]), pa.array(held[1][at]), pa.array(held[0][at])], ["query", "id", "score"])
+                for at in range(0, b.num_rows, TILE[1]):
+                    part = b.slice(at, TILE[1])
+                    x, ids = _matrix(part.column("v")), part.column("id").to_numpy()
+                    labels = np.array(part.column("g").to_pylist(), dtype=object) if same_group is not None else None
+                    for a in range(0, len(q), TILE[0]):
+                        z = min(a + TILE[0], len(q))
+                        s = np.round(m[a:z] @ x.T, places)
+                        if same_group is not None:
+                            s[(g[a:z, None] == labels[None, :]) != same_group] = -np.inf
+                        if exclude_self:
+                            s[q[a:z, None] == ids[None, :]] = -np.inf
+                        row, i, s = _tops(s, ids, k)
+                        place = k + np.arange(len(row)) - np.searchsorted(row, row)
+                        both, both_id = np.full((z - a, 2 * k), -np.inf), np.zeros((z - a, 2 * k), np.int64)
+                        both[:, :k], both_id[:, :k] = held[a:z], held_id[a:z]
+                        both[row, place], both_id[row, place] = s, i
+                        row, i, s = _tops(both, both_id, k)
+                        place = np.arange(len(row)) - np.searchsorted(row, row)
+                        held[a:z] = -np.inf
+                        held[a + row, place], held_id[a + row, place] = s, i
+            at = np.nonzero(np.isfinite(held))
+            yield pa.RecordBatch.from_arrays([pa.array(q[at[0]]), pa.array(held_id[at]), pa.array(held[at])], ["query", "id", "score"])
 
         found = rows.mapInArrow(best, "query long, id long, score double")
+        if blocks > 1:
+            found = written(found, "knn")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "query long, id long, score double")
@@ -63,6 +92,54 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def closest(rows: DataFrame, items: DataFrame, *, by: str, vector_col: str, id_col: str, places: int = 9) -> DataFrame:
+    """(by, id, score): for each group of rows and every item the largest dot product with one of the group's vectors.
+
+    Items are blocks of a matrix of bounded size; each task multiplies its rows with them and keeps the maxima of its
+    groups, which are combined after one shuffle.
+    """
+    spark = rows.sparkSession
+    every = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull())
+    size = every.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    blocks = max(1, ceil(size / QUERY_BLOCK_BYTES))
+    kind = dict(rows.dtypes)[by]
+    # rows of a group stand together, so that a batch has few groups
+    each = rows.select(F.col(by).alias("by"), F.col(vector_col).alias("v")).where("v IS NOT NULL").repartition("by").sortWithinPartitions("by")
+    out = None
+    for i in range(blocks):
+        part = every.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").toArrow()
+        if not part.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((part.column("id").to_numpy(), _matrix(part.column("v").combine_chunks())))
+
+        def most(batches, shared=shared):
+            ids, m = shared.value
+            for b in batches:
+                for at in range(0, b.num_rows, TILE[0]):
+                    part = b.slice(at, TILE[0])
+                    group = part.column("by")
+                    code = pa.array(group).dictionary_encode()
+                    start = np.flatnonzero(np.diff(code.indices.to_numpy(), prepend=-1))
+                    x = _matrix(part.column("v"))
+                    for a in range(0, len(ids), TILE[1]):
+                        best = np.maximum.reduceat(np.round(x @ m[a : a + TILE[1]].T, places), start, axis=0)
+                        names = group.take(pa.array(np.repeat(start, best.shape[1])))
+                        yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(ids[a : a + TILE[1]], len(start))), pa.array(best.ravel())], ["by", "id", "score"])
+
+        found = each.mapInArrow(most, f"by {kind}, id long, score double").groupBy("by", "id").agg(F.max("score").alias("score"))
+        if blocks > 1:
+            found = written(found, "closest")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], f"by {kind}, id long, score double")
+    return out.withColumnRenamed("by", by)
+
+
 def knn_graph(items: DataFrame, k: int = 20, *, id_col: str, vector_col: str, scale: int = 1000) -> DataFrame:
     """(item_a, item_b, weight): each item's k nearest others, weights scaled, not below 0, whole."""
     near = knn(items, items.withColumnRenamed(id_col, "query"), k, id_col=id_col, vector_col=vector_col, exclude_self=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,43 @@ def bm25_weights(post: DataFrame, vocab: DataFrame, *, k1: float = K1, b: float
     return rows.select("doc", "term", weight.alias("weight")).where("weight > 0")
 
 
+@dataclass(frozen=True)
+class Index:
+    """An inverted index: rows (doc, term, tf, df, dl) of the vocabulary, documents with a token, and the mean length."""
+
+    rows: DataFrame
+    n: int
+    average: float
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Index:
+        """Of rows from index_rows(): the two numbers are one pass over four narrow columns."""
+        total = rows.agg(F.max("n"), F.sum("tf"), F.countDistinct("doc")).first()
+        return cls(rows.drop("n"), total[0] or 0, (total[1] or 0) / max(total[2], 1))
+
+    def weight(self, method: str, *, k1: float = K1, b: float = B) -> Column:
+        """The weight of a posting: bm25 or tfidf."""
+        tf, df = F.col("tf").cast("double"), F.col("df")
+        if method == "tfidf":
+            return tf / F.col("dl") * (F.log((1.0 + self.n) / (1 + df)) + 1)
+        idf = F.log(1 + (float(self.n) - df + 0.5) / (df + 0.5))
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / self.average))
+
+    def scores(self, terms: DataFrame, places: int = 9) -> DataFrame:
+        """(query, doc, bm25, tfidf) of the documents that share a term with a query, in one pass over the asked postings."""
+        hits = terms.join(self.rows, "term")
+        return hits.groupBy("query", "doc").agg(*[F.round(F.sum(self.weight(m)), places).alias(m) for m in ("bm25", "tfidf")])
+
+
+def index_rows(post: DataFrame, *, min_df: int = MIN_DF, max_df_ratio: float = MAX_DF_RATIO) -> DataFrame:
+    """(doc, term, tf, df, dl, n): the postings of the vocabulary, with all that a weight needs."""
+    n = post.select("doc").distinct().count()
+    most = int(max_df_ratio * n)
+    df = document_frequency(post).where((F.col("df") >= min_df) & (F.lit(most <= 0) | (F.col("df") <= most)))
+    length = F.sum("tf").over(Window.partitionBy("doc"))
+    return post.join(df, "term").select("doc", "term", "tf", "df", length.alias("dl"), F.lit(n).cast("long").alias("n"))
+
+
 def query_terms(queries: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """(query, term), each distinct term once."""
     return queries.select(F.col(id_col).alias("query"), F.explode(F.array_distinct(tokens)).alias("term"))

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import audits, fusion, metrics, sparse
+from ..sources.stage import written
 from ..sources.tables import read_table
-from .base import BASKETS, CATALOGUE, GRADES, POSTINGS, PURCHASES, baskets, bm25_scores, catalogue, cobuy, grades, purchases, query, ranked_sql, tfidf_scores
+from .base import BASKETS, CATALOGUE, GRADES, POSTINGS, PURCHASES, baskets, bm25_scores, catalogue, cobuy, grades, purchases, query, ranked_sql, text_scores, tfidf_scores
 
 _RUN = f"run AS {ranked_sql('bms', 20)}, tru AS (SELECT query, doc FROM tfsr WHERE rank <= 5)"
 _EVAL = f"{POSTINGS}, tfsr AS {ranked_sql('tfs', 20)}, {_RUN}, nt AS (SELECT query, count(*) AS n_true FROM tru GROUP BY 1), jj AS (SELECT r.query, r.doc, r.rank, CASE WHEN t.doc IS NOT NULL THEN 1 ELSE 0 END AS hit, n_true FROM run r LEFT JOIN tru t ON r.query = t.query AND r.doc = t.doc JOIN nt ON nt.query = r.query)"
 
 
 def _ranked(spark, sf_dir):
-    return sparse.top_k(bm25_scores(spark, sf_dir), 20)
+    """Twenty hits a query, written once: metrics read them several times."""
+    return written(sparse.top_k(bm25_scores(spark, sf_dir), 20), "ranked")
 
 
 def _truth(spark, sf_dir):
@@ -104,22 +106,23 @@ def auc_tie_aware(spark, sf_dir):
     return metrics.auc(x, "n_chars", "quality").withColumn("auc", F.round("auc", 6))
 
 
-_NEGATIVE = f"""{CATALOGUE}, a AS (SELECT item AS anchor, product_type AS slot, size AS bin FROM cat WHERE item % 50 = 0), pool AS (SELECT item AS candidate, product_type AS slot, size AS bin, size FROM cat)"""
+_NEGATIVE = f"""{CATALOGUE}, a AS (SELECT item AS anchor, product_type AS slot, size AS bin FROM cat), pool AS (SELECT item AS candidate, product_type AS slot, size AS bin, size FROM cat)"""
 
 
 def _negative_sql(on: str) -> str:
     return f"WITH {_NEGATIVE} SELECT anchor, candidate FROM (SELECT anchor, candidate, row_number() OVER (PARTITION BY anchor ORDER BY md5(CAST(anchor AS VARCHAR) || '|' || CAST(candidate AS VARCHAR) || '|42'), candidate) AS r FROM a JOIN pool USING ({on}) WHERE anchor <> candidate AND candidate <> anchor + 1) WHERE r <= 100"
 
 
-def _negatives(spark, sf_dir, on, some="item % 50 = 0"):
+def _negatives(spark, sf_dir, on):
     cat = catalogue(spark, sf_dir).select("item", F.col("product_type").alias("slot"), F.col("size").alias("bin"))
-    a = cat.where(some).withColumnRenamed("item", "anchor").select("anchor", on)
+    a = cat.withColumnRenamed("item", "anchor").select("anchor", on)
     pos = a.select("anchor", (F.col("anchor") + 1).alias("candidate"))
     return metrics.sample_negatives(a, cat.withColumnRenamed("item", "candidate").select("candidate", on), pos, on=[on]).select("anchor", "candidate")
 
 
 @query(_negative_sql("slot"))
 def negatives_same_slot(spark, sf_dir):
+    """A hundred negatives for every item; the sample is the feature."""
     return _negatives(spark, sf_dir, "slot")
 
 
@@ -128,33 +131,11 @@ def negatives_pop_matched(spark, sf_dir):
     return _negatives(spark, sf_dir, "bin")
 
 
-@query()
-def negatives_same_slot_all(spark, sf_dir):
-    """negatives_same_slot with every item as an anchor."""
-    return _negatives(spark, sf_dir, "slot", "true")
-
-
-@query()
-def negatives_pop_matched_all(spark, sf_dir):
-    """negatives_pop_matched with every item as an anchor."""
-    return _negatives(spark, sf_dir, "bin", "true")
-
-
 @query(f"WITH {_NEGATIVE}, s AS (SELECT a.anchor, p.size AS p, n.size AS s FROM a JOIN pool p ON p.candidate = anchor + 1 JOIN pool n ON n.candidate > anchor + 1 AND n.candidate <= anchor + 40) SELECT anchor, round(count(CASE WHEN s > p THEN 1 END) + 1 + count(CASE WHEN s = p THEN 1 END) / 2, 6) AS rank, round((count(CASE WHEN s < p THEN 1 END) + count(CASE WHEN s = p THEN 1 END) / 2) / count(*), 6) AS auc FROM s GROUP BY 1")
 def tie_rank(spark, sf_dir):
     """The rank of one positive among negatives, ties counting half."""
-    return _tie_rank(spark, sf_dir, "item % 50 = 0")
-
-
-@query()
-def tie_rank_all(spark, sf_dir):
-    """tie_rank with every item as an anchor."""
-    return _tie_rank(spark, sf_dir, "true")
-
-
-def _tie_rank(spark, sf_dir, some):
     cat = catalogue(spark, sf_dir).select("item", "size")
-    steps = cat.where(some).select(F.col("item").alias("anchor"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("d"))
+    steps = cat.select(F.col("item").alias("anchor"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("d"))
     rows = steps.withColumn("item", F.col("anchor") + F.col("d")).join(cat, "item").select("anchor", F.col("size").cast("double").alias("score"), (F.col("d") == 1).cast("int").alias("label"))
     return metrics.against_negatives(rows, "anchor", "score", "label").select("anchor", F.round("rank", 6).alias("rank"), F.round("auc", 6).alias("auc"))
 
@@ -271,8 +252,8 @@ u AS (SELECT 'bm25' AS method, query, doc, rank FROM a WHERE rank <= 10 UNION AL
 SELECT method, count(*) AS n, round(avg(coalesce(grade, 0)), 6) AS mean_grade, round(sum(CASE WHEN grade = 2 THEN 1.0 / rank ELSE 0 END), 5) AS weighted FROM u LEFT JOIN gr USING (doc) GROUP BY 1""")
 def fusion_ablation(spark, sf_dir):
     """Methods side by side under one key, in one aggregation."""
-    a = sparse.top_k(bm25_scores(spark, sf_dir), 50).withColumn("branch", F.lit("bm25"))
-    b = sparse.top_k(tfidf_scores(spark, sf_dir), 50).withColumn("branch", F.lit("tfidf"))
+    scored = written(text_scores(spark, sf_dir), "scores")
+    a, b = (sparse.top_k(scored.select("query", "doc", F.col(m).alias("score")).where("score > 0"), 50).withColumn("branch", F.lit(m)) for m in ("bm25", "tfidf"))
     c = fusion.rrf(a.unionByName(b), 10, k=60, base=1).withColumn("branch", F.lit("rrf"))
     u = a.unionByName(b).where("rank <= 10").select("branch", "doc", "rank").unionByName(c.select("branch", "doc", "rank"))
     g = u.join(grades(spark, sf_dir), "doc", "left")
@@ -295,7 +276,7 @@ def grouping_sets(spark, sf_dir):
 @query("SELECT n_regionkey, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (n_regionkey, c_mktsegment)")
 def cube_rollup(spark, sf_dir):
     n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    return read_table(spark, sf_dir, "customer").join(F.broadcast(n), "c_nationkey").cube("n_regionkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    return read_table(spark, sf_dir, "customer").join(n, "c_nationkey").cube("n_regionkey", "c_mktsegment").agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -316,7 +297,7 @@ def semi_anti(spark, sf_dir):
     s = read_table(spark, sf_dir, "supplier")
     n = read_table(spark, sf_dir, "nation").where("n_regionkey IN (1, 2)").select(F.col("n_nationkey").alias("s_nationkey"))
     big = read_table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_discount > 0.08").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
-    return s.join(F.broadcast(n), "s_nationkey", "left_semi").join(big, "s_suppkey", "left_anti").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    return s.join(n, "s_nationkey", "left_semi").join(big, "s_suppkey", "left_anti").groupBy("s_nationkey").agg(F.count("*").alias("n"))
 
 
 @query("WITH e AS (SELECT event_id, user_id, ts, event_type FROM events) SELECT a.event_id, max_by(b.event_id, b.event_id) AS last_purchase FROM e a JOIN e b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND a.event_type = 'error' AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id < a.event_id)) GROUP BY 1")

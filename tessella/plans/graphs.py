@@ -91,24 +91,14 @@ def borrowed_neighbors(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {BASKETS}, {_ADJ}, {_TWINS}, c AS (SELECT item_a AS item, item_b AS candidate, weight AS score, 1 AS tier FROM adj WHERE item_a % 4 = 0 AND item_a < 100
+@query(f"""WITH {BASKETS}, {_ADJ}, {_TWINS}, c AS (SELECT item_a AS item, item_b AS candidate, weight AS score, 1 AS tier FROM adj WHERE item_a % 4 = 0
 UNION ALL SELECT item, item_b, round(sum(similarity), 9), 2 FROM tw JOIN adj ON twin = item_a WHERE item <> item_b GROUP BY 1, 2 UNION ALL SELECT item, twin, similarity, 3 FROM tw)
 SELECT item, candidate, round(score, 6) AS score, tier FROM (SELECT *, min(tier) OVER (PARTITION BY item) AS least FROM c) WHERE tier = least""")
 def cold_cascade(spark, sf_dir):
     """Co-buy, else borrowed, else the twins themselves: the first tier that has anything for an item."""
-    return _cascade(spark, sf_dir, "item_a % 4 = 0 AND item_a < 100")
-
-
-@query()
-def cold_cascade_all(spark, sf_dir):
-    """cold_cascade with the co-buy tier of every cold item."""
-    return _cascade(spark, sf_dir, "item_a % 4 = 0")
-
-
-def _cascade(spark, sf_dir, cold):
     adj = graph.adjacency(cobuy(spark, sf_dir))
     twins = _twins(spark, sf_dir)
-    one = adj.where(cold).select(F.col("item_a").alias("item"), F.col("item_b").alias("candidate"), F.col("weight").alias("score"))
+    one = adj.where("item_a % 4 = 0").select(F.col("item_a").alias("item"), F.col("item_b").alias("candidate"), F.col("weight").alias("score"))
     two = graph.borrowed_neighbors(twins, adj).select("item", F.col("neighbour").alias("candidate"), "score")
     three = twins.select("item", F.col("twin").alias("candidate"), F.col("similarity").alias("score"))
     return graph.first_tier([one, two, three]).select("item", "candidate", F.round("score", 6).alias("score"), "tier")
@@ -288,65 +278,34 @@ def taste_recency(spark, sf_dir):
     return _taste(spark, sf_dir, profiles.recency_weight(F.col("position"), F.col("n")))
 
 
-@query(f"""WITH {_HISTORY}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT max(vec_id) + 1 AS m FROM e)
-SELECT customer, c.vec_id AS candidate, round(max(list_dot_product(c.v, p.v)), 6) AS similar FROM h, m, e p, e c WHERE p.vec_id = h.item % m.m AND c.vec_id < 20 GROUP BY 1, 2""")
+@query(f"""WITH {_HISTORY}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT max(vec_id) + 1 AS m FROM e),
+s AS (SELECT c.vec_id AS candidate, p.vec_id, round(list_dot_product(c.v, p.v), 9) AS score FROM e c, e p), k AS (SELECT DISTINCT customer, h.item % m.m AS vec_id FROM h, m)
+SELECT customer, candidate, round(max(score), 6) AS similar FROM k JOIN s USING (vec_id) GROUP BY 1, 2""")
 def taste_maxsim(spark, sf_dir):
-    """How close a candidate is to the closest item of a customer's history."""
-    return _maxsim(spark, sf_dir, "vec_id < 20")
-
-
-@query()
-def taste_maxsim_all(spark, sf_dir):
-    """taste_maxsim of every candidate."""
-    return _maxsim(spark, sf_dir, "true")
-
-
-def _maxsim(spark, sf_dir, some):
-    c = read_table(spark, sf_dir, "embeddings").where(some).select(F.col("vec_id").alias("candidate"), F.col("embedding").alias("cv"))
+    """How close every candidate is to the closest item of a customer's history."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    # similarities of the vectors themselves, few against all, before histories meet them
-    sims = dense.knn(e, c.select(F.col("candidate").alias("query"), F.col("cv").alias("embedding")), 1 << 30, id_col="vec_id", vector_col="embedding").select(F.col("query").alias("candidate"), F.col("id").alias("vec_id"), "score")
     h = _history_vectors(spark, sf_dir).select("customer", "vec_id").distinct()
-    return h.join(sims, "vec_id").groupBy("customer", "candidate").agg(F.round(F.max("score"), 6).alias("similar"))
+    near = dense.closest(h.join(e, "vec_id").select("customer", "embedding"), e, by="customer", vector_col="embedding", id_col="vec_id")
+    return near.select("customer", F.col("id").alias("candidate"), F.round("score", 6).alias("similar"))
 
 
 @query(f"""WITH {PURCHASES}, c AS (SELECT item, count(*) AS cnt FROM pur GROUP BY 1), p AS (SELECT item, ln(1 + cnt) / ln(1 + max(cnt) OVER ()) AS pop FROM c),
-q AS (SELECT DISTINCT customer, item FROM pur WHERE customer % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY item) AS rank, count(*) OVER (PARTITION BY customer) AS n FROM q)
+q AS (SELECT DISTINCT customer, item FROM pur), r AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY item) AS rank, count(*) OVER (PARTITION BY customer) AS n FROM q)
 SELECT customer, item, rank, round(round((n - rank + 1) / n + 0.13 * pop, 9), 6) AS score, row_number() OVER (PARTITION BY customer ORDER BY round((n - rank + 1) / n + 0.13 * pop, 9) DESC, rank) AS new_rank FROM r JOIN p USING (item)""")
 def personal_rerank(spark, sf_dir):
-    return _personal(spark, sf_dir, "customer % 10 = 0")
-
-
-@query()
-def personal_rerank_all(spark, sf_dir):
-    """personal_rerank of every customer."""
-    return _personal(spark, sf_dir, "true")
-
-
-def _personal(spark, sf_dir, some):
     pur = purchases(spark, sf_dir)
     w = Window.partitionBy("customer")
-    r = pur.where(some).select("customer", "item").distinct().withColumn("rank", F.row_number().over(w.orderBy("item"))).withColumn("n", F.count("*").over(w))
+    r = pur.select("customer", "item").distinct().withColumn("rank", F.row_number().over(w.orderBy("item"))).withColumn("n", F.count("*").over(w))
     r = r.join(profiles.popularity(pur, "item").select("item", F.col("score").alias("pop")), "item")
     s = F.round(profiles.personal_score(profiles.prior(F.col("rank"), F.col("n")), F.lit(0.0), F.col("pop"), F.lit(0.0)), 9)
     return r.withColumn("s", s).select("customer", "item", "rank", F.round("s", 6).alias("score"), F.row_number().over(w.orderBy(F.desc("s"), "rank")).alias("new_rank"))
 
 
-@query(f"WITH {BASKETS}, {_ADJ}, {_VECS}, own AS (SELECT vec_id AS item, vec_id AS source FROM embeddings UNION ALL SELECT item_a, item_b FROM adj WHERE item_a < 50), s AS (SELECT item, i, avg(x) AS x FROM own JOIN ev ON source = vec_id WHERE item < 50 GROUP BY 1, 2) SELECT item, i, round(x, 6) AS x FROM s")
+@query(f"WITH {BASKETS}, {_ADJ}, {_VECS}, own AS (SELECT vec_id AS item, vec_id AS source FROM embeddings UNION ALL SELECT item_a, item_b FROM adj), s AS (SELECT item, i, avg(x) AS x FROM own JOIN ev ON source = vec_id GROUP BY 1, 2) SELECT item, i, round(x, 6) AS x FROM s")
 def neighbor_mean(spark, sf_dir):
     """One step of averaging over neighbours and self."""
-    return _neighbor_mean(spark, sf_dir, "item < 50")
-
-
-@query()
-def neighbor_mean_all(spark, sf_dir):
-    """neighbor_mean of every item."""
-    return _neighbor_mean(spark, sf_dir, "true")
-
-
-def _neighbor_mean(spark, sf_dir, some):
     e = read_table(spark, sf_dir, "embeddings")
-    out = graph.mean_of_neighbors(graph.adjacency(cobuy(spark, sf_dir)), e, "vec_id", "embedding").where(some)
+    out = graph.mean_of_neighbors(graph.adjacency(cobuy(spark, sf_dir)), e, "vec_id", "embedding")
     return out.select("item", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 

@@ -5,114 +5,155 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..operators import nlu, sessions
+from ..operators import filters, nlu, sessions
 from ..sources.tables import read_table
 from ..streaming import events as EV
 from .base import CATALOGUE, catalogue, query
 
-#: Requests with the classifier's label, for the rule queries.
-REQUESTS = [
-    (1, "a black dress for a wedding", "similar_items"),
-    (2, "jeans that aren't too skinny", "similar_items"),
-    (3, "no, not any boots, only sneakers in navy", "similar_items"),
-    (4, "blue trousers to go with this navy shirt", "graph_pairing"),
-    (5, "what goes really well with my red coat", "similar_items"),
-    (6, "this one in another colour", "similar_items"),
-    (7, "something to wear to the gym", "graph_pairing"),
-    (8, "hello, how is the weather", "chit_chat"),
-    (9, "nothing in black, a white shirt", "color_variant"),
-    (10, "show me a striped skirt but without pink", "chit_chat"),
-    (11, "", "similar_items"),
-    (12, "#0123456789 in green", "similar_items"),
-    (13, "light blue or dark blue jacket, no wool", "composite_intent"),
-    (14, "a jacket however not a red one", "chit_chat"),
-]
-
-
-def _requests(spark):
-    return spark.createDataFrame(REQUESTS, "id int, text string, label string")
-
-
-_ATTRIBUTES = [
-    (1, "colour_group", "Black"), (1, "occasion", "Formal/Party"), (1, "product_type", "Dress"), (2, "product_type", "Trousers"), (3, "colour_group", "Dark Blue"), (3, "product_type", "Sneakers"),
-    (4, "colour_group", "Dark Blue"), (4, "product_type", "Trousers"), (5, "colour_group", "Red"), (5, "product_type", "Coat"), (7, "occasion", "Sport/Active"), (9, "colour_group", "White"), (9, "product_type", "Shirt"),
-    (10, "graphical_appearance", "Stripe"), (10, "product_type", "Skirt"), (12, "colour_group", "Dark Green"), (13, "colour_group", "Light Blue"), (13, "product_type", "Jacket"), (14, "product_type", "Jacket"),
-]
-_NEGATED = [(2, "fit", "Tight/Skinny/Bodycon"), (3, "product_type", "Boots"), (9, "colour_group", "Black"), (10, "colour_group", "Pink"), (14, "colour_group", "Red")]
-_rows = lambda rows, names: "SELECT * FROM (VALUES " + ", ".join(str(r) for r in rows) + f") t({names})"
-
-
-@query(_rows(_ATTRIBUTES, "id, field, value"))
+#: Requests that the catalogue's own words make, by item modulo 8, and every turn of the conversations.
+_TEMPLATES = (
+    ("'a '", "colour", "' '", "garment", "' for '", "kind"),
+    ("garment", "' but without '", "colour", "', not '", "kind"),
+    ("'no '", "colour", "', only the '", "garment"),
+    ("colour", "' '", "garment", "' to go with this '", "kind", "' shirt'"),
+    ("'what goes really well with my '", "garment", "' boots'"),
+    ("'this '", "garment", "' in another colour'"),
+    ("'hello, how is the '", "colour", "' weather'"),
+    ("name", "' in '", "colour"),
+)
+_LABELS = ("similar", "pairing", "variant", "chitchat", "composite", "greeting")
+_OFFSET = 10_000_000
+_LABEL_SQL = "CASE CAST(floor(item / 8) AS BIGINT) % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LABELS)) + " END"
+_TEXT_SQL = "CASE item % 8 " + " ".join(f"WHEN {i} THEN {' || '.join(t)}" for i, t in enumerate(_TEMPLATES)) + " END"
+_REQ = f"""{CATALOGUE}, req AS (SELECT item AS id, {_TEXT_SQL} AS text, {_LABEL_SQL} AS label FROM (SELECT *, lower(product_type) AS kind FROM cat)
+UNION ALL SELECT {_OFFSET} + conv_id * 1000 + turn, text, 'greeting' FROM conversations)"""
+_FOLD = f"translate(lower(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')), '{TX.ACCENTED}', '{TX.FOLDED}')"
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_ANY = lambda words, c="t": "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_HITS = f"""{_REQ}, lex AS (SELECT 'colour_group' AS field, colour AS surface, min(colour) AS value FROM cat GROUP BY 2 UNION ALL SELECT 'garment', garment, min(garment) FROM cat GROUP BY 2 UNION ALL SELECT 'product_type', lower(product_type), min(product_type) FROM cat GROUP BY 2),
+tok AS (SELECT id, list_filter(string_split(regexp_replace(regexp_replace(replace(replace({_FOLD}, chr(39), ''), '’', ''), '[,;.!?]+', ' clausebreak ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM req),
+pos AS (SELECT id, w, unnest(w) AS surface, generate_subscripts(w, 1) AS p FROM tok), one AS (SELECT id, surface, min(p) AS p, any_value(w) AS w FROM pos GROUP BY 1, 2),
+hit AS (SELECT id, field, value, surface, coalesce(list_filter(list_reverse(list_slice(w, greatest(p - {nlu.NEGATION_WINDOW}, 1), p - 1)), lambda x: x IN {_IN((*nlu.NEGATIONS, *nlu.NEGATION_STOPS))})[1] IN {_IN(nlu.NEGATIONS)}, false) AS neg FROM one JOIN lex USING (surface)),
+best AS (SELECT *, row_number() OVER (PARTITION BY id, field, neg ORDER BY length(surface) DESC, surface) AS r FROM hit)"""
+
+
+def _requests(spark, sf_dir):
+    cat = catalogue(spark, sf_dir).withColumn("kind", F.lower("product_type"))
+    part = lambda x: F.lit(x[1:-1]) if x.startswith("'") else F.col(x)
+    text, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, t in enumerate(_TEMPLATES):
+        text = F.when(F.col("item") % 8 == i, F.concat(*[part(x) for x in t])).otherwise(text)
+    for i, x in enumerate(_LABELS):
+        label = F.when(F.floor(F.col("item") / 8) % 6 == i, x).otherwise(label)
+    turns = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + _OFFSET).alias("id"), "text", F.lit("greeting").alias("label"))
+    return cat.select(F.col("item").alias("id"), text.alias("text"), label.alias("label")).unionByName(turns)
+
+
+def _lexicon(spark, sf_dir):
+    """Types, colours and garments of the catalogue."""
+    cat = catalogue(spark, sf_dir)
+    fields = F.create_map(F.lit("colour_group"), F.col("colour"), F.lit("garment"), F.col("garment"), F.lit("product_type"), F.col("product_type"))
+    return nlu.lexicon_of(cat.select(F.explode(fields).alias("field", "value")).distinct())
+
+
+def _attributes(spark, sf_dir, negative=False):
+    return nlu.extract_attributes(_requests(spark, sf_dir), "id", "text", _lexicon(spark, sf_dir), negative=negative)
+
+
+@query(f"WITH {_HITS} SELECT id, field, value FROM best WHERE NOT neg AND r = 1")
 def gazetteer_extract(spark, sf_dir):
-    """The expected values are stated, not computed."""
-    return nlu.extract_attributes(_requests(spark), "id", "text", nlu.lexicon_frame(spark)).select("id", "field", "value")
+    """Attributes that requests ask for, by the words of the catalogue."""
+    return _attributes(spark, sf_dir).select("id", "field", "value")
 
 
-@query(_rows(_NEGATED, "id, field, value"))
+@query(f"WITH {_HITS} SELECT id, field, value FROM best WHERE neg AND r = 1")
 def gazetteer_negated(spark, sf_dir):
-    return nlu.extract_attributes(_requests(spark), "id", "text", nlu.lexicon_frame(spark), negative=True).select("id", "field", "value")
+    return _attributes(spark, sf_dir, True).select("id", "field", "value")
 
 
-_INTENTS = [
-    (1, "similar_items", "trust_classifier"), (2, "similar_items", "trust_classifier"), (3, "similar_items", "trust_classifier"), (4, "graph_pairing", "trust_classifier"),
-    (5, "similar_items", "trust_classifier"), (6, "color_variant", "explicit_color_variant"), (7, "similar_items", "demote_referentless_to_similar"), (8, "chit_chat", "pass_through"),
-    (9, "similar_items", "demote_referentless_to_similar"), (10, "similar_items", "override_chit_chat_to_similar"), (11, "similar_items", "empty_query_default_similar"),
-    (12, "color_variant", "explicit_color_variant"), (13, "composite_intent", "pass_through"), (14, "similar_items", "override_chit_chat_to_similar"),
-]
-_INTENTS[4] = (5, "graph_pairing", "explicit_graph_pairing")
+@query(f"WITH {_HITS}, pn AS (SELECT id, field, max(CASE WHEN NOT neg AND r = 1 THEN value END) AS yes, max(CASE WHEN neg AND r = 1 THEN value END) AS no FROM best GROUP BY 1, 2) SELECT id, count(yes) AS n_must, count(CASE WHEN no IS NOT NULL AND yes IS NULL THEN 1 END) AS n_must_not FROM pn GROUP BY 1")
+def positive_beats_negative(spark, sf_dir):
+    """How many fields are asked for, and forbidden and not asked for."""
+    both = [a.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias(n)) for a, n in ((_attributes(spark, sf_dir), "must"), (_attributes(spark, sf_dir, True), "must_not"))]
+    none = F.create_map().cast("map<string,string>")
+    x = both[0].join(both[1], "id", "full").select("id", F.coalesce("must", none).alias("must"), F.coalesce("must_not", none).alias("must_not"))
+    return x.select("id", F.size("must").cast("long").alias("n_must"), F.size(filters.drop_contradictions(F.col("must_not"), F.col("must"))).cast("long").alias("n_must_not"))
 
 
-@query(_rows(_INTENTS, "id, intent, rule"))
-def intent_rules(spark, sf_dir):
-    r = _requests(spark)
-    colour = nlu.extract_attributes(r, "id", "text", nlu.lexicon_frame(spark)).where("field = 'colour_group'").select("id", F.lit(True).alias("c"))
-    x = r.join(colour, "id", "left").select("id", nlu.intent_rules("text", nlu.normalize_intent("label"), F.coalesce("c", F.lit(False))).alias("r"))
-    return x.select("id", "r.intent", "r.rule")
+_ALIAS = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in nlu.INTENT_ALIASES.items()) + f" ELSE '{nlu.SIMILAR}' END"
+_RULE = f"""{_HITS}, col AS (SELECT DISTINCT id, true AS c FROM best WHERE field = 'colour_group' AND NOT neg AND r = 1), x AS (SELECT id, {_FOLD} AS t, {_ALIAS} AS hint, coalesce(c, false) AS c FROM req LEFT JOIN col USING (id)),
+y AS (SELECT *, regexp_matches(t, '(#|\\b)\\d{{6,10}}\\b') OR {_ANY(nlu.ANCHORS)} AS anchor, {_ANY(nlu.PAIRING)} AS pairing, {_ANY(nlu.STRONG_PAIRING)} OR regexp_matches(t, '{nlu.STRONG_PAIRING_ADVERB}') AS strong, {_ANY(nlu.COLOUR_WORDS)} AND {_ANY(nlu.VARIANT_WORDS)} AS phrase FROM x),
+z AS (SELECT *, phrase OR (c AND regexp_matches(t, '\\bin\\b')) AS variant, (anchor AND pairing) OR strong AS pair, t <> '' AND (list_has_any(regexp_extract_all(t, '[a-z]+'), [{", ".join(f"'{w}'" for w in nlu.FASHION)}]) OR contains(t, 't shirt') OR anchor) AS fashion FROM y),
+i AS (SELECT id, CASE WHEN hint IN ('{nlu.CHAT}', '{nlu.COMPOSITE}') AND pair THEN '{nlu.GRAPH}|override_to_graph_pairing' WHEN hint IN ('{nlu.CHAT}', '{nlu.COMPOSITE}') AND anchor AND variant THEN '{nlu.VARIANT}|override_to_color_variant'
+ WHEN hint = '{nlu.CHAT}' AND fashion THEN '{nlu.SIMILAR}|override_chit_chat_to_similar' WHEN hint IN ('{nlu.CHAT}', '{nlu.COMPOSITE}') THEN hint || '|pass_through' WHEN t = '' THEN '{nlu.SIMILAR}|empty_query_default_similar'
+ WHEN hint IN ('{nlu.GRAPH}', '{nlu.VARIANT}') AND NOT (anchor OR pairing OR strong OR phrase) THEN '{nlu.SIMILAR}|demote_referentless_to_similar' WHEN hint IN ('{nlu.GRAPH}', '{nlu.VARIANT}') THEN hint || '|trust_classifier'
+ WHEN anchor AND variant THEN '{nlu.VARIANT}|explicit_color_variant' WHEN pair THEN '{nlu.GRAPH}|explicit_graph_pairing' ELSE hint || '|trust_classifier' END AS ir FROM z)"""
 
 
-@query(_rows([(1, "a black dress for a wedding"), (2, "jeans that aren''t too skinny"), (3, "no, not any boots, only sneakers in navy"), (4, "blue trousers "), (5, "what goes really well "), (6, "this one in another colour"), (7, "something to wear to the gym"), (8, "hello, how is the weather"), (9, "nothing in black, a white shirt"), (10, "show me a striped skirt but without pink"), (11, ""), (12, "#0123456789 in green"), (13, "light blue or dark blue jacket, no wool"), (14, "a jacket however not a red one")], "id, target").replace('"', "'"))
-def target_part(spark, sf_dir):
-    return _requests(spark).select("id", nlu.target_part("text").alias("target"))
+def _intents(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    colour = _attributes(spark, sf_dir).where("field = 'colour_group'").select("id", F.lit(True).alias("c"))
+    return r.join(colour, "id", "left").select("id", "text", nlu.intent_rules("text", nlu.normalize_intent("label"), F.coalesce("c", F.lit(False))).alias("r")).select("id", "text", "r.intent", "r.rule")
 
 
-@query("WITH t AS (SELECT conv_id, turn, lower(text) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN t LIKE '%shoe%' OR t LIKE '%boot%' OR t LIKE '%heel%' OR t LIKE '%sneaker%' OR t LIKE '%sandal%' OR t LIKE '%loafer%' OR t LIKE '%clog%' OR t LIKE '%slipper%' OR t LIKE '%giay%' THEN 'shoe' ELSE '' END AS slot FROM t WHERE conv_id % 2 = 0")
-def shoe_mentions(spark, sf_dir):
-    return _shoes(read_table(spark, sf_dir, "conversations").where("conv_id % 2 = 0"))
+@query(f"WITH {_RULE} SELECT id, split_part(ir, '|', 1) AS intent, split_part(ir, '|', 2) AS rule FROM i")
+def intent_rules(spark, sf_dir):
+    return _intents(spark, sf_dir).drop("text")
 
 
-@query()
-def shoe_mentions_all(spark, sf_dir):
-    """shoe_mentions of every conversation."""
-    return _shoes(read_table(spark, sf_dir, "conversations"))
+_LOW = "lower(coalesce(text, ''))"
+_TARGET_SQL = f"left({_LOW}, least(" + ", ".join(f"CASE WHEN contains({_LOW}, '{c}') THEN strpos({_LOW}, '{c}') - 1 ELSE length({_LOW}) END" for c in nlu.CONNECTIVES) + "))"
+_SLOT_SQL = "CASE " + " ".join(f"WHEN {_ANY(words)} THEN '{slot}'" for slot, words in nlu.SLOT_WORDS) + " ELSE '' END"
 
 
-def _shoes(c):
-    slot = nlu.slot_from_text(F.col("text"))
-    return c.select("conv_id", "turn", F.when(slot == "shoe", slot).otherwise("").alias("slot"))
+@query(f"WITH {_REQ} SELECT id, md5({_TARGET_SQL}) AS target FROM req")
+def target_part(spark, sf_dir):
+    return _requests(spark, sf_dir).select("id", F.md5(nlu.target_part("text")).alias("target"))
 
 
-@query(_rows([(1, ""), (2, "bottom"), (3, "shoe"), (4, "bottom"), (5, "outerwear"), (6, ""), (7, ""), (8, ""), (9, "top"), (10, "bottom"), (11, ""), (12, ""), (13, "outerwear"), (14, "outerwear")], "id, slot"))
+@query(f"WITH {_REQ}, f AS (SELECT id, {_FOLD} AS t FROM req) SELECT id, {_SLOT_SQL} AS slot FROM f")
 def slot_from_text(spark, sf_dir):
-    return _requests(spark).select("id", nlu.slot_from_text("text").alias("slot"))
-
-
-_TAGS = "WITH w AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), ' ')) AS token, generate_subscripts(string_split(substr(text, 1, 200), ' '), 1) AS pos FROM documents)"
+    return _requests(spark, sf_dir).select("id", nlu.slot_from_text("text").alias("slot"))
+
+
+_FULL = f"""{_RULE}, tt AS (SELECT id, {_TARGET_SQL} AS t FROM req), pt AS (SELECT id, list_filter(string_split(regexp_replace(t, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM tt),
+kinds AS (SELECT id, min(value) AS kind FROM (SELECT id, unnest(w) AS surface FROM pt) JOIN lex USING (surface) WHERE field = 'product_type' GROUP BY 1),
+tints AS (SELECT DISTINCT id, true AS on_target FROM (SELECT id, unnest(w) AS surface FROM pt) JOIN lex USING (surface) WHERE field = 'colour_group'),
+a AS (SELECT id, max(CASE WHEN field = 'colour_group' THEN value END) AS colour, max(CASE WHEN field = 'garment' THEN value END) AS garment, max(CASE WHEN field = 'product_type' THEN value END) AS kind FROM best WHERE NOT neg AND r = 1 GROUP BY 1)
+SELECT id, md5(coalesce(text, '')) AS search, coalesce(CASE WHEN ir LIKE '{nlu.GRAPH}%' AND NOT coalesce(on_target, false) THEN '' ELSE colour END, '') AS colour, coalesce(garment, '') AS garment,
+coalesce(nullif(CASE WHEN ir LIKE '{nlu.GRAPH}%' THEN coalesce(kinds.kind, '') ELSE coalesce(a.kind, '') END, ''), CASE WHEN id % 3 = 1 THEN 'PROMO' END, '') AS kind
+FROM req JOIN i USING (id) LEFT JOIN a USING (id) LEFT JOIN kinds USING (id) LEFT JOIN tints USING (id)"""
+
+
+@query(f"WITH {_FULL}")
+def full_analysis(spark, sf_dir):
+    """Rewrite, lexicon and a model's type merged into a search text and hard filters, as columns.
+
+    Of the models' answers, the rewrite has a placeholder and the type is vague, a real one, or none, by id modulo 3.
+    """
+    r = _intents(spark, sf_dir)
+    none = F.create_map().cast("map<string,string>")
+    found = _attributes(spark, sf_dir).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("found"))
+    # the part before the connective has no negation to heed
+    words = r.select("id", F.explode(F.array_distinct(F.filter(F.split(F.regexp_replace(nlu.target_part("text"), "[^a-z0-9]+", " "), " "), lambda w: w != ""))).alias("surface")).join(_lexicon(spark, sf_dir), "surface")
+    target = words.groupBy("id").agg(F.min(F.when(F.col("field") == "product_type", F.col("value"))).alias("kind"), F.bool_or(F.col("field") == "colour_group").alias("on_target"))
+    x = r.join(found, "id", "left").join(target, "id", "left")
+    asked = F.when(F.col("id") % 3 == 0, "gala attire").when(F.col("id") % 3 == 1, "PROMO")
+    a = nlu.analyse(F.coalesce("text", F.lit("")), F.lit("a [colour] item"), F.col("intent"), F.coalesce("found", none), F.coalesce("kind", F.lit("")), F.coalesce("on_target", F.lit(False)), asked)
+    value = lambda k: F.coalesce(F.try_element_at("a.must", F.lit(k)), F.lit(""))
+    return x.select("id", a.alias("a")).select("id", F.md5("a.search").alias("search"), value("colour_group").alias("colour"), value("garment").alias("garment"), value("product_type").alias("kind"))
+
+
+@query(f"WITH f AS (SELECT conv_id, turn, {_FOLD} AS t FROM conversations) SELECT conv_id, turn, CASE WHEN {_ANY(nlu.SLOT_WORDS[0][1])} THEN 'shoe' ELSE '' END AS slot FROM f")
+def shoe_mentions(spark, sf_dir):
+    slot = nlu.slot_from_text(F.col("text"))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(slot == "shoe", slot).otherwise("").alias("slot"))
 
 
-@query(f"{_TAGS}, k AS (SELECT *, CASE WHEN pos % 5 = 1 THEN 'B' WHEN pos % 5 = 2 THEN 'I' ELSE 'O' END AS tag FROM w), s AS (SELECT doc_id, 'COL' AS field, string_agg(token, ' ' ORDER BY pos) AS surface FROM k WHERE pos IN (1, 2) GROUP BY 1) SELECT * FROM s")
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents) SELECT doc_id, 'COL' AS field, string_agg(token, ' ' ORDER BY pos) AS surface FROM w WHERE pos IN (1, 2) GROUP BY 1")
 def bio_decode(spark, sf_dir):
-    """Tags laid over the first words of every document; the first span of the field wins."""
-    return _decoded(spark, sf_dir, F.substring("text", 1, 200))
-
-
-@query()
-def bio_decode_all(spark, sf_dir):
-    """bio_decode over whole texts."""
-    return _decoded(spark, sf_dir, F.col("text"))
-
-
-def _decoded(spark, sf_dir, text):
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text, " ")).alias("pos", "token"))
+    """Tags laid over the words of every document; the first span of the field wins."""
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
     m = F.pmod(F.col("pos") + 1, F.lit(5))
     return nlu.bio_spans(rows.withColumn("tag", F.when(m == 1, "B-COL").when(m == 2, "I-COL").otherwise("O")), "doc_id")
 
@@ -172,10 +213,8 @@ def events_sessions(spark, sf_dir):
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def events_stream_dedup(spark, sf_dir):
     """A stream over the events table: each id once within the watermark, counted per type."""
-    import uuid
-
     s = spark.readStream.schema(EV.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = EV.run_to_memory(EV.deduplicated(s, "40 days").select("event_id", "event_type"), "dedup_" + uuid.uuid4().hex)
+    rows = EV.run_to_table(EV.deduplicated(s, "40 days").select("event_id", "event_type"), "dedup")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -184,26 +223,15 @@ def context_lines(spark, sf_dir):
     return catalogue(spark, sf_dir).select("item", TX.shorten("name", 8).alias("short"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 5 = 0) SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM t GROUP BY 1")
+@query("SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
 def history_digest(spark, sf_dir):
-    return _digests(read_table(spark, sf_dir, "conversations").where("conv_id % 5 = 0"))
-
-
-@query()
-def history_digest_all(spark, sf_dir):
-    """history_digest of every conversation."""
-    return _digests(read_table(spark, sf_dir, "conversations"))
-
-
-def _digests(c):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return c.groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.md5(TX.history_lines(F.col("t"))).alias("digest"))
+    return read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.md5(TX.history_lines(F.col("t"))).alias("digest"))
 
 
+@query("SELECT event_id, props AS found FROM events")
 def json_from_prose(spark, sf_dir):
-    """Balanced objects are no regular language: checked against Python in the tests."""
-    rows = [(1, 'x {"a": 1} then {bad} and {"b": {"c": 2}} end'), (2, "none"), (3, '{"k": [1, {"z": 0}]'), (4, None)]
-    return spark.createDataFrame(rows, "id int, text string").select("id", TX.last_json_object("text").alias("found"))
-
-
-query()(json_from_prose)
+    """The last object in a text that has others, and braces that are none, before it; odd texts are in the tests."""
+    e = read_table(spark, sf_dir, "events")
+    prose = F.concat(F.lit('so {this} is {"a": {"b": 1}} and then '), "props", F.lit(" done"))
+    return e.select("event_id", TX.last_json_object(prose).alias("found"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import dense, filters, fusion, sparse
+from ..sources.stage import written
 from ..sources.tables import read_table
-from .base import CATALOGUE, POSTINGS, benchmark_terms, bm25_scores, catalogue, doc_postings, query, ranked_sql, tfidf_scores
+from .base import CATALOGUE, POSTINGS, benchmark_terms, bm25_scores, catalogue, doc_postings, query, ranked_sql, text_scores, tfidf_scores
 
 _HYBRID = f"""WITH {POSTINGS}, a AS {ranked_sql("bms", 40)}, b AS {ranked_sql("tfs", 40)},
 u AS (SELECT query, doc, round(sum(1.0 / (2 + rank)), 9) AS score FROM (SELECT query, doc, rank FROM a UNION ALL SELECT query, doc, rank FROM b) GROUP BY 1, 2)
@@ -19,7 +20,8 @@ SELECT query, doc, round(score, 6) AS score, rank FROM {ranked_sql("u", 10)}"""
 @query(_HYBRID)
 def hybrid_search(spark, sf_dir) -> DataFrame:
     """BM25 and TF-IDF branches, each cut to the prefetch depth, fused by reciprocal rank."""
-    found = fusion.hybrid({"bm25": bm25_scores(spark, sf_dir), "tfidf": tfidf_scores(spark, sf_dir)}, 10)
+    scored = written(text_scores(spark, sf_dir), "scores")
+    found = fusion.hybrid({m: scored.select("query", "doc", F.col(m).alias("score")).where("score > 0") for m in ("bm25", "tfidf")}, 10)
     return found.select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
@@ -75,8 +77,8 @@ def bm25_grid(spark, sf_dir):
     from pyspark.sql import Window
 
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("k1", "b", "query").orderBy(F.desc("score"), "doc")))
-    # passages are few and short: the pairs are those that share a term, not all
-    holds = s.select("query", "doc").distinct().join(docs, "doc").join(F.broadcast(bench), "query").where(F.col("dt").contains(F.col("qt"))).select("query", "doc")
+    # the pairs are those that share a term, not all
+    holds = s.select("query", "doc").distinct().join(docs, "doc").join(bench, "query").where(F.col("dt").contains(F.col("qt"))).select("query", "doc")
     h = r.join(holds, ["query", "doc"]).groupBy("k1", "b", "query").agg(F.min("rank").alias("rank"))
     return h.groupBy("k1", "b").agg(F.count("*").alias("n_found"), F.round(F.avg((F.col("rank") <= 10).cast("double")), 6).alias("recall_at_10"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))
 
@@ -170,8 +172,8 @@ def rgb_nearest(spark, sf_dir):
 
 
 def _ranked_union(spark, sf_dir, depth):
-    a = sparse.top_k(bm25_scores(spark, sf_dir), depth).withColumn("branch", F.lit("bm25"))
-    b = sparse.top_k(tfidf_scores(spark, sf_dir), depth).withColumn("branch", F.lit("tfidf"))
+    scored = written(text_scores(spark, sf_dir), "scores")
+    a, b = (sparse.top_k(scored.select("query", "doc", F.col(m).alias("score")).where("score > 0"), depth).withColumn("branch", F.lit(m)) for m in ("bm25", "tfidf"))
     return a.unionByName(b)
 
 
@@ -214,10 +216,11 @@ SELECT query, doc, rank, round(common / nq, 6) AS rescore, row_number() OVER (PA
 def rerank_overlap(spark, sf_dir):
     """A pool of 30 re-ranked by a deterministic scorer that stands for a cross-encoder."""
     pool = sparse.top_k(bm25_scores(spark, sf_dir), 30).select("query", "doc", "rank")
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), TX.words_alnum("text").alias("dw"))
-    bench = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), TX.words_alnum("text").alias("qw"))
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("dt"))
+    bench = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("qt"))
+    # only texts of the pool are cut into words
     rows = pool.join(docs, "doc").join(bench, "query")
-    return fusion.rerank(rows, fusion.overlap_score(F.col("qw"), F.col("dw")), 10).select("query", "doc", "rank", F.round("rescore", 6).alias("rescore"), "new_rank")
+    return fusion.rerank(rows, fusion.overlap_score(TX.words_alnum("qt"), TX.words_alnum("dt")), 10).select("query", "doc", "rank", F.round("rescore", 6).alias("rescore"), "new_rank")
 
 
 def _filtered(sql_where: str):

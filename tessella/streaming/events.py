@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.stage import folders_of, shared_dir
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -74,16 +77,43 @@ def session_state(events: DataFrame, *, expire: bool = True) -> DataFrame:
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its rows; for tests and small reports."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what is there now and return its rows, held by the driver; for tests and small reports."""
+    checkpoint = f"{shared_dir(stream.sparkSession)}/tessella/stream-{name}"
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
 
-def upsert_sink(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Latest row per key as Parquet, one version per batch: a batch that is run again writes the same version."""
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run an appending stream over what is there now into Parquet files of the shared folder, and read them."""
+    folder = f"{shared_dir(stream.sparkSession)}/tessella/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removeprefix("epoch=")) for n in folders_of(spark, path) if n.startswith("epoch="))
+
+
+def upsert_sink(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
+    """The latest row of each key, by order and then by the other columns, as one Parquet version per batch.
+
+    A version holds all keys so far: a batch is merged with the version before it, and a batch that is run again writes
+    the same version again.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        rows = batch
+        before = [v for v in _versions(batch.sparkSession, path) if v < epoch]
+        if before:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{path}/epoch={before[-1]}"))
+        last = F.max(F.struct(order, *[c for c in batch.columns if c != order]))
+        rows.groupBy(F.col(key).alias("__key")).agg(last.alias("__row")).select("__row.*").select(batch.columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that upsert_sink() has written."""
+    return spark.read.parquet(f"{path}/epoch={_versions(spark, path)[-1]}")

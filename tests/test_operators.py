@@ -176,3 +176,36 @@ def test_results_do_not_depend_on_partitioning(spark):
     asked = df.where("id < 9").withColumnRenamed("id", "query")
     one = [dense.knn(df.repartition(n), asked, 5, id_col="id", vector_col="v").orderBy("query", "rank").collect() for n in (1, 7)]
     assert one[0] == one[1]
+
+
+LEXICON = {
+    "colour_group": {"black": "Black", "navy": "Dark Blue", "red": "Red", "light blue": "Light Blue", "dark blue": "Dark Blue", "pink": "Pink", "white": "White"},
+    "product_type": {"dress": "Dress", "jeans": "Trousers", "boots": "Boots", "sneakers": "Sneakers", "jacket": "Jacket", "skirt": "Skirt"},
+    "fit": {"skinny": "Skinny fit"},
+}
+
+
+def test_lexicon_and_negation(spark):
+    rows = [
+        (1, "a black dress for a wedding"), (2, "jeans that aren't too skinny"), (3, "no, not any boots, only sneakers in navy"), (4, "nothing in black, a white dress"),
+        (5, "light blue or dark blue jacket, no wool"), (6, "a jacket however not a red one"), (7, ""), (8, "show me a skirt but without pink"),
+    ]
+    df = spark.createDataFrame(rows, "id int, text string")
+    lex = nlu.lexicon_frame(spark, LEXICON)
+    yes = sorted(tuple(r)[:3] for r in nlu.extract_attributes(df, "id", "text", lex).collect())
+    no = sorted(tuple(r)[:3] for r in nlu.extract_attributes(df, "id", "text", lex, negative=True).collect())
+    assert yes == [
+        (1, "colour_group", "Black"), (1, "product_type", "Dress"), (2, "product_type", "Trousers"), (3, "colour_group", "Dark Blue"), (3, "product_type", "Sneakers"), (4, "colour_group", "White"), (4, "product_type", "Dress"),
+        (5, "colour_group", "Light Blue"), (5, "product_type", "Jacket"), (6, "product_type", "Jacket"), (8, "product_type", "Skirt"),
+    ]
+    assert no == [(2, "fit", "Skinny fit"), (3, "product_type", "Boots"), (4, "colour_group", "Black"), (6, "colour_group", "Red"), (8, "colour_group", "Pink")]
+
+
+def test_types_that_name_none(spark):
+    df = spark.createDataFrame([("gala attire",), ("Something nice",), ("looks",), ("Dress",)], "t string")
+    assert [r[0] for r in df.select(nlu.usable_type(F.col("t"))).collect()] == ["", "", "looks", "Dress"]
+
+
+def test_lexicon_of_values(spark):
+    got = nlu.lexicon_of(spark.createDataFrame([("c", "Dark Blue"), ("c", "dark blue"), ("c", ""), ("t", "T-shirt"), ("t", None)], "field string, value string"))
+    assert sorted((r["field"], r["surface"], r["value"], r["n_words"]) for r in got.collect()) == [("c", "dark blue", "Dark Blue", 2), ("t", "t shirt", "T-shirt", 2)]

@@ -25,7 +25,22 @@ def test_state_counts_every_event(spark, sf_dir, stream):
     assert {r["user_id"]: r["n"] for r in got.collect()} == want
 
 
-def test_upsert_sink(spark, tmp_path, stream):
-    q = EV.upsert_sink(stream, str(tmp_path / "out"), "user_id", str(tmp_path / "ck"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).groupBy("user_id").count().where("count > 1").count() == 0
+def test_upsert_sink(spark, tmp_path):
+    """Two batches with the same key: the latest row stays, and keys of the first batch too."""
+    folder = str(tmp_path / "in")
+    schema = "key long, ts long, v string"
+    stream = lambda: spark.readStream.schema(schema).parquet(folder)
+    for rows in ([(1, 5, "a"), (1, 9, "b"), (1, 2, "c"), (2, 1, "x")], [(3, 1, "y"), (1, 7, "late"), (2, 4, "z")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        EV.upsert_sink(stream(), str(tmp_path / "out"), "key", "ts", str(tmp_path / "ck")).awaitTermination()
+    assert sorted(tuple(r) for r in EV.read_latest(spark, str(tmp_path / "out")).collect()) == [(1, 9, "b"), (2, 4, "z"), (3, 1, "y")]
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """Rows behind the watermark of an earlier batch do not count again."""
+    folder = str(tmp_path / "in")
+    for day, ids in ((10, [1, 2]), (20, [3]), (1, [4])):
+        spark.createDataFrame([(i, f"2024-01-{day:02d} 00:00:00", 1, "e", 1.0, "") for i in ids], "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
+        q = EV.tumbling(EV.read_events(spark, folder)).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
