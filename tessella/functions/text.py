@@ -183,3 +183,9 @@ def gender_of(index: Column | str, section: Column | str) -> Column:
     first = F.coalesce(F.get(F.split(s, r"\s+"), F.lit(0)), F.lit(""))
     women = i.contains("ladies") | first.isin("womens", "ladies", "mama") | s.contains("women")
     return F.when((i == "menswear") | (first == "men"), "Men").when(women, "Women").otherwise("")
+
+
+def without_words(text: Column | str, words: Column) -> Column:
+    """The text without the words of an array, in lower case and cut at spaces; the whole text if nothing is left."""
+    kept = F.filter(F.split(_c(text), " "), lambda w: ~F.array_contains(words, F.lower(F.regexp_replace(w, r"^[.,!?]+|[.,!?]+$", ""))))
+    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(_c(text))

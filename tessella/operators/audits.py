@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,10 +56,9 @@ def pass_rates(rows: DataFrame, by: str, ok: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count_if(ok).alias("kept"), F.count("*").alias("n")).withColumn("rate", F.round(F.col("kept") / F.col("n"), 6))
 
 
-def call_plan(targets: Mapping[str, Mapping[str, int]], per_call: int, spark) -> DataFrame:
-    """(label, bucket, rows, calls): how many calls of per_call rows reach each target."""
-    rows = [(i, b, n) for i, m in targets.items() for b, n in m.items()]
-    return spark.createDataFrame(rows, "label string, bucket string, rows int").withColumn("calls", F.ceil(F.col("rows") / per_call).cast("long"))
+def call_plan(targets: DataFrame, per_call: int) -> DataFrame:
+    """(label, bucket, rows, calls) of (label, bucket, rows): how many calls of per_call rows reach each target."""
+    return targets.withColumn("calls", F.ceil(F.col("rows") / per_call).cast("long"))
 
 
 def conversation_summary(turns: DataFrame, conversation: str, tier: str, ok: str) -> DataFrame:
@@ -85,3 +84,26 @@ def check_results(results: Column, kind: str, *, field: str = "", values: Sequen
 def check_value(actual: Column, kind: str, expected: str = "") -> Column:
     a = F.coalesce(actual, F.lit(""))
     return {"equals": F.lower(a) == expected.lower(), "contains": F.lower(a).contains(expected.lower()), "present": a != "", "absent": a == ""}[kind]
+
+
+def check_pairs(actual: Column, expected: Column) -> Column:
+    """A predicate over maps: every expected key has its value."""
+    return F.size(F.map_filter(expected, lambda k, v: ~F.coalesce(F.try_element_at(actual, k) == v, F.lit(False)))) == 0
+
+
+def check_path(actual: Column, expected: Sequence[str]) -> Column:
+    """A predicate over an array of steps: all expected ones were taken."""
+    return F.size(F.array_except(F.array(*[F.lit(x) for x in expected]), actual)) == 0
+
+
+def hash_sample(rows: DataFrame, key: Column, n: int, seed: str = "42") -> DataFrame:
+    """The first n rows by a hash of the key and the seed; sampling is the feature."""
+    return rows.withColumn("__h", F.md5(F.concat(key, F.lit(seed)))).orderBy("__h", key).limit(n).drop("__h")
+
+
+def markdown(rows: DataFrame, title: str) -> DataFrame:
+    """(line) of a table in Markdown; write it as text. Its rows are a report's, in the order of the columns."""
+    cells = lambda cols: F.concat(F.lit("| "), F.concat_ws(" | ", *cols), F.lit(" |"))
+    body = rows.select(F.lit(1).alias("k"), cells([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("line"))
+    head = rows.sparkSession.createDataFrame([(0, f"## {title}\n\n| {' | '.join(rows.columns)} |\n|{' --- |' * len(rows.columns)}")], "k int, line string")
+    return head.unionByName(body).orderBy("k", "line").select("line")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil
 
 import numpy as np
@@ -32,11 +33,11 @@ def _tops(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[keep], i[keep], s[keep]
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str, query_id: str = "query", places: int = 9, group_col: str | None = None, same_group: bool | None = None, exclude_self: bool = False) -> DataFrame:
+def knn(items: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str, query_id: str = "query", places: int = 9, group_col: str | None = None, same_group: bool | None = None, allowed: Sequence[tuple[str, str]] | None = None, exclude_self: bool = False) -> DataFrame:
     """(query, id, score, rank): the k items of largest dot product for each query, ties by id.
 
     queries has query_id, vector_col and, with group_col, its group: same_group asks for equal (True) or different
-    (False) groups. Queries go through the driver in blocks of bounded size; where there are several, each block's hits
+    (False) groups, allowed for a (query's, item's) pair of groups from a list. Queries go through the driver in blocks of bounded size; where there are several, each block's hits
     are written before the next one, so that one block lives at a time. Each task keeps its k best for a query, so the
     shuffle carries k rows per query and task.
     """
@@ -61,12 +62,16 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col
                 for at in range(0, b.num_rows, TILE[1]):
                     part = b.slice(at, TILE[1])
                     x, ids = _matrix(part.column("v")), part.column("id").to_numpy()
-                    labels = np.array(part.column("g").to_pylist(), dtype=object) if same_group is not None else None
+                    labels = np.array(part.column("g").to_pylist(), dtype=object) if group_col else None
                     for a in range(0, len(q), TILE[0]):
                         z = min(a + TILE[0], len(q))
                         s = np.round(m[a:z] @ x.T, places)
                         if same_group is not None:
                             s[(g[a:z, None] == labels[None, :]) != same_group] = -np.inf
+                        if allowed is not None:
+                            for one in set(g[a:z]):
+                                fits = np.isin(labels, [y for x, y in allowed if x == one])
+                                s[np.ix_(g[a:z] == one, ~fits)] = -np.inf
                         if exclude_self:
                             s[q[a:z, None] == ids[None, :]] = -np.inf
                         row, i, s = _tops(s, ids, k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,3 +180,34 @@ def mean_of_neighbors(adj: DataFrame, vectors: DataFrame, key: str, vector_col:
 def sampling_weight(deg_a: Column, deg_b: Column) -> Column:
     """Edges between popular items weigh less."""
     return 1.0 / F.sqrt(deg_a.cast("double") * deg_b)
+
+
+def coverage_stats(found: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: nodes, warm and cold ones, coverage in percent, and the least, middle and largest weight."""
+    (name,) = items.columns
+    warm = endpoints(found).withColumnRenamed("item", name).withColumn("w", F.lit(1))
+    n = items.distinct().join(warm, name, "left").agg(F.count("*").alias("nodes"), F.count("w").alias("warm"))
+    n = n.withColumn("cold", F.col("nodes") - F.col("warm")).withColumn("coverage", F.round(100 * F.col("warm") / F.col("nodes"), 4))
+    w = found.agg(F.min("weight").alias("least"), F.percentile("weight", 0.5).alias("middle"), F.max("weight").alias("most"))
+    return n.crossJoin(F.broadcast(w))
+
+
+def partitions(items: DataFrame, by: str) -> DataFrame:
+    """(by, n, start): where each group begins if all items stand group by group, as samplers index them."""
+    n = items.groupBy(by).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    return n.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+
+
+def top_edges(found: DataFrame, k: int, method: str) -> DataFrame:
+    """(method, item, other, rank): the k heaviest neighbours."""
+    order = Window.partitionBy("item_a").orderBy(F.desc("weight"), "item_b")
+    kept = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return kept.select(F.lit(method).alias("method"), F.col("item_a").alias("item"), F.col("item_b").alias("other"), "rank")
+
+
+def disagreements(a: DataFrame, b: DataFrame, family: Callable[[Column], Column]) -> DataFrame:
+    """(item, one, two): items whose first neighbours by two methods differ, and not just in style (family of the id)."""
+    x = a.where("rank = 1").select("item", F.col("other").alias("one"))
+    y = b.where("rank = 1").select("item", F.col("other").alias("two"))
+    return x.join(y, "item").where((F.col("one") != F.col("two")) & (family(F.col("one")) != family(F.col("two"))))

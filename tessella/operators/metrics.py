@@ -158,3 +158,60 @@ def relevance_grade(type_ok: Column, attributes_ok: Column) -> Column:
 def lenient_match(a: Column, b: Column) -> Column:
     x, y = F.lower(a), F.lower(b)
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
+
+
+def random_negatives(anchors: DataFrame, n_items: int, positives: DataFrame, *, k: int, seed: str = "42", draws: int = 2, by: str = "anchor", item: str = "candidate") -> DataFrame:
+    """k negatives of each anchor among the items 1..n_items, drawn by hashes, so that no anchor meets every item.
+
+    draws times k numbers are drawn; repeats, the anchor itself and its positives go, and the first k stay.
+    """
+    each = anchors.select(by, F.explode(F.sequence(F.lit(1), F.lit(draws * k))).alias("j"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col("j").cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long")
+    one = each.withColumn(item, number % n_items + 1).groupBy(by, item).agg(F.min("j").alias("j")).where(F.col(by) != F.col(item))
+    one = one.join(positives.select(by, item), [by, item], "left_anti")
+    return one.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("j"))).where(F.col("r") <= k).drop("j")
+
+
+def banded_negatives(targets: DataFrame, pool: DataFrame, band: str, *, k: int, seed: str = "42") -> DataFrame:
+    """(target, candidate, r): k negatives of each target from its band; from all of the pool where the band has no more than k.
+
+    targets is (target, band), pool (candidate, band).
+    """
+    size = pool.groupBy(band).agg(F.count("*").alias("n"))
+    sized = targets.join(size, band, "left")
+    inside = sized.where(F.col("n") > k).join(pool, band).select("target", "candidate")
+    outside = sized.where(F.coalesce("n", F.lit(0)) <= k).select("target", F.lit(1).alias("one")).join(pool.select("candidate", F.lit(1).alias("one")), "one").select("target", "candidate")
+    found = inside.unionByName(outside).where("target <> candidate")
+    key = F.md5(F.concat_ws("|", F.col("target").cast("string"), F.col("candidate").cast("string"), F.lit(seed)))
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(key, "candidate"))).where(F.col("r") <= k)
+
+
+def attribute_shares(ranked: DataFrame, meta: DataFrame, fields: Sequence[str], k: int = 10) -> DataFrame:
+    """(query, a share for each field, hit): how many of the first k items have the query's value, and whether one has all.
+
+    ranked is (query, id, rank); meta has id and the fields for queries and items alike.
+    """
+    asked = meta.select(F.col("id").alias("query"), *[F.col(f).alias(f"q_{f}") for f in fields])
+    rows = ranked.where(F.col("rank") <= k).join(meta.select("id", *fields), "id").join(asked, "query")
+    same = {f: F.col(f) == F.col(f"q_{f}") for f in fields}
+    every = F.lit(True)
+    for c in same.values():
+        every = every & c
+    return rows.groupBy("query").agg(*[F.round(F.count_if(c) / k, 6).alias(f) for f, c in same.items()], F.max(every.cast("int")).alias("hit"))
+
+
+def cross_type(truth: DataFrame, type_a: str, type_b: str) -> DataFrame:
+    """Truth between two different types; an unknown type of the anchor gives none."""
+    return truth.where((F.coalesce(F.col(type_a), F.lit("")) != "") & (F.col(type_a) != F.col(type_b)))
+
+
+def three_scores(pred: DataFrame, backup: DataFrame, gold: DataFrame, by: str = "query") -> DataFrame:
+    """(scoring, tp, fp, fn, precision, recall, f1): is a field recognised, is its value right, and right with a backup's."""
+    there = lambda d: d.withColumn("value", F.lit("x"))
+    more = backup.join(pred.select(by, "field"), [by, "field"], "left_anti").select(by, "field", "value")
+    ensemble = pred.select(by, "field", "value").unionByName(more)
+    out = None
+    for name, p, g in (("recognition", there(pred), there(gold)), ("value", pred, gold), ("ensemble", ensemble, gold)):
+        c = field_scores(p, g, by).agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]).withColumn("scoring", F.lit(name))
+        out = c if out is None else out.unionByName(c)
+    return with_prf(out)

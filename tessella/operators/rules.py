@@ -98,6 +98,11 @@ def different_group(group_a: Column, group_b: Column, garment_a: Column, garment
     return group_a.isin(*exempt) | (group_a != group_b) | (garment_a != garment_b)
 
 
+def wanted_groups(a: Column, b: Column, unwanted: Sequence[str]) -> Column:
+    """Neither side is of an unwanted garment group."""
+    return ~(a.isin(*unwanted) | b.isin(*unwanted))
+
+
 def different_style(a: Column, b: Column) -> Column:
     return style_family(a) != style_family(b)
 

@@ -148,3 +148,15 @@ def majority_type(terms: DataFrame, counts: DataFrame, *, min_support: int = 15,
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "type"))
     best = each.withColumn("total", total).withColumn("rank", rank).where("rank = 1")
     return best.where((F.col("total") >= min_support) & (F.col("n") / F.col("total") >= min_share)).select("query", "type", "n", "total")
+
+
+def inspect(vocab: DataFrame, n: int, needle: str) -> DataFrame:
+    """(part, term, df, place): the n most and least frequent terms, and the n most frequent that contain the needle."""
+    parts = {"head": (vocab, F.desc("df")), "tail": (vocab, F.asc("df")), "match": (vocab.where(F.col("term").contains(needle)), F.desc("df"))}
+    out = None
+    for name, (rows, order) in parts.items():
+        # the limit runs in every task first; only its rows are numbered
+        few = rows.select("term", "df").orderBy(order, "term").limit(n)
+        few = few.select(F.lit(name).alias("part"), "term", "df", F.row_number().over(Window.orderBy(order, "term")).alias("place"))
+        out = few if out is None else out.unionByName(few)
+    return out

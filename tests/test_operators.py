@@ -209,3 +209,80 @@ def test_types_that_name_none(spark):
 def test_lexicon_of_values(spark):
     got = nlu.lexicon_of(spark.createDataFrame([("c", "Dark Blue"), ("c", "dark blue"), ("c", ""), ("t", "T-shirt"), ("t", None)], "field string, value string"))
     assert sorted((r["field"], r["surface"], r["value"], r["n_words"]) for r in got.collect()) == [("c", "dark blue", "Dark Blue", 2), ("t", "t shirt", "T-shirt", 2)]
+
+
+def test_json_logs_reports_and_buckets(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"id": 1,\n "v": "a"}')
+    assert [tuple(r) for r in tables.read_json(spark, str(tmp_path / "o.json"), "id int, v string").collect()] == [(1, "a")]
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string")
+    for _ in range(2):
+        tables.append_log(rows, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).where("logged_at RLIKE '^[0-9]{4}-.*Z$'").count() == 4
+    audits.markdown(rows, "Title").coalesce(1).write.text(str(tmp_path / "report"))
+    text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "report")).collect())
+    assert text.splitlines()[0] == "## Title" and "| id | v |" in text and "| 1 | x |" in text and "| 2 |  |" in text
+    tables.write_bucketed(rows, "bucketed_rows", "id", 2)
+    assert spark.table("bucketed_rows").count() == 2
+    spark.sql("DROP TABLE bucketed_rows")
+    for kind in ("orc", "parquet"):
+        rows.write.format(kind).save(str(tmp_path / kind))
+        assert spark.read.format(kind).load(str(tmp_path / kind)).count() == 2
+
+
+def test_a_kept_table_follows_its_sources(spark, tmp_path):
+    import os
+
+    from tessella.sources import stage
+
+    src, built = tmp_path / "src.txt", []
+    src.write_text("a")
+    df = lambda: built.append(1) or spark.read.text(str(src))
+    for _ in range(2):
+        assert stage.kept(spark, "kept-test", [str(src)], df).count() == 1
+    src.write_text("a\nb")
+    os.utime(src, (1, 1))
+    assert stage.kept(spark, "kept-test", [str(src)], df).count() == 2 and len(built) == 2
+
+
+def test_settings():
+    from tessella.settings import Settings
+
+    assert Settings.from_env({}) == Settings() and Settings.from_env({"TESSELLA_LIMIT": "5", "TESSELLA_BM25_B": "0.5"}) == Settings(limit=5, bm25_b=0.5)
+
+
+def test_learned_blend_and_item_vectors(spark):
+    rng = random.Random(3)
+    rows = [(float(x), rng.random(), int(x > 0.6)) for x in (rng.random() for _ in range(200))]
+    model = profiles.learned_blend(spark.createDataFrame(rows, "a double, b double, y int"), ["a", "b"], "y", "a")
+    got = model.transform(spark.createDataFrame(rows, "a double, b double, y int")).select("y", "prediction").collect()
+    assert sum(r["y"] == r["prediction"] for r in got) > 180
+    baskets = spark.createDataFrame([([1, 2],), ([3, 4],)] * 40, "items array<int>")
+    assert profiles.item_vectors(baskets, size=8).count() == 4
+
+
+def test_channels_of_a_query(spark):
+    from tessella.functions import text as TX
+    from tessella.functions import vectors as V
+
+    df = spark.createDataFrame([("red coat", [3.0, 4.0]), ("", None)], "t string, i array<double>")
+    a, b = df.select(V.query_channels(F.col("t"), F.col("i"), TX.words_alnum("t"), 16).alias("c")).select("c.*").collect()
+    assert a["image"] == [0.6, 0.8] and a["terms"] == ["red", "coat"] and abs(sum(x * x for x in a["dense"]) - 1) < 1e-9
+    assert b["image"] is None and b["terms"] is None and b["dense"] == df.limit(1).select(V.hashed_vector(F.array(F.lit("fashion"), F.lit("item")), 16)).first()[0]
+    assert df.select(TX.without_words("t", F.array(F.lit("coat")))).first()[0] == "red"
+
+
+def test_closest_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(dense, "TILE", (3, 4))
+    monkeypatch.setattr(dense, "QUERY_BLOCK_BYTES", 100)
+    rng = random.Random(4)
+    rows = [(i % 5, [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)]
+    items = [(i, [rng.gauss(0, 1) for _ in range(3)], i % 2) for i in range(11)]
+    a, b = spark.createDataFrame(rows, "g int, v array<double>"), spark.createDataFrame(items, "id int, v array<double>, s int")
+    got = {(r["g"], r["id"]): r["score"] for r in dense.closest(a, b, by="g", vector_col="v", id_col="id").collect()}
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    assert len(got) == 55 and all(abs(s - max(dot(v, items[i][1]) for h, v in rows if h == g)) < 1e-8 for (g, i), s in got.items())
+    near = dense.knn(b, b.withColumnRenamed("id", "query"), 3, id_col="id", vector_col="v", group_col="s", allowed=[("0", "1")]).collect()
+    assert {r["query"] % 2 for r in near} == {0} and {r["id"] % 2 for r in near} == {1}
+    for q in range(0, 11, 2):
+        want = sorted(((-round(dot(items[q][1], v), 9), i) for i, v, s in items if s == 1))[:3]
+        assert [r["id"] for r in sorted((r for r in near if r["query"] == q), key=lambda r: r["rank"])] == [i for _, i in want]
