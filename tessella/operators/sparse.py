@@ -76,11 +76,11 @@ class Index:
     n: int
     average: float
 
-    @classmethod
-    def of(cls, rows: DataFrame) -> Index:
-        """Of rows from index_rows(): the two numbers are one pass over four narrow columns."""
-        total = rows.agg(F.max("n"), F.sum("tf"), F.countDistinct("doc")).first()
-        return cls(rows.drop("n"), total[0] or 0, (total[1] or 0) / max(total[2], 1))
+    @staticmethod
+    def statistics(rows: DataFrame) -> DataFrame:
+        """One row (n, average) of rows from index_rows()."""
+        total = rows.agg(F.max("n").alias("n"), F.sum("tf").alias("words"), F.countDistinct("doc").alias("some"))
+        return total.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("words") / F.col("some"), F.lit(0.0)).alias("average"))
 
     def weight(self, method: str, *, k1: float = K1, b: float = B) -> Column:
         """The weight of a posting: bm25 or tfidf."""

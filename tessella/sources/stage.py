@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -24,10 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read back: evaluated once, with its lineage cut."""
+#: What this process has written for itself; it goes when the process ends.
+_mine: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    from pyspark import SparkContext
+
+    jvm = SparkContext._jvm
+    for path in _mine if jvm is not None else ():
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except Exception:  # the JVM has gone first; the folder's owner cleans up
+            return
+
+
+def written(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: it cuts lineage, and survives the loss of executors.
+
+    partition_by names a column that gets a folder for each of its values, so that a filter on it reads no others. The
+    files go when the process ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _mine.append(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,9 +72,18 @@ def folders_of(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
 
 
-def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """The table built from source files: built once for the state that they are in, and again when one changes."""
+def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], *, version: int = 1) -> DataFrame:
+    """The table built from source files: built once for the state that they are in, and again when one changes.
+
+    version counts the ways in which the table has been built; a new one is no old one's copy.
+    """
     from .tables import cached
 
     state = {p: files_of(spark, p) for p in sources}
-    return cached(spark, f"{shared_dir(spark)}/tessella/{name}", {"name": name, "sources": state}, build)
+    return cached(spark, f"{shared_dir(spark)}/tessella/{name}", {"name": name, "sources": state, "version": version}, build)
+
+
+def forget(spark: SparkSession, name: str) -> None:
+    """Delete all kept tables of the name."""
+    fs, at = _fs(spark, f"{shared_dir(spark)}/tessella/{name}")
+    fs.delete(at, True)
