@@ -15,6 +15,8 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 #: Items of one shard: what one task holds at a time.
 SHARD_ITEMS = 4096
@@ -99,9 +101,10 @@ def pack(
     # twice hashed: the shard must not follow from the hash that deals rows to tasks
     items = items.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), F.col("id")), F.lit(shards)).cast("int"))
     id_type = dict(docs.dtypes)[id_col]
+    numeric = isinstance(docs.schema[id_col].dataType, NumericType)
 
     def work(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["id"] is None, r["id"], r["n"], str(r["source"]), str(r["cluster"])))
+        rows = sorted(table.to_pylist(), key=lambda r: (r["id"] is None, r["id"] or 0 if numeric else str(r["id"]), r["n"], str(r["source"]), str(r["cluster"])))
         rest = [r["n"] % capacity or min(r["n"], capacity) for r in rows]
         placed = best_fit(rest, _numbers((r["source"] for r in rows), False), _numbers((r["cluster"] for r in rows), True), capacity)
         out: dict[str, list] = {k: [] for k in ("id", "segment", "start", "length", "shard", "bin", "bin_offset")}
@@ -116,11 +119,7 @@ def pack(
                 bins += not last
         return pa.table(out, schema=schema)
 
-    schema = pa.schema([("id", table_type(id_type)), ("segment", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("shard", pa.int32()), ("bin", pa.int64()), ("bin_offset", pa.int64())])
+    schema = pa.schema([("id", to_arrow_type(docs.schema[id_col].dataType)), ("segment", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("shard", pa.int32()), ("bin", pa.int64()), ("bin_offset", pa.int64())])
     packed = items.groupBy("shard").applyInArrow(work, f"id {id_type}, segment int, start long, length long, shard int, bin long, bin_offset long")
     name = F.concat_ws("-", "shard", "bin")
     return packed.select(F.col("id").alias(id_col), "segment", "start", "length", name.alias("bin"), "bin_offset")
-
-
-def table_type(spark_type: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[spark_type]

@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import written as materialize
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Where it is unset and Spark runs in one process, a folder of this machine serves; on a cluster that is an error,
-    since executors could not see each other's files.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, and survives the loss of executors.
-
-    partition_by names a column that gets a folder for each of its values, so that a filter on it reads no others.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z only, as the contracts ask; other letters stay."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
@@ -54,7 +26,7 @@ def tasks(spark: SparkSession) -> int:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nobody holds any more."""
+    """Let Spark delete the shuffle files of frames that nobody holds any more; Spark learns of them by collections."""
     import gc
 
     gc.collect()

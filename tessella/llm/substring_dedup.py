@@ -4,9 +4,11 @@ Every window of LENGTH bytes is routed by the least hash of the GRAM-byte string
 equal least hashes, so all occurrences of a window meet in one shard, wherever they stand. Consecutive windows with one
 least hash travel as one segment. A first pass over the hashes alone finds those that two different texts share, and
 only their segments travel. A shard then builds, block by block, the suffix array and Burrows-Wheeler order of its
-distinct segments and expands intervals breadth-first: common prefixes come out by increasing value through the
-order's successor mapping, and the expansion stops at LENGTH, where intervals are exactly the equal windows. The least
-document of an interval keeps its bytes; in the others they go.
+distinct segments and expands intervals breadth-first. A step puts one symbol before the strings of all intervals at
+once: two neighbours of the order stay together if their symbols agree and the suffixes behind these, which the inverse
+of the LF mapping gives, are in one interval of the step before. Common prefixes come out by increasing value, and the
+expansion stops at LENGTH, where intervals are exactly the equal windows. It starts at 32 bytes, whose intervals the
+sorting of the suffixes has left. The least document of an interval keeps its bytes; in the others they go.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ GRAM = 20
 SEGMENT_WINDOWS = 4096
 #: Windows that are hashed at a time.
 PIECE = 1 << 16
+#: Bytes of the input, as it is stored, for each shard.
+SHARD_BYTES = 16 << 20
 #: Bytes of distinct segments that one suffix array covers; a hash with more is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -345,8 +349,10 @@ def unite(spans: list[bytes], size: int) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, spans: array of binary) of rows (id, text) with something to remove. Null ids are left out."""
     spark = docs.sparkSession
-    shards = tasks(spark)
     rows = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    # a shard is held by one task: their number grows with the input, as far as Spark knows its size
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    shards = max(tasks(spark), -(-size // SHARD_BYTES) if 0 < size < 1 << 50 else 1)
     # whole copies need no search: all but the least id's go
     same = rows.where(F.octet_length("text") >= LENGTH).select("id", F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
     least = same.groupBy("h", "m").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,6 @@ from pyspark.sql import functions as F
 
 #: Tokens that a task holds while it packs.
 BLOCK_TOKENS = 2 << 20
-#: Distinct pieces whose ids a task remembers.
-CACHE_PIECES = 200_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -85,13 +82,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class Tokenizer:
-    """A public byte-level vocabulary of ranks; ids are exactly those of encode_ordinary() on the whole text.
-
-    Where a single space stands between two other characters, the pre-tokenizer always cuts before it, so such pieces
-    are encoded once and remembered. Texts with other white space next to a space are encoded whole.
-    """
-
-    _ODD = re.compile(r"^\s|\s$|\s (?=.)|\s\Z| (?=\s)", re.S)
+    """A public byte-level vocabulary of ranks; ids are those of encode_ordinary() on the whole text."""
 
     def __init__(self, data: bytes):
         import tiktoken
@@ -99,23 +90,10 @@ class Tokenizer:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
         self.encoding = tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        if len(self.cache) >= CACHE_PIECES:
-            self.cache.clear()
-        ids = np.array(self.encoding.encode_ordinary(piece), dtype=self.dtype).tobytes()
-        if len(piece) < 64:
-            self.cache[piece] = ids
-        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian bytes."""
-        if self._ODD.search(text):
-            return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype).tobytes()
-        get, piece = self.cache.get, self._piece
-        first, *rest = text.split(" ")
-        return b"".join([get(first) or piece(first) if first else b"", *[get(w) or piece(w) for w in [" " + r for r in rest]]])
+        return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype).tobytes()
 
     def decode(self, ids: bytes) -> str:
         return self.encoding.decode_bytes(np.frombuffer(ids, dtype=self.dtype).tolist()).decode("utf-8")
@@ -135,14 +113,16 @@ def read_bytes(spark, path: str) -> bytes:
         stream.close()
 
 
-SCHEMA = "row string, doc_ids array<long>, segments array<int>, ids binary, cu_seqlens array<int>, n_tokens int, sha256 string"
+SCHEMA = "row string, doc_ids array<long>, segments array<int>, ids binary, positions binary, cu_seqlens array<int>, n_tokens int, sha256 string"
 
 
-def pack_tokens(docs: DataFrame, vocabulary: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per row of the id matrix: row, doc_ids, segments, ids (little-endian), cu_seqlens, n_tokens, sha256 of ids.
+def pack_tokens(docs: DataFrame, vocabulary: str, *, capacity: int = 2048, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per row of the id matrix: row, doc_ids, segments, ids, positions, cu_seqlens, n_tokens, sha256 of the n_tokens ids.
 
-    Segment k of a document holds its ids k*capacity onwards; joined in order they are the whole document's ids. ids has
-    n_tokens values (no padding); matrix() pads them. Empty and null texts have no token and appear in no row; a null id
+    ids are capacity little-endian values, padded with pad_id behind the first n_tokens; positions (16 or 32 bits, as
+    the capacity needs) restart at 0 in every segment and are 0 in the padding. Segment k of a document holds its ids
+    k*capacity onwards; joined in order they are the whole document's ids. Rows are filled best within a block of
+    block_tokens; fill() says how well. Empty and null texts have no token and appear in no row; a null id
     stands as null; repeated rows are packed each; extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_bytes(docs.sparkSession, vocabulary))
@@ -151,6 +131,9 @@ def pack_tokens(docs: DataFrame, vocabulary: str, *, capacity: int = 2048, id_co
         tok = Tokenizer(shared.value)
         width = tok.dtype.itemsize
         part, block = TaskContext.get().partitionId(), 0
+        padding = pad_id.to_bytes(width, "little") * capacity
+        place = np.dtype("<u2") if capacity <= 1 << 16 else np.dtype("<u4")
+        counting = np.arange(capacity, dtype=place)
         held: list[tuple[int, int, bytes]] = []
         tokens = 0
 
@@ -158,14 +141,17 @@ def pack_tokens(docs: DataFrame, vocabulary: str, *, capacity: int = 2048, id_co
             nonlocal held, tokens, block
             bins = best_fit_decreasing([len(x[2]) // width for x in held], capacity)
             for at in range(0, len(bins), 256):
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(8)]
                 for b, members in enumerate(bins[at : at + 256], at):
                     ids = b"".join(held[i][2] for i in members)
                     cu = np.cumsum([0, *[len(held[i][2]) // width for i in members]]).tolist()
-                    for col, v in zip(out, (f"{part}-{block}-{b}", [held[i][0] for i in members], [held[i][1] for i in members], ids, cu, cu[-1], hashlib.sha256(ids).hexdigest()), strict=True):
+                    whole = ids + padding[len(ids) :]
+                    at_ = np.zeros(capacity, place)
+                    at_[: cu[-1]] = counting[: cu[-1]] - np.repeat(np.array(cu[:-1], place), np.diff(cu))
+                    for col, v in zip(out, (f"{part}-{block}-{b}", [held[i][0] for i in members], [held[i][1] for i in members], whole, at_.tobytes(), cu, cu[-1], hashlib.sha256(ids).hexdigest()), strict=True):
                         col.append(v)
-                types = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["row", "doc_ids", "segments", "ids", "cu_seqlens", "n_tokens", "sha256"])
+                types = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["row", "doc_ids", "segments", "ids", "positions", "cu_seqlens", "n_tokens", "sha256"])
             held, tokens, block = [], 0, block + 1
 
         step = capacity * width
@@ -190,15 +176,12 @@ def positions(cu_seqlens: list[int]) -> np.ndarray:
     return np.arange(cu[-1]) - np.repeat(cu[:-1], np.diff(cu))
 
 
-def write_packed(packed: DataFrame, path: str, *, capacity: int, pad_id: int = 0, width: int = 2) -> None:
-    """Write the matrix as Parquet: every row padded to capacity, with cu_seqlens and the positions where they restart."""
-
-    def pad(batches):
-        for b in batches:
-            ids = [x.as_py() + pad_id.to_bytes(width, "little") * (capacity - len(x.as_py()) // width) for x in b.column("ids")]
-            pos = [np.pad(positions(c), (0, capacity - n)).astype("<u4").tobytes() for c, n in zip(b.column("cu_seqlens").to_pylist(), b.column("n_tokens").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(ids, pa.binary()), b.column("cu_seqlens"), pa.array(pos, pa.binary())], ["row", "ids", "cu_seqlens", "positions"])
-
-    packed.mapInArrow(pad, "row string, ids binary, cu_seqlens array<int>, positions binary").write.mode("overwrite").parquet(path)
+def fill(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: rows, tokens, and the share of the matrix that is no padding."""
+    found = packed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+    return found.withColumn("fill", F.when(F.col("rows") > 0, F.col("tokens") / (F.col("rows") * capacity)).otherwise(1.0))
 
 
+def write_packed(packed: DataFrame, path: str) -> None:
+    """Write the matrix as Parquet: ids and positions of every row, with cu_seqlens."""
+    packed.select("row", "ids", "positions", "cu_seqlens").write.mode("overwrite").parquet(path)

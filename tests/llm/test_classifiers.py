@@ -73,3 +73,80 @@ def test_bit_sliced_filter_never_misses(spark):
     data = np.frombuffer(b"alpha beta gamma ", np.uint8)
     counts, n = model.counts(data, np.array([0, len(data)]))
     assert model.languages == ["x", "y"] and counts[0][0] == pytest.approx(n[0], rel=0.01) and counts[0][0] > counts[0][1]
+
+
+def plain_isotonic(x, y):
+    """Means of the least squares non-decreasing fit by the max-min formula, over distinct x."""
+    xs = np.unique(x)
+    at = [np.flatnonzero(x == v) for v in xs]
+    mean = lambda i, j: np.mean(np.concatenate([y[at[k]] for k in range(i, j + 1)]))
+    return xs, np.array([max(min(mean(i, j) for j in range(k, len(xs))) for i in range(k + 1)) for k in range(len(xs))])
+
+
+def test_quality_against_a_plain_twin(spark, sf_dir):
+    """Statistics, features, ridge by least squares on stacked rows, calibration by the max-min formula: all scores agree."""
+    import pyarrow as pa
+    from tessella.llm import bytesops
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    labels = {r["doc_id"]: float(r["quality"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    x = np.concatenate([quality.statistics(*bytesops.text_bytes(pa.array([r["text"]]))) for r in docs]).astype(np.float32).astype(float)
+    ids = np.array([r["doc_id"] for r in docs])
+    part = {r["id"]: r["p"] for r in spark.createDataFrame([(int(i),) for i in ids], "id long").selectExpr("id", "pmod(xxhash64(id, 7), 4) AS p").collect()}
+    use = np.array([i in labels and fold(i, 3) != 1 for i in ids])
+    y = np.array([labels.get(i, 0.0) for i in ids])
+    mean, scale = x[use].mean(axis=0), np.sqrt(np.maximum(x[use].var(axis=0), 1e-8))
+    rng = np.random.default_rng(7)
+    weights, shift = rng.normal(size=(x.shape[1], 192)) / np.sqrt(x.shape[1]), rng.uniform(0, 2 * np.pi, 192)
+    z = np.hstack([np.sqrt(2 / 192) * np.cos(np.clip((x - mean) / scale, -8, 8) @ weights + shift), np.ones((len(x), 1))])
+
+    def solve(rows):
+        # ridge as least squares with one more row for each penalised coefficient
+        more = np.diag([1.0] * 192 + [1e-9**0.5])
+        return np.linalg.lstsq(np.vstack([z[rows], more]), np.concatenate([y[rows], np.zeros(193)]), rcond=None)[0]
+
+    raw = np.zeros(len(x))
+    p = np.array([part[i] for i in ids])
+    for k in range(4):
+        mine = use & (p == k)
+        raw[mine] = z[mine] @ solve(np.flatnonzero(use & (p != k)))
+    bins = np.floor(np.clip(raw[use], -1, 2) / quality.BIN)
+    xs, fit = plain_isotonic(bins, y[use])
+    # knots: the weighted centre of each pooled block
+    n = np.array([(bins == v).sum() for v in xs])
+    blocks = [np.flatnonzero(np.isclose(fit, f, atol=1e-12)) for f in np.unique(fit.round(12))]
+    knots = np.array([np.average(xs[b], weights=n[b]) for b in blocks]), np.array([fit[b[0]] for b in blocks])
+    want = np.clip(np.interp(z @ solve(np.flatnonzero(use)), (knots[0] + 0.5) * quality.BIN, knots[1]), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in queries.op2_quality_classifier(spark, sf_dir).collect()}
+    far = [i for i, w in zip(ids, want, strict=True) if abs(got[i] - w) > 0.02]
+    # sums in another order move a few raw scores over the edge of a bin
+    assert len(far) <= 0.03 * len(ids), len(far)
+
+
+def test_language_against_plain_sets(spark, sf_dir):
+    """Python sets of 4-grams with exact membership: corrected popcounts of the filters give the same languages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+
+    def cut(text):
+        raw = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").lower().encode())
+        return [g for g in (raw[i : i + 4] for i in range(len(raw) - 3)) if b"  " not in g]
+
+    from collections import Counter, defaultdict
+
+    count = defaultdict(Counter)
+    for r in docs:
+        if r["lang"] is not None and fold(r["doc_id"], 5) != 0:
+            count[r["lang"]].update(cut(r["text"]))
+    total = {k: sum(c.values()) for k, c in count.items()}
+    rate = lambda g: {k: c[g] / total[k] for k, c in count.items() if c[g]}
+    known = {k: {g for g, n in c.items() if n >= 3 and n / total[k] >= 0.15 * sum(rate(g).values())} for k, c in count.items()}
+    rows = {r["doc_id"]: r for r in queries.op8_language_id(spark, sf_dir).collect()}
+    same = 0
+    for r in docs:
+        hits = {k: sum(g in s for g in cut(r["text"])) for k, s in sorted(known.items())}
+        best = max(hits, key=lambda k: hits[k])
+        got = rows[r["doc_id"]]
+        same += got["lang_pred"] == best
+        if sum(hits.values()) > 50:
+            assert got["score"] == pytest.approx(max(hits.values()) / sum(hits.values()), abs=0.02)
+    assert same >= 0.99 * len(docs)

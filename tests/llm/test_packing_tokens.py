@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -98,7 +99,10 @@ def unpacked(spark, docs, rows, capacity):
     parts = {}
     for r in rows:
         ids, cu = np.frombuffer(r["ids"], tok.dtype), r["cu_seqlens"]
-        assert len(ids) == cu[-1] == r["n_tokens"] <= capacity
+        assert len(ids) == capacity and cu[-1] == r["n_tokens"] <= capacity and not ids[cu[-1] :].any()
+        assert hashlib.sha256(ids[: cu[-1]].tobytes()).hexdigest() == r["sha256"]
+        where = np.frombuffer(r["positions"], "<u2")
+        assert len(where) == capacity and where.tolist() == token_output.positions(cu).tolist() + [0] * (capacity - cu[-1])
         for d, k, a, b in zip(r["doc_ids"], r["segments"], cu, cu[1:]):
             assert (d, k) not in parts
             parts[d, k] = ids[a:b].tobytes()
@@ -111,13 +115,32 @@ def unpacked(spark, docs, rows, capacity):
 
 def test_token_query_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    unpacked(spark, docs, queries.op9_token_output(spark, sf_dir).collect(), queries.PACK_CAPACITY)
+    packed = queries.op9_token_output(spark, sf_dir)
+    unpacked(spark, docs, packed.collect(), queries.PACK_CAPACITY)
+    assert token_output.fill(packed, queries.PACK_CAPACITY).first()["fill"] > 0.95
 
 
 def test_written_matrix(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two three"), (2, "four five")], "doc_id long, text string")
-    token_output.write_packed(token_output.pack_tokens(docs, VOCAB, capacity=16), str(tmp_path / "m"), capacity=16)
+    token_output.write_packed(token_output.pack_tokens(docs, VOCAB, capacity=16, pad_id=7), str(tmp_path / "m"))
     for r in spark.read.parquet(str(tmp_path / "m")).collect():
-        assert len(r["ids"]) == 32
-        assert np.frombuffer(r["positions"], "<u4")[: r["cu_seqlens"][-1]].tolist() == token_output.positions(r["cu_seqlens"]).tolist()
+        n = r["cu_seqlens"][-1]
+        assert len(r["ids"]) == 32 and set(np.frombuffer(r["ids"], "<u2")[n:]) <= {7}
+        assert np.frombuffer(r["positions"], "<u2")[:n].tolist() == token_output.positions(r["cu_seqlens"]).tolist()
     assert token_output.positions([0, 3, 5]).tolist() == [0, 1, 2, 0, 1]
+    assert token_output.fill(token_output.pack_tokens(docs.limit(0), VOCAB), 16).first()["fill"] == 1.0
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(5,0)", "short", "date"])
+def test_pack_ids_of_any_type(spark, kind):
+    docs = spark.sql(f"SELECT CAST({"date_add(current_date(), CAST(id AS INT))" if kind == "date" else "id"} AS {kind}) AS doc_id, 'w x' AS text, 's' AS source FROM range(5) UNION ALL SELECT NULL, 'y', NULL")
+    got = packing.pack(docs).collect()
+    assert len(got) == 6 and {r["doc_id"] for r in got} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_bins_are_filled(spark, sf_dir):
+    """Residual room is small where no source holds more than a bin's share."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("source").selectExpr("doc_id", "text", "cast(doc_id as string) AS source")
+    rows = packing.pack(docs, capacity=2048).collect()
+    bins = {r["bin"] for r in rows}
+    assert sum(r["length"] for r in rows) > 0.9 * 2048 * len(bins)

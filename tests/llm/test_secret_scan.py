@@ -61,11 +61,47 @@ def test_redact(spark):
     assert found.select(secret_scan.redact(F.col("text"), F.col("spans"))).first()[0] == "aé [secret] z"
 
 
+OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+
+
+def whole(docs):
+    """Base and added spans of every row in plain Python: opaque tokens that one owner and at most three rows hold."""
+    base, more, holders = {}, {}, {}
+    for d in docs:
+        text = d["text"] or ""
+        base[d["doc_id"]] = plain(text)
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base[d["doc_id"]]]
+        found = [m for m in OPAQUE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= 8]
+        more[d["doc_id"]] = [m for m in found if not any(a < m.end() and m.start() < b for a, b in taken)]
+        values = [m[0] for m in more[d["doc_id"]]]
+        for x in base[d["doc_id"]]:
+            kind, a, b = x.split(":")
+            piece = text[int(a) : int(b)]
+            values.append(ASSIGN.match(piece)[2] if kind == "assign" else piece)
+        for v in values:
+            holders.setdefault(v, set()).add((d["source"], d["doc_id"]))
+    rank = {"assign": 0, "access": 1, "hex": 2, "opaque": 3}
+    out = {}
+    for d in docs:
+        live = [m for m in more[d["doc_id"]] if len({s for s, _ in holders[m[0]]}) <= 1 and len(holders[m[0]]) <= 3]
+        spans = base[d["doc_id"]] + [f"opaque:{m.start()}:{m.end()}" for m in live]
+        out[d["doc_id"]] = sorted(spans, key=lambda x: (int(x.split(":")[1]), rank[x.split(":")[0]]))
+    return out
+
+
 def test_query_over_table(spark, sf_dir):
     rows = {r["doc_id"]: r for r in queries.op6_secret_scan(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     assert len(rows) == len(docs)
+    spans = whole(docs)
     for d in docs:
-        want = plain(d["text"])
-        assert rows[d["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
-        assert rows[d["doc_id"]]["n_hex"] == sum(x.startswith("hex") for x in want)
+        want, got = plain(d["text"]), rows[d["doc_id"]]
+        assert got["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        for kind in ("assign", "access", "hex"):
+            assert got[f"n_{kind}"] == sum(x.startswith(kind) for x in want)
+        assert got["spans"] == ",".join(spans[d["doc_id"]])
+
+
+def test_extra_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", "s", "a", 2, 3, "h")], "doc_id long, text string, source string, spans string, base int, row int, hash string")
+    assert [s.kind for s in secret_scan.scan_secrets(docs).first()["spans"]] == ["assign"]
