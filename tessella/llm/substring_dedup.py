@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     # a shard is held by one task: their number grows with the input, as far as Spark knows its size
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     shards = max(tasks(spark), -(-size // SHARD_BYTES) if 0 < size < 1 << 50 else 1)
     # whole copies need no search: all but the least id's go
     same = rows.where(F.octet_length("text") >= LENGTH).select("id", F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
