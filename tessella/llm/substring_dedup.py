@@ -6,9 +6,9 @@ least hash travel as one segment. A first pass over the hashes alone finds those
 only their segments travel. A shard then builds, block by block, the suffix array and Burrows-Wheeler order of its
 distinct segments and expands intervals breadth-first. A step puts one symbol before the strings of all intervals at
 once: two neighbours of the order stay together if their symbols agree and the suffixes behind these, which the inverse
-of the LF mapping gives, are in one interval of the step before. Common prefixes come out by increasing value, and the
-expansion stops at LENGTH, where intervals are exactly the equal windows. It starts at 32 bytes, whose intervals the
-sorting of the suffixes has left. The least document of an interval keeps its bytes; in the others they go.
+of the LF mapping gives, are in one interval of the step before. The first step knows symbols alone; common prefixes come
+out by increasing value, and the expansion stops at LENGTH, where intervals are exactly the equal windows. The least
+document of an interval keeps its bytes; in the others they go.
 """
 
 from __future__ import annotations
@@ -102,10 +102,8 @@ def equal_windows(x: np.ndarray, length: int = LENGTH) -> np.ndarray:
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : n + i]
     order, rank = _dense(key)
-    start, depth, first = 8, 8, rank
+    depth = 8
     while depth < length:
-        # the deepest intervals so far, from which the expansion starts
-        start, first = depth, rank
         follow = np.zeros(n, np.int64)
         follow[: max(n - depth, 0)] = rank[depth:]
         order, rank = _dense((rank << 32) | follow)
@@ -114,20 +112,21 @@ def equal_windows(x: np.ndarray, length: int = LENGTH) -> np.ndarray:
     position[order] = np.arange(n, dtype=np.int32)
     position[n] = n
     successor = position[np.concatenate((order + 1, [n]))]  # where each suffix without its first byte stands
-    # from intervals of that common prefix, one more byte at a time: neighbours stay together while their successors do
-    known = first[order]
+    # from the intervals of one symbol, one more at a time: neighbours stay together while their successors do
+    symbol = x[order]
     bound = np.ones(n + 1, dtype=bool)
-    bound[1:n] = known[1:] != known[:-1]
-    open_ = np.flatnonzero(~bound)
+    bound[1:n] = symbol[1:] != symbol[:-1]
+    open_ = np.flatnonzero(~bound).astype(np.int32)
     here, before = successor[open_], successor[open_ - 1]
-    for _ in range(start, length):
+    for _ in range(1, length):
         if not len(open_):
             break
         interval = np.cumsum(bound, dtype=np.int32)
         apart = interval[here] != interval[before]
-        bound[open_[apart]] = True
-        together = ~apart
-        open_, here, before = open_[together], here[together], before[together]
+        if apart.any():
+            bound[open_[apart]] = True
+            together = ~apart
+            open_, here, before = open_[together], here[together], before[together]
     return np.cumsum(bound, dtype=np.int32)[position[:n]]
 
 
