@@ -68,10 +68,16 @@ def conversation_summary(turns: DataFrame, conversation: str, tier: str, ok: str
     return each.groupBy("tier").agg(F.sum("t").alias("turns"), F.sum("p").alias("turns_ok"), F.count("*").alias("conversations"), F.count_if("whole").alias("conversations_ok"))
 
 
-def model_against_rules(rows: DataFrame, gold: str, model: str, final: str) -> DataFrame:
-    """One row: accuracy of the model and after the rules, and how often the rules helped or hurt."""
+def model_against_rules(rows: DataFrame, gold: str, model: str, final: str, confidence: str | None = None) -> DataFrame:
+    """One row: accuracy of the model and after the rules, how often the rules helped or hurt, and, with a confidence,
+    its mean and least where the model is right, and its mean and greatest where it is wrong (0 if there are none)."""
     m, f = F.col(model) == F.col(gold), F.col(final) == F.col(gold)
-    return rows.agg(F.count("*").alias("n"), F.count_if(m).alias("model_ok"), F.count_if(f).alias("final_ok"), F.count_if(f & ~m).alias("helped"), F.count_if(m & ~f).alias("hurt"))
+    found = [F.count("*").alias("n"), F.count_if(m).alias("model_ok"), F.count_if(f).alias("final_ok"), F.count_if(f & ~m).alias("helped"), F.count_if(m & ~f).alias("hurt"), F.count_if(F.col(model) != F.col(final)).alias("disagree")]
+    if confidence:
+        right, wrong = F.when(m, F.col(confidence)), F.when(~m, F.col(confidence))
+        parts = {"right_mean": F.avg(right), "right_least": F.min(right), "wrong_mean": F.avg(wrong), "wrong_most": F.max(wrong)}
+        found += [F.coalesce(c, F.lit(0.0)).alias(name) for name, c in parts.items()]
+    return rows.agg(*found)
 
 
 def check_results(results: Column, kind: str, *, field: str = "", values: Sequence[str] = (), least: float = 0.0) -> Column:

@@ -131,6 +131,22 @@ def borrowed_neighbors(twins: DataFrame, adj: DataFrame) -> DataFrame:
     return joined.where("item <> neighbour").groupBy("item", "neighbour").agg(F.round(F.sum("similarity"), 9).alias("score"))
 
 
+def borrow_scores(twins: DataFrame, adj: DataFrame, fit: Column, vectors: DataFrame, *, tie: float = 0.01, places: int = 9) -> DataFrame:
+    """(item, neighbour, one, all) from twins (item, twin, similarity): what a twin's edges say of an item's own.
+
+    one is 1 where the closest twin has the edge, all the sum of the similarities of the twins that have it; both with
+    tie * fit, a column over own and other, the vectors (key, vector) of the two ends. Ties of twins go to the least id.
+    """
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("similarity"), "twin"))
+    edges_of = adj.select(F.col("item_a").alias("twin"), F.col("item_b").alias("neighbour"))
+    x = twins.withColumn("place", place).join(edges_of, "twin").where("item <> neighbour")
+    x = x.groupBy("item", "neighbour").agg(F.max(F.when(F.col("place") == 1, 1.0).otherwise(0.0)).alias("one"), F.sum("similarity").alias("all"))
+    own, other = vectors.select(F.col("key").alias("item"), F.col("vector").alias("own")), vectors.select(F.col("key").alias("neighbour"), F.col("vector").alias("other"))
+    extra = F.coalesce(fit, F.lit(0.0)) * tie
+    x = x.join(own, "item", "left").join(other, "neighbour", "left").withColumn("extra", extra)
+    return x.select("item", "neighbour", *[F.round(F.col(c) + F.col("extra"), places).alias(c) for c in ("one", "all")])
+
+
 def first_tier(tiers: list[DataFrame], by: str = "item") -> DataFrame:
     """Rows of the first frame that has any for an item; each has (by, candidate, score), tier counts from 1."""
     whole = None

@@ -260,10 +260,12 @@ def fusion_ablation(spark, sf_dir):
     return g.groupBy(F.col("branch").alias("method")).agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("grade", F.lit(0))), 6).alias("mean_grade"), F.round(F.sum(F.when(F.col("grade") == 2, 1.0 / F.col("rank")).otherwise(0.0)), 5).alias("weighted"))
 
 
-@query(f"{_MODEL} SELECT count(*) AS n, count(CASE WHEN pred = truth THEN 1 END) AS model_ok, count(CASE WHEN f = truth THEN 1 END) AS final_ok, count(CASE WHEN f = truth AND pred <> truth THEN 1 END) AS helped, count(CASE WHEN f <> truth AND pred = truth THEN 1 END) AS hurt FROM (SELECT *, CASE WHEN item % 9 = 0 THEN 'PROMO' ELSE pred END AS f FROM x)")
+@query(f"""{_MODEL} SELECT count(*) AS n, count(CASE WHEN pred = truth THEN 1 END) AS model_ok, count(CASE WHEN f = truth THEN 1 END) AS final_ok, count(CASE WHEN f = truth AND pred <> truth THEN 1 END) AS helped, count(CASE WHEN f <> truth AND pred = truth THEN 1 END) AS hurt, count(CASE WHEN f <> pred THEN 1 END) AS disagree,
+round(avg(CASE WHEN pred = truth THEN c END), 6) AS right_mean, min(CASE WHEN pred = truth THEN c END) AS right_least, round(avg(CASE WHEN pred <> truth THEN c END), 6) AS wrong_mean, max(CASE WHEN pred <> truth THEN c END) AS wrong_most
+FROM (SELECT *, CASE WHEN item % 9 = 0 THEN 'PROMO' ELSE pred END AS f, (item * 37 % 100) / 100.0 AS c FROM x)""")
 def model_against_rules(spark, sf_dir):
-    rows = _model(spark, sf_dir).withColumn("final", F.when(F.col("item") % 9 == 0, "PROMO").otherwise(F.col("pred")))
-    return audits.model_against_rules(rows, "truth", "pred", "final")
+    rows = _model(spark, sf_dir).withColumn("final", F.when(F.col("item") % 9 == 0, "PROMO").otherwise(F.col("pred"))).withColumn("confidence", F.col("item") * 37 % 100 / 100.0)
+    return audits.model_against_rules(rows, "truth", "pred", "final", "confidence").withColumns({c: F.round(c, 6) for c in ("right_mean", "wrong_mean")})
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity, grouping(l_returnflag) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")

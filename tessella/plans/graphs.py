@@ -301,6 +301,31 @@ def personal_rerank(spark, sf_dir):
     return r.withColumn("s", s).select("customer", "item", "rank", F.round("s", 6).alias("score"), F.row_number().over(w.orderBy(F.desc("s"), "rank")).alias("new_rank"))
 
 
+@query(f"""WITH {BASKETS}, {_ADJ}, {_HISTORY.removeprefix(PURCHASES + ", ")}, {_VECS}, ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cnt AS (SELECT item, count(*) AS cnt FROM pur GROUP BY 1), pp AS (SELECT item, ln(1 + cnt) / ln(1 + max(cnt) OVER ()) AS pop FROM cnt),
+ts AS (SELECT customer, i, round(sum(exp(CASE WHEN n > 1 THEN -2.0 + 2.0 * (position - 1) / (n - 1) ELSE -2.0 END) * x), 9) AS x FROM h, m, ev WHERE ev.vec_id = h.item % m.m GROUP BY 1, 2),
+tl AS (SELECT customer, list(x / CASE WHEN t = 0 THEN 1 ELSE t END ORDER BY i) AS taste FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY customer)) AS t FROM ts) GROUP BY 1),
+ca AS (SELECT customer, item_b AS item, row_number() OVER (PARTITION BY customer ORDER BY weight DESC, item_b) AS rank, count(*) OVER (PARTITION BY customer) AS n FROM h JOIN adj ON item_a = item WHERE position = n),
+cv AS (SELECT ca.*, v FROM ca, m, ve WHERE vec_id = ca.item % m.m),
+si AS (SELECT cv.customer, cv.item, max(round(list_dot_product(cv.v, ve.v), 9)) AS nearest FROM cv JOIN h USING (customer), m, ve WHERE ve.vec_id = h.item % m.m GROUP BY 1, 2),
+sc AS (SELECT customer, item, rank, round((n - rank + 1) / n + 0.14 * round(list_dot_product(v, taste), 9) + 0.13 * pop + 0.07 * nearest, 9) AS s FROM cv JOIN tl USING (customer) JOIN si USING (customer, item) JOIN pp USING (item))
+SELECT customer, item, rank, round(s, 5) AS score, row_number() OVER (PARTITION BY customer ORDER BY s DESC, rank) AS new_rank FROM sc""")
+def personal_rerank_taste(spark, sf_dir):
+    """What goes with a customer's last item, ranked anew by taste: all four parts of the score."""
+    pur = purchases(spark, sf_dir)
+    past = _history_vectors(spark, sf_dir).select("customer", "item", "position", "n", F.col("embedding").alias("vector"))
+    w = Window.partitionBy("customer")
+    last = past.where("position = n").select("customer", F.col("item").alias("item_a"))
+    c = last.join(graph.adjacency(cobuy(spark, sf_dir)), "item_a").select("customer", F.col("item_b").alias("item"), "weight")
+    c = c.withColumn("rank", F.row_number().over(w.orderBy(F.desc("weight"), "item"))).withColumn("total", F.count("*").over(w)).drop("weight")
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    c = c.crossJoin(F.broadcast(e.agg((F.max("vec_id") + 1).alias("m")))).withColumn("vec_id", F.col("item") % F.col("m")).drop("m").join(e, "vec_id", "left")
+    c = profiles.taste_signals(c, past).join(profiles.popularity(pur, "item").select("item", F.col("score").alias("pop")), "item")
+    s = F.round(profiles.personal_score(profiles.prior(F.col("rank"), F.col("total")), F.col("recency"), F.col("pop"), F.col("similar")), 9)
+    c = c.withColumn("s", s)
+    return c.select("customer", "item", "rank", F.round("s", 5).alias("score"), F.row_number().over(w.orderBy(F.desc("s"), "rank")).alias("new_rank"))
+
+
 @query(f"WITH {BASKETS}, {_ADJ}, {_VECS}, own AS (SELECT vec_id AS item, vec_id AS source FROM embeddings UNION ALL SELECT item_a, item_b FROM adj), s AS (SELECT item, i, avg(x) AS x FROM own JOIN ev ON source = vec_id GROUP BY 1, 2) SELECT item, i, round(x, 6) AS x FROM s")
 def neighbor_mean(spark, sf_dir):
     """One step of averaging over neighbours and self."""

@@ -326,17 +326,23 @@ def variant_profiles(spark, sf_dir):
     return v.groupBy("variant").agg(F.count("*").alias("edges"), F.round(F.avg("weight"), 4).alias("mean_weight")).join(nodes, "variant")
 
 
-@query(f"""WITH {BASKETS}, {_ADJ}, {_TWINS}, b AS (SELECT item, item_b AS doc, round(count(*) + 0.01 * sum(similarity), 9) AS score FROM tw JOIN adj ON twin = item_a WHERE item <> item_b GROUP BY 1, 2),
-r AS (SELECT item, doc, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc) AS rank FROM b QUALIFY rank <= 10), t AS (SELECT item_a AS item, item_b AS doc FROM adj WHERE item_a % 4 = 0), n AS (SELECT item, count(*) AS n FROM t GROUP BY 1)
-SELECT n.item, round(count(t.doc) / max(n.n), 6) AS recall FROM r JOIN n USING (item) LEFT JOIN t ON t.item = r.item AND t.doc = r.doc GROUP BY 1""")
+@query(f"""WITH {BASKETS}, {_ADJ}, {_TWINS}, tp AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, twin) AS place FROM tw),
+b AS (SELECT item, item_b AS doc, max(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END) AS one, sum(similarity) AS al FROM tp JOIN adj ON twin = item_a WHERE item <> item_b GROUP BY 1, 2),
+bt AS (SELECT item, doc, one, al, coalesce(0.01 * round(list_dot_product(x.v, y.v), 6), 0) AS extra FROM b LEFT JOIN e x ON x.vec_id = item LEFT JOIN e y ON y.vec_id = doc),
+bm AS (SELECT 'one' AS method, item, doc, round(one + extra, 9) AS score FROM bt UNION ALL SELECT 'all', item, doc, round(al + extra, 9) FROM bt),
+r AS (SELECT method, item, doc, row_number() OVER (PARTITION BY method, item ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 10), t AS (SELECT item_a AS item, item_b AS doc FROM adj WHERE item_a % 4 = 0), n AS (SELECT item, count(*) AS n FROM t GROUP BY 1)
+SELECT method, n.item, round(count(t.doc) / max(n.n), 6) AS recall FROM r JOIN n USING (item) LEFT JOIN t ON t.item = r.item AND t.doc = r.doc GROUP BY 1, 2""")
 def borrow_evaluation(spark, sf_dir):
-    """How many of a cold item's true neighbours its twins' neighbours hold."""
+    """How many of a cold item's true neighbours its twins' neighbours hold, by the closest twin or by all of them."""
     adj = graph.adjacency(cobuy(spark, sf_dir))
-    x = _twins(spark, sf_dir).join(adj.select(_C("item_a").alias("twin"), _C("item_b").alias("doc")), "twin").where("item <> doc")
-    b = x.groupBy("item", "doc").agg(F.round(F.count("*") + 0.01 * F.sum("similarity"), 9).alias("score"))
-    ranked = sparse.top_k(b.withColumnRenamed("item", "query"), 10)
+    vectors = _vectors(spark, sf_dir).select(_C("vec_id").alias("key"), _C("embedding").alias("vector"))
+    b = written(graph.borrow_scores(_twins(spark, sf_dir), adj, F.round(V.dot(_C("own"), _C("other")), 6), vectors), "borrow-scores")
     truth = adj.where("item_a % 4 = 0").select(_C("item_a").alias("query"), _C("item_b").alias("doc"))
-    return metrics.at_k(ranked, truth, 10).select(_C("query").alias("item"), F.round("recall", 6).alias("recall"))
+    found = []
+    for method in ("one", "all"):
+        ranked = sparse.top_k(b.select(_C("item").alias("query"), _C("neighbour").alias("doc"), _C(method).alias("score")), 10)
+        found.append(metrics.at_k(ranked, truth, 10).select(F.lit(method).alias("method"), _C("query").alias("item"), F.round("recall", 6).alias("recall")))
+    return found[0].unionByName(found[1])
 
 
 _FIT = f"""z AS (SELECT vec_id, v, list_value({', '.join(repr(x) for x in _SLOT_NAMES)})[label % 5 + 1] AS slot FROM e), al(sa, sb) AS (VALUES {', '.join(map(str, _ALLOWED))}),

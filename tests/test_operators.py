@@ -286,3 +286,19 @@ def test_closest_of_a_group(spark, monkeypatch):
     for q in range(0, 11, 2):
         want = sorted(((-round(dot(items[q][1], v), 9), i) for i, v, s in items if s == 1))[:3]
         assert [r["id"] for r in sorted((r for r in near if r["query"] == q), key=lambda r: r["rank"])] == [i for _, i in want]
+
+
+def test_taste_signals(spark):
+    """By hand; no vector and no past give 0."""
+    past = spark.createDataFrame([(1, [1.0, 0.0], 1, 2), (1, [0.0, 1.0], 2, 2)], "customer long, vector array<double>, position long, n long")
+    cands = spark.createDataFrame([(1, 5, [0.6, 0.8]), (1, 6, None), (2, 5, [0.6, 0.8])], "customer long, item long, vector array<double>")
+    got = {(r["customer"], r["item"]): (r["recency"], r["similar"]) for r in profiles.taste_signals(cands, past).collect()}
+    old, new = math.exp(-2), 1.0
+    want = (0.6 * old + 0.8 * new) / math.hypot(old, new)
+    assert got[1, 5] == (pytest.approx(want, abs=1e-8), 0.8)
+    assert got[1, 6] == got[2, 5] == (0.0, 0.0)
+
+
+def test_model_against_rules_without_errors(spark):
+    r = audits.model_against_rules(spark.createDataFrame([("a", "a", "a", 0.5)], "g string, m string, f string, c double"), "g", "m", "f", "c").first()
+    assert (r["n"], r["disagree"], r["right_mean"], r["right_least"], r["wrong_mean"], r["wrong_most"]) == (1, 0, 0.5, 0.5, 0.0, 0.0)
