@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -101,6 +102,24 @@ def intent_rules(spark, sf_dir):
     return _intents(spark, sf_dir).drop("text")
 
 
+_CUES = ("colour", "color")
+
+
+@query(f"""WITH {_RULE}, sx AS (SELECT id, split_part(ir, '|', 1) AS intent, coalesce(lag(split_part(ir, '|', 1)) OVER w, '') AS before, row_number() OVER w > 1 AS anchored, id % 5 = 0 AS image, lower(coalesce(text, '')) AS low
+ FROM i JOIN req USING (id) WINDOW w AS (PARTITION BY id // 8 ORDER BY id)),
+sy AS (SELECT *, CASE WHEN anchored AND {_ANY(_CUES, "low")} AND intent = '{nlu.SIMILAR}' THEN '{nlu.VARIANT}' WHEN contains(low, ' in ') AND before IN ('{nlu.GRAPH}', '{nlu.VARIANT}') AND anchored AND intent = '{nlu.SIMILAR}' THEN before
+ WHEN image AND intent IN ('{nlu.CHAT}', '{nlu.COMPOSITE}') THEN '{nlu.SIMILAR}' ELSE intent END AS final FROM sx)
+SELECT id, intent, final, CASE WHEN final = '{nlu.COMPOSITE}' THEN 'composite' WHEN final = '{nlu.CHAT}' THEN 'chit_chat' WHEN final IN ('{nlu.GRAPH}', '{nlu.VARIANT}') AND NOT anchored THEN 'needs_reference' END AS answer FROM sy""")
+def session_routes(spark, sf_dir):
+    """Every request after the session's last one; sessions are runs of eight ids, and every fifth id has an image."""
+    w = Window.partitionBy(F.floor(F.col("id") / 8)).orderBy("id")
+    r = _intents(spark, sf_dir).withColumn("before", F.coalesce(F.lag("intent").over(w), F.lit(""))).withColumn("anchored", F.row_number().over(w) > 1)
+    low = F.lower(F.coalesce("text", F.lit("")))
+    cue = low.contains(_CUES[0]) | low.contains(_CUES[1])
+    final = nlu.route(F.col("intent"), F.col("anchored"), F.col("id") % 5 == 0, F.col("before"), variant_cue=cue, refinement=low.contains(" in "))
+    return r.withColumn("final", final).select("id", "intent", "final", nlu.direct_response(F.col("final"), F.col("anchored")).alias("answer"))
+
+
 _LOW = "lower(coalesce(text, ''))"
 _TARGET_SQL = f"left({_LOW}, least(" + ", ".join(f"CASE WHEN contains({_LOW}, '{c}') THEN strpos({_LOW}, '{c}') - 1 ELSE length({_LOW}) END" for c in nlu.CONNECTIVES) + "))"
 _SLOT_SQL = "CASE " + " ".join(f"WHEN {_ANY(words)} THEN '{slot}'" for slot, words in nlu.SLOT_WORDS) + " ELSE '' END"
