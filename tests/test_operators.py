@@ -133,6 +133,9 @@ def test_routing(spark):
     df = spark.createDataFrame([(nlu.SIMILAR, True, True, ""), (nlu.CHAT, False, False, "")], "i string, a boolean, v boolean, l string")
     got = df.select(nlu.route(F.col("i"), F.col("a"), F.lit(False), F.col("l"), variant_cue=F.col("v"), refinement=F.lit(False)), nlu.direct_response(F.col("i"), F.col("a"))).collect()
     assert [tuple(r) for r in got] == [(nlu.VARIANT, None), (nlu.CHAT, "chit_chat")]
+    more = spark.createDataFrame([(nlu.SIMILAR, True, False, nlu.GRAPH), (nlu.SIMILAR, False, False, nlu.GRAPH), (nlu.CHAT, False, True, "")], "i string, a boolean, m boolean, l string")
+    got = more.select(nlu.route(F.col("i"), F.col("a"), F.col("m"), F.col("l"), variant_cue=F.lit(False), refinement=F.lit(True))).collect()
+    assert [r[0] for r in got] == [nlu.GRAPH, nlu.SIMILAR, nlu.SIMILAR]
 
 
 def test_upsert_and_patch(spark):
