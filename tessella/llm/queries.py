@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, packing, quality, secret_scan, substring_dedup, token_output, topk_search, url_filter
+from . import bpe_codec, collocations, decontaminate, language_id, near_dedup, packing, quality, ranked_search, secret_scan, substring_dedup, token_output, topk_search, url_filter
+from .shared import ASCII_LOWER, ASCII_UPPER
 
 #: Sites that the URL filter blocks where no rule fits.
 LISTED_SITES = (
@@ -79,8 +80,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_classifier, op3_minhash_near_dedup, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output, op10_suffix_dedup)}
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode(_table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
 
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_classifier, op3_minhash_near_dedup, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_language_id, op9_token_output, op10_suffix_dedup, op11_bpe_codec, op12_ranked_search, op13_collocations)}
+
+_UPPER, _LOWER = ASCII_UPPER, ASCII_LOWER
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _IN = ", ".join(f"'{x}'" for x in LISTED_SITES)
 ORACLES = {
     "op5_url_filter": f"""
@@ -95,5 +110,36 @@ d AS (SELECT *, CASE
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM c)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') IN ({_IN}) THEN 'block' ELSE 'allow' END AS verdict FROM d
+""",
+    "op12_ranked_search": rf"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+corpus AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, nn),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark),
+parts AS (SELECT item_id, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // l))) AS s
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), corpus),
+scores AS (SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM parts GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scores
+QUALIFY rank <= 50
+""",
+    "op13_collocations": rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?
+-]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+grams AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, range(1, 6) t(k))),
+f AS (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY ALL),
+cand AS (SELECT lang, k, p, f AS a FROM f WHERE k > 1 AND f >= 100),
+inner_ AS (SELECT lang, list_slice(p, i, i + j - 1) AS p, max(a) AS g
+  FROM (SELECT lang, p, a, j, unnest(range(1, k - j + 2)) AS i FROM cand, range(2, 5) t(j) WHERE j < k) GROUP BY ALL),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inner_ i USING (lang, p) WHERE g IS NULL OR 100 * g < 100 * a),
+cuts AS (SELECT lang, p, a, c, list_slice(p, 1, c) AS left_, list_slice(p, c + 1, k) AS right_ FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (SELECT u.lang, u.p, u.a, u.c, x.f AS l, y.f AS r, n, ((1000::HUGEINT * u.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.p = u.left_ JOIN f y ON y.lang = u.lang AND y.p = u.right_ JOIN totals t ON t.lang = u.lang),
+best AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1)
+SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INTEGER AS rank, phrase, a, l, r, n, score FROM best
+QUALIFY rank <= 2000
 """,
 }
