@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 def unique_dump(rows: DataFrame, columns: Sequence[str], *, long_mean: int = 80, most: int = 400) -> DataFrame:
     """(column, n_distinct, mean_length, values): the first values of each column in order; none where they are long."""
     each = rows.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])).alias("column", "value")).where("value IS NOT NULL").distinct()
-    w = Window.partitionBy("column")
-    ranked = each.withColumn("r", F.row_number().over(w.orderBy("value")))
-    out = ranked.groupBy("column").agg(F.count("*").alias("n_distinct"), F.round(F.avg(F.length("value")), 6).alias("mean_length"), F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("value")))).alias("v"))
+    sizes = each.groupBy("column").agg(F.count("*").alias("n_distinct"), F.round(F.avg(F.length("value")), 6).alias("mean_length"))
+    # each task cuts its values to the first ones before they meet
+    first = each.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("r") <= most)
+    out = sizes.join(first.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("v")), "column")
     return out.select("column", "n_distinct", "mean_length", F.when(F.col("mean_length") <= long_mean, F.array_join("v", "|")).otherwise("").alias("values"))
 
 

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours. Queries travel to the vectors in blocks of bounded size; scores are blocks of a matrix."""
+"""Exact nearest neighbours. Both sides are dealt into blocks, and a task multiplies one block of queries with one of items."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.stage import written
 
-#: Query vectors that one pass over the items holds, in bytes.
-QUERY_BLOCK_BYTES = 32 << 20
+#: Bytes of the vectors of one block, as doubles; a task holds one block of either side.
+BLOCK_BYTES = 8 << 20
+#: Items are dealt into more blocks, down to so many rows, where that gives every task one.
+LEAST_ROWS = 1024
 #: Queries and items of one product: 16 MB of scores.
 TILE = (1024, 2048)
 
@@ -33,121 +34,150 @@ def _tops(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[keep], i[keep], s[keep]
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str, query_id: str = "query", places: int = 9, group_col: str | None = None, same_group: bool | None = None, allowed: Sequence[tuple[str, str]] | None = None, exclude_self: bool = False) -> DataFrame:
+class _Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.id = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def add(self, a: int, z: int, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of queries a..z and items ids."""
+        row, i, s = _tops(score, ids, self.k)
+        place = self.k + np.arange(len(row)) - np.searchsorted(row, row)
+        both, both_id = np.full((z - a, 2 * self.k), -np.inf), np.zeros((z - a, 2 * self.k), np.int64)
+        both[:, : self.k], both_id[:, : self.k] = self.score[a:z], self.id[a:z]
+        both[row, place], both_id[row, place] = s, i
+        row, i, s = _tops(both, both_id, self.k)
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        self.score[a:z] = -np.inf
+        self.score[a + row, place], self.id[a + row, place] = s, i
+
+
+def _codes(a: pa.Array, b: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+    """Labels (lists of n strings) of two sides as numbers, column by column, and each column's numbers by label."""
+    left, right, names = np.zeros((len(a), n), np.int32), np.zeros((len(b), n), np.int32), []
+    both = [*a.to_pylist(), *b.to_pylist()]
+    for c in range(n):
+        number: dict[str, int] = {}
+        code = np.array([number.setdefault(x[c], len(number)) for x in both], np.int32)
+        left[:, c], right[:, c] = code[: len(a)], code[len(a) :]
+        names.append(number)
+    return left, right, names
+
+
+def knn(
+    items: DataFrame,
+    queries: DataFrame,
+    k: int,
+    *,
+    id_col: str,
+    vector_col: str,
+    query_id: str = "query",
+    places: int = 9,
+    group_col: str | None = None,
+    same_group: bool | None = None,
+    allowed: Sequence[tuple[str, str]] | None = None,
+    exclude_self: bool = False,
+    same: Sequence[str] = (),
+    other: Sequence[str] = (),
+    per: str | None = None,
+    whole: float | None = None,
+) -> DataFrame:
     """(query, id, score, rank): the k items of largest dot product for each query, ties by id.
 
-    queries has query_id, vector_col and, with group_col, its group: same_group asks for equal (True) or different
-    (False) groups, allowed for a (query's, item's) pair of groups from a list. Queries go through the driver in blocks of bounded size; where there are several, each block's hits
-    are written before the next one, so that one block lives at a time. Each task keeps its k best for a query, so the
-    shuffle carries k rows per query and task.
+    queries has query_id, vector_col and the columns that predicates name: an item has to agree with the query in all
+    columns of same and to differ from it in all of other; same_group asks that of group_col, and allowed for a (query's,
+    item's) pair of its values from a list. A null agrees with a null and an empty text. Each predicate is a mask over a
+    tile of scores, and a tile's masks are joined before its best are taken. per, a column of items, asks for the k best
+    of each of its values and returns it; whole ranks by whole multiples of the score, not below 0.
+
+    Queries and items are dealt into blocks of bounded size by hashes of their rows, and each pair of blocks is one group
+    of a cogroup, so no vector passes through the driver, and the number of jobs does not depend on the data. A pair
+    returns k rows for each of its queries.
     """
-    spark = items.sparkSession
-    group = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
-    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("v"), group.alias("g")).where(F.col("v").isNotNull())
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), group.alias("g")).where(F.col("v").isNotNull())
-    size = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
-    blocks = max(1, ceil(size / QUERY_BLOCK_BYTES))
-    out = None
-    for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).orderBy("q").toArrow()
-        if not part.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((part.column("q").to_numpy(), _matrix(part.column("v").combine_chunks()), np.array(part.column("g").to_pylist(), dtype=object)))
-
-        def best(batches, shared=shared):
-            q, m, g = shared.value
-            held = np.full((len(q), k), -np.inf)
-            held_id = np.zeros((len(q), k), np.int64)
-            for b in batches:
-                for at in range(0, b.num_rows, TILE[1]):
-                    part = b.slice(at, TILE[1])
-                    x, ids = _matrix(part.column("v")), part.column("id").to_numpy()
-                    labels = np.array(part.column("g").to_pylist(), dtype=object) if group_col else None
+    labels = [*([group_col] if group_col else []), *same, *other]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    label = F.array(*[text(c) for c in labels]).cast("array<string>").alias("g")
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).cast("array<double>").alias("v"), label).where(F.col("v").isNotNull())
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), label, (F.col(per).cast("long") if per else F.lit(0).cast("long")).alias("per")).where(F.col("v").isNotNull())
+    across, down = _blocks(rows, spread=True), _blocks(asked)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            q, ids, code = right.column("q").to_numpy(), left.column("id").to_numpy(), left.column("per").to_numpy()
+            m, x = _matrix(right.column("v").combine_chunks()), _matrix(left.column("v").combine_chunks())
+            gq, gi, names = _codes(right.column("g"), left.column("g"), len(labels))
+            if allowed is not None:
+                fits = np.zeros((len(names[0]), len(names[0])), bool)
+                for one, two in allowed:
+                    if one in names[0] and two in names[0]:
+                        fits[names[0][one], names[0][two]] = True
+            agree = [(0, same_group)] if same_group is not None else []
+            first = bool(group_col)
+            agree += [(first + i, True) for i in range(len(same))] + [(first + len(same) + i, False) for i in range(len(other))]
+            for one in np.unique(code):
+                mine = np.flatnonzero(code == one)
+                found = _Best(len(q), k)
+                for at in range(0, len(mine), TILE[1]):
+                    part = mine[at : at + TILE[1]]
                     for a in range(0, len(q), TILE[0]):
                         z = min(a + TILE[0], len(q))
-                        s = np.round(m[a:z] @ x.T, places)
-                        if same_group is not None:
-                            s[(g[a:z, None] == labels[None, :]) != same_group] = -np.inf
+                        s = np.round(m[a:z] @ x[part].T, places)
+                        if whole is not None:
+                            s = np.maximum(np.floor(s * whole), 0)
+                        for c, equal in agree:
+                            s[(gq[a:z, c][:, None] == gi[part, c][None, :]) != equal] = -np.inf
                         if allowed is not None:
-                            for one in set(g[a:z]):
-                                fits = np.isin(labels, [y for x, y in allowed if x == one])
-                                s[np.ix_(g[a:z] == one, ~fits)] = -np.inf
+                            s[~fits[gq[a:z, 0][:, None], gi[part, 0][None, :]]] = -np.inf
                         if exclude_self:
-                            s[q[a:z, None] == ids[None, :]] = -np.inf
-                        row, i, s = _tops(s, ids, k)
-                        place = k + np.arange(len(row)) - np.searchsorted(row, row)
-                        both, both_id = np.full((z - a, 2 * k), -np.inf), np.zeros((z - a, 2 * k), np.int64)
-                        both[:, :k], both_id[:, :k] = held[a:z], held_id[a:z]
-                        both[row, place], both_id[row, place] = s, i
-                        row, i, s = _tops(both, both_id, k)
-                        place = np.arange(len(row)) - np.searchsorted(row, row)
-                        held[a:z] = -np.inf
-                        held[a + row, place], held_id[a + row, place] = s, i
-            at = np.nonzero(np.isfinite(held))
-            yield pa.RecordBatch.from_arrays([pa.array(q[at[0]]), pa.array(held_id[at]), pa.array(held[at])], ["query", "id", "score"])
-
-        found = rows.mapInArrow(best, "query long, id long, score double")
-        if blocks > 1:
-            found = written(found, "knn")
-            shared.destroy()
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query long, id long, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                            s[q[a:z, None] == ids[part][None, :]] = -np.inf
+                        found.add(a, z, s, ids[part])
+                at = np.nonzero(np.isfinite(found.score))
+                parts.append(pa.table({"query": q[at[0]], "id": found.id[at], "score": found.score[at], "per": np.full(len(at[0]), one)}))
+        return pa.concat_tables(parts) if parts else pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "per": pa.array([], pa.int64())})
+
+    own = lambda c, n: F.pmod(F.xxhash64(c, "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("across", own("id", across)).withColumn("down", every(down))
+    right = asked.withColumn("down", own("q", down)).withColumn("across", every(across))
+    out = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInArrow(best, "query long, id long, score double, per long")
+    order = Window.partitionBy("query", "per") if per else Window.partitionBy("query")
+    out = out.withColumn("rank", F.row_number().over(order.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return out.withColumnRenamed("per", per) if per else out.drop("per")
+
+
+def _blocks(rows: DataFrame, spread: bool = False) -> int:
+    """Blocks of about BLOCK_BYTES; with spread, as many as there are tasks if they have LEAST_ROWS rows."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) if spread else 1
+    return max(1, ceil(size / BLOCK_BYTES), min(most, n // LEAST_ROWS))
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
 
 
-def closest(rows: DataFrame, items: DataFrame, *, by: str, vector_col: str, id_col: str, places: int = 9) -> DataFrame:
-    """(by, id, score): for each group of rows and every item the largest dot product with one of the group's vectors.
+def closest(pairs: DataFrame, history: DataFrame, items: DataFrame, *, by: str, id_col: str, vector_col: str, places: int = 9) -> DataFrame:
+    """(by, id, score): for each candidate (by, id) the largest dot product with one of the vectors of by's history.
+
+    Only the pairs asked for are scored; a candidate without a vector, or whose by has no history, is left out. The maximum
+    is taken in each task before the shuffle, and a by with a long history or many candidates is a skewed key of a join.
+    """
+    asked = pairs.select(by, id_col).distinct().join(items.select(id_col, F.col(vector_col).alias("__v")).where("__v IS NOT NULL"), id_col)
+    both = asked.join(history.select(by, F.col(vector_col).alias("__h")).where("__h IS NOT NULL"), by)
+    return both.groupBy(by, id_col).agg(F.max(F.round(V.dot(F.col("__v"), F.col("__h")), places)).alias("score"))
+
+
+def knn_graph(items: DataFrame, k: int = 20, *, id_col: str, vector_col: str, scale: int = 1000, by_weight: bool = False) -> DataFrame:
+    """(item_a, item_b, weight): each item's k nearest others, weights scaled, not below 0, whole.
 
-    Items are blocks of a matrix of bounded size; each task multiplies its rows with them and keeps the maxima of its
-    groups, which are combined after one shuffle.
+    by_weight takes the k heaviest by the whole weights, ties by id, in place of the nearest.
     """
-    spark = rows.sparkSession
-    every = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull())
-    size = every.agg(F.sum(F.size("v") * 8)).first()[0] or 0
-    blocks = max(1, ceil(size / QUERY_BLOCK_BYTES))
-    kind = dict(rows.dtypes)[by]
-    # rows of a group stand together, so that a batch has few groups
-    each = rows.select(F.col(by).alias("by"), F.col(vector_col).alias("v")).where("v IS NOT NULL").repartition("by").sortWithinPartitions("by")
-    out = None
-    for i in range(blocks):
-        part = every.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").toArrow()
-        if not part.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((part.column("id").to_numpy(), _matrix(part.column("v").combine_chunks())))
-
-        def most(batches, shared=shared):
-            ids, m = shared.value
-            for b in batches:
-                for at in range(0, b.num_rows, TILE[0]):
-                    part = b.slice(at, TILE[0])
-                    group = part.column("by")
-                    code = pa.array(group).dictionary_encode()
-                    start = np.flatnonzero(np.diff(code.indices.to_numpy(), prepend=-1))
-                    x = _matrix(part.column("v"))
-                    for a in range(0, len(ids), TILE[1]):
-                        best = np.maximum.reduceat(np.round(x @ m[a : a + TILE[1]].T, places), start, axis=0)
-                        names = group.take(pa.array(np.repeat(start, best.shape[1])))
-                        yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(ids[a : a + TILE[1]], len(start))), pa.array(best.ravel())], ["by", "id", "score"])
-
-        found = each.mapInArrow(most, f"by {kind}, id long, score double").groupBy("by", "id").agg(F.max("score").alias("score"))
-        if blocks > 1:
-            found = written(found, "closest")
-            shared.destroy()
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], f"by {kind}, id long, score double")
-    return out.withColumnRenamed("by", by)
-
-
-def knn_graph(items: DataFrame, k: int = 20, *, id_col: str, vector_col: str, scale: int = 1000) -> DataFrame:
-    """(item_a, item_b, weight): each item's k nearest others, weights scaled, not below 0, whole."""
-    near = knn(items, items.withColumnRenamed(id_col, "query"), k, id_col=id_col, vector_col=vector_col, exclude_self=True)
+    near = knn(items, items.withColumnRenamed(id_col, "query"), k, id_col=id_col, vector_col=vector_col, exclude_self=True, whole=scale if by_weight else None)
+    if by_weight:
+        return near.select(F.col("query").alias("item_a"), F.col("id").alias("item_b"), F.col("score").cast("long").alias("weight"))
     return near.select(F.col("query").alias("item_a"), F.col("id").alias("item_b"), F.greatest(F.floor(F.col("score") * scale), F.lit(0)).cast("long").alias("weight"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import written
+from . import ordering
 from .rules import season_clash
 
 MIN_BASKET, MAX_BASKET = 2, 10
@@ -69,22 +71,42 @@ def adjacency(found: DataFrame, *, positive_only: bool = False) -> DataFrame:
     return out.where("weight > 0") if positive_only else out
 
 
-def p3alpha(lines: DataFrame, user: str, item: str, *, top: int = 50, max_user_items: int | None = None, scale: float = 1000.0, places: int = 9) -> DataFrame:
+#: Items of a user that one side of a cell of the product holds, about.
+CELL = 1024
+
+
+def walk_sides(ui: DataFrame, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """Both sides (u, x, y, item_a or item_b, nu) of the product of every user's items with themselves.
+
+    A user of nu items has s * s cells, s = ceil(nu / cell): an item's row goes to all cells of its line on the left side,
+    and of its column on the right, so that any two items of a user meet in one cell, and a cell has about cell rows a
+    side. Users of up to cell items have one.
+    """
+    per = ui.groupBy("u").agg(F.count("*").alias("nu"))
+    rows = ui.join(per, "u").withColumn("s", F.ceil(F.col("nu") / cell).cast("int"))
+    own, every = F.pmod(F.xxhash64("i"), F.col("s")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("s") - 1))
+    left = rows.select("u", own.alias("x"), every.alias("y"), F.col("i").alias("item_a"), "nu")
+    return left, rows.select("u", every.alias("x"), own.alias("y"), F.col("i").alias("item_b"))
+
+
+def p3alpha(lines: DataFrame, user: str, item: str, *, top: int = 50, max_user_items: int | None = None, scale: float = 1000.0, places: int = 9, cell: int = CELL) -> DataFrame:
     """Two steps of a random walk item -> user -> item: the top neighbours of each item, undirected, by the larger weight.
 
-    Steps are row-normalised over distinct (user, item) rows. The product is a join on the user: its rows are the sum
-    of squared basket sizes, aggregated by task before they are shuffled. max_user_items leaves out users above it,
-    which changes the result and is off unless given.
+    Steps are row-normalised over distinct (user, item) rows. A user adds the same to both directions of a pair but for
+    the first step's share, so each unordered pair is summed once, and aggregated by task before it is shuffled. Users of
+    many items are cut into cells. max_user_items leaves out users above it, which changes the result and is off unless
+    given.
     """
     ui = lines.select(F.col(user).alias("u"), F.col(item).alias("i")).where(F.col("u").isNotNull() & F.col("i").isNotNull()).distinct()
-    per_user = ui.groupBy("u").agg(F.count("*").alias("nu"))
     if max_user_items:
-        per_user = per_user.where(F.col("nu") <= max_user_items)
-        ui = ui.join(per_user.select("u"), "u", "left_semi")
+        few = ui.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") <= max_user_items)
+        ui = ui.join(few.select("u"), "u", "left_semi")
+    # read three times
+    ui = written(ui, "walk")
+    left, right = walk_sides(ui, cell)
+    shared = left.join(right, ["u", "x", "y"]).where("item_a < item_b").groupBy("item_a", "item_b").agg(F.sum(1.0 / F.col("nu")).alias("weight"))
     per_item = ui.groupBy("i").agg(F.count("*").alias("ni"))
-    left = ui.join(per_item, "i").select("u", F.col("i").alias("item_a"), (1.0 / F.col("ni")).alias("w1"))
-    right = ui.join(per_user, "u").select("u", F.col("i").alias("item_b"), (1.0 / F.col("nu")).alias("w2"))
-    walk = left.join(right, "u").where("item_a <> item_b").groupBy("item_a", "item_b").agg(F.round(F.sum(F.col("w1") * F.col("w2")), places).alias("weight"))
+    walk = both_ways(shared).join(per_item.withColumnRenamed("i", "item_a"), "item_a").select("item_a", "item_b", F.round(F.col("weight") / F.col("ni"), places).alias("weight"))
     order = Window.partitionBy("item_a").orderBy(F.desc("weight"), "item_b")
     kept = walk.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
     return undirected_max(kept).withColumn("weight", F.col("weight") * scale)
@@ -166,11 +188,12 @@ def degree_bin(degree: Column) -> Column:
 
 
 def nearest_rank(rows: DataFrame, value: str, fractions: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by, q, value): the element at int(q * n) of the sorted values, from 0; found from counts, not by one big sort."""
+    """(by, q, value): the element at int(q * n) of the sorted values, from 0; found from counts of values, summed by ranges."""
     by = by or []
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    upto = ordering.running_total(counts, "c", [value], by=by)
+    n = upto.groupBy(*by).agg(F.sum("c").alias("n"))
+    upto = upto.join(n, by) if by else upto.crossJoin(F.broadcast(n))
     q = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("q")
     rank = F.least(F.floor(F.col("q") * F.col("n")), F.col("n") - 1)
     asked = upto.select(*by, value, "c", "upto", "n", q).where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c")))
@@ -211,8 +234,7 @@ def coverage_stats(found: DataFrame, items: DataFrame) -> DataFrame:
 def partitions(items: DataFrame, by: str) -> DataFrame:
     """(by, n, start): where each group begins if all items stand group by group, as samplers index them."""
     n = items.groupBy(by).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
-    return n.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+    return ordering.running_total(n, "n", [by]).select(by, "n", (F.col("upto") - F.col("n")).cast("long").alias("start"))
 
 
 def top_edges(found: DataFrame, k: int, method: str) -> DataFrame:

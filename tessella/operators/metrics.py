@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import written
+from . import ordering
+
 
 def judged(ranked: DataFrame, truth: DataFrame, by: str = "query", item: str = "doc") -> DataFrame:
     """Ranked rows with hit = 1 where the pair is in truth (by, item), and the size of the truth."""
@@ -69,20 +72,73 @@ def against_negatives(rows: DataFrame, by: str, score: str, label: str) -> DataF
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row: AUC over all rows, from the counts of each distinct score, so that no pair is formed."""
     per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.select("p", "n", (F.col("p") * (below + F.col("n") / 2.0)).alias("w"))
+    upto = ordering.running_total(per, "n", ["s"])
+    won = upto.select("p", "n", (F.col("p") * (F.col("upto") - F.col("n") / 2.0)).alias("w"))
     return won.agg((F.sum("w") / (F.sum("p").cast("double") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
-def sample_negatives(anchors: DataFrame, pool: DataFrame, positives: DataFrame, *, on: Sequence[str], k: int = 100, seed: str = "42", by: str = "anchor", item: str = "candidate") -> DataFrame:
-    """k negatives of each anchor from the pool rows that agree with it on some columns, without its positives and itself.
+#: Groups of up to so many times k rows are listed whole; from larger ones places are drawn, so many times k at a time.
+LISTED, DRAWN = 4, 2
+#: Draws before an anchor that lacks negatives still is shown the rest of its group.
+ROUNDS = 3
+#: Parts of a pool without groups, where it has to be listed.
+PARTS = 64
+
+
+def hash_place(*parts: Column) -> Column:
+    """60 bits of the md5 of the parts, as a whole number."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def draw_negatives(anchors: DataFrame, pool: DataFrame, positives: DataFrame | None = None, *, on: Sequence[str] = (), k: int = 100, seed: str = "42", by: str = "anchor", item: str = "candidate") -> DataFrame:
+    """(by, item, r): k negatives of each anchor from the pool rows that agree with it on some columns, r from 1.
 
-    The order is that of md5(anchor, candidate, seed). on may be the slot or the degree bin.
+    An anchor's positives and itself are left out; there are fewer than k only where the group has no more. The pool
+    is numbered within its groups, and hashes of (anchor, j, seed) draw places for j = 1, 2, ...: the first k different
+    ones count. No pair of a group is formed but in groups of up to LISTED * k rows, whose rows are ordered by the md5 of
+    (anchor, candidate, seed), and for anchors that ROUNDS draws leave short, as nearly all of their group is positive.
+    Anchors and the rows of the pool are expected once each.
     """
-    found = anchors.join(pool, list(on)).where(F.col(by) != F.col(item)).join(positives.select(by, item), [by, item], "left_anti")
-    key = F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col(item).cast("string"), F.lit(seed)))
-    order = Window.partitionBy(by).orderBy(key, item)
-    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    on = list(on)
+    places = written(ordering.numbered(pool.select(*on, item), [item], by=on, name="place"), "places")
+    sizes = places.groupBy(*on).agg(F.count("*").alias("n"))
+    asked = anchors.select(by, *on)
+    asked = written(asked.join(sizes, on) if on else asked.crossJoin(F.broadcast(sizes)), "anchors")
+    listed = F.col("n") <= LISTED * k
+
+    def without_own(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col(by) != F.col(item))
+        return rows if positives is None else rows.join(positives.select(by, item), [by, item], "left_anti")
+
+    def whole_group(rows: DataFrame) -> DataFrame:
+        members = places.select(*on, item)
+        if on:
+            found = rows.join(members, on)
+        else:
+            # the pool is one group: every anchor meets its parts in tasks of their own
+            parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
+            found = rows.withColumn("__part", F.explode(parts)).join(members.withColumn("__part", F.pmod(F.xxhash64(item), F.lit(PARTS)).cast("int")), "__part")
+        key = F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col(item).cast("string"), F.lit(seed)))
+        return without_own(found).select(by, item, F.lit(1 << 40).cast("long").alias("j"), key.alias("key"))
+
+    out = whole_group(asked.where(listed))
+    short = asked.where(~listed)
+    found: DataFrame | None = None
+    for round_ in range(ROUNDS):
+        j = F.explode(F.sequence(F.lit(round_ * DRAWN * k + 1), F.lit((round_ + 1) * DRAWN * k)))
+        drawn = short.select(by, *on, "n", j.alias("j")).withColumn("place", hash_place(F.col(by), F.col("j"), F.lit(seed)) % F.col("n"))
+        fresh = without_own(drawn.join(places, [*on, "place"])).select(by, item, F.col("j").cast("long").alias("j"), F.lit("").alias("key"))
+        fresh = fresh if found is None else found.unionByName(fresh)
+        found = written(fresh.groupBy(by, item).agg(F.min("j").alias("j"), F.lit("").alias("key")), "drawn")
+        enough = found.groupBy(by).agg(F.count("*").alias("have")).where(F.col("have") >= k)
+        short = short.join(enough.select(by), by, "left_anti")
+        if short.isEmpty():
+            break
+    else:
+        out = out.unionByName(whole_group(short).join(found.select(by, item), [by, item], "left_anti"))
+    out = out.unionByName(found)
+    order = Window.partitionBy(by).orderBy("j", "key", item)
+    return out.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(by, item, "r")
 
 
 def temporal_cutoff(rows: DataFrame, day: str, ratio: float = 0.8) -> DataFrame:
@@ -160,30 +216,15 @@ def lenient_match(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
-def random_negatives(anchors: DataFrame, n_items: int, positives: DataFrame, *, k: int, seed: str = "42", draws: int = 2, by: str = "anchor", item: str = "candidate") -> DataFrame:
-    """k negatives of each anchor among the items 1..n_items, drawn by hashes, so that no anchor meets every item.
-
-    draws times k numbers are drawn; repeats, the anchor itself and its positives go, and the first k stay.
-    """
-    each = anchors.select(by, F.explode(F.sequence(F.lit(1), F.lit(draws * k))).alias("j"))
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col("j").cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long")
-    one = each.withColumn(item, number % n_items + 1).groupBy(by, item).agg(F.min("j").alias("j")).where(F.col(by) != F.col(item))
-    one = one.join(positives.select(by, item), [by, item], "left_anti")
-    return one.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("j"))).where(F.col("r") <= k).drop("j")
-
-
 def banded_negatives(targets: DataFrame, pool: DataFrame, band: str, *, k: int, seed: str = "42") -> DataFrame:
     """(target, candidate, r): k negatives of each target from its band; from all of the pool where the band has no more than k.
 
     targets is (target, band), pool (candidate, band).
     """
-    size = pool.groupBy(band).agg(F.count("*").alias("n"))
-    sized = targets.join(size, band, "left")
-    inside = sized.where(F.col("n") > k).join(pool, band).select("target", "candidate")
-    outside = sized.where(F.coalesce("n", F.lit(0)) <= k).select("target", F.lit(1).alias("one")).join(pool.select("candidate", F.lit(1).alias("one")), "one").select("target", "candidate")
-    found = inside.unionByName(outside).where("target <> candidate")
-    key = F.md5(F.concat_ws("|", F.col("target").cast("string"), F.col("candidate").cast("string"), F.lit(seed)))
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(key, "candidate"))).where(F.col("r") <= k)
+    size = pool.groupBy(band).agg(F.count("*").alias("size"))
+    sized = written(targets.join(size, band, "left"), "sized")
+    near = draw_negatives(sized.where(F.col("size") > k), pool, on=[band], k=k, seed=seed, by="target")
+    return near.unionByName(draw_negatives(sized.where(F.coalesce("size", F.lit(0)) <= k), pool, k=k, seed=seed, by="target"))
 
 
 def attribute_shares(ranked: DataFrame, meta: DataFrame, fields: Sequence[str], k: int = 10) -> DataFrame:

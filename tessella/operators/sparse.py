@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 MIN_DF, MAX_DF_RATIO, K1, B = 2, 0.95, 1.5, 0.75
 
 
@@ -36,7 +38,7 @@ def vocabulary(post: DataFrame, *, method: str = "bm25", min_df: int = MIN_DF, m
 
 def numbered(vocab: DataFrame) -> DataFrame:
     """With idx from 0 in the order of the terms."""
-    return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("long"))
+    return ordering.numbered(vocab, ["term"])
 
 
 def document_length(post: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -115,10 +117,11 @@ def scores(weights: DataFrame, terms: DataFrame, places: int = 9) -> DataFrame:
     return terms.join(weights, "term").groupBy("query", "doc").agg(F.round(F.sum("weight"), places).alias("score")).where("score > 0")
 
 
-def top_k(scored: DataFrame, k: int, by: str = "query", item: str = "doc") -> DataFrame:
-    """With rank 1..k by score, ties by id. Spark cuts each task's rows to k before the shuffle."""
+def top_k(scored: DataFrame, k: int | None, by: str = "query", item: str = "doc") -> DataFrame:
+    """With rank 1..k by score, ties by id; without k all are ranked. Spark cuts each task's rows to k before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), item)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def grid(post: DataFrame, vocab: DataFrame, terms: DataFrame, k1s: list[float], bs: list[float]) -> DataFrame:

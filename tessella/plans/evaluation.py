@@ -109,15 +109,25 @@ def auc_tie_aware(spark, sf_dir):
 _NEGATIVE = f"""{CATALOGUE}, a AS (SELECT item AS anchor, product_type AS slot, size AS bin FROM cat), pool AS (SELECT item AS candidate, product_type AS slot, size AS bin, size FROM cat)"""
 
 
+def draws_sql(asked: str, pool: str, on: str, k: int, by: str = "anchor", where: str = "true") -> str:
+    """(by, candidate, r) of metrics.draw_negatives(), from relations (by, on) and (candidate, on)."""
+    key = f"CAST({by} AS VARCHAR) || '|' || CAST({{}} AS VARCHAR) || '|42'"
+    place = f"CAST('0x' || substr(md5({key.format('j')}), 1, 15) AS BIGINT) % n"
+    return f"""(WITH z AS (SELECT {on}, count(*) AS n FROM {pool} GROUP BY 1), pl AS (SELECT *, row_number() OVER (PARTITION BY {on} ORDER BY candidate) - 1 AS place FROM {pool}),
+listed AS (SELECT {by}, candidate, 1099511627776 AS j, md5({key.format('candidate')}) AS key FROM {asked} JOIN z USING ({on}) JOIN {pool} USING ({on}) WHERE n <= {4 * k}),
+drawn AS (SELECT {by}, candidate, min(j) AS j, '' AS key FROM (SELECT {by}, {on}, j, {place} AS place FROM {asked} JOIN z USING ({on}), range(1, {6 * k + 1}) t(j) WHERE n > {4 * k}) JOIN pl USING ({on}, place) GROUP BY 1, 2)
+SELECT {by}, candidate, row_number() OVER (PARTITION BY {by} ORDER BY j, key, candidate) AS r FROM (FROM listed UNION ALL FROM drawn) WHERE {by} <> candidate AND {where} QUALIFY r <= {k})"""
+
+
 def _negative_sql(on: str) -> str:
-    return f"WITH {_NEGATIVE} SELECT anchor, candidate FROM (SELECT anchor, candidate, row_number() OVER (PARTITION BY anchor ORDER BY md5(CAST(anchor AS VARCHAR) || '|' || CAST(candidate AS VARCHAR) || '|42'), candidate) AS r FROM a JOIN pool USING ({on}) WHERE anchor <> candidate AND candidate <> anchor + 1) WHERE r <= 100"
+    return f"WITH {_NEGATIVE} SELECT anchor, candidate FROM {draws_sql('a', 'pool', on, 100, where='candidate <> anchor + 1')}"
 
 
 def _negatives(spark, sf_dir, on):
     cat = catalogue(spark, sf_dir).select("item", F.col("product_type").alias("slot"), F.col("size").alias("bin"))
     a = cat.withColumnRenamed("item", "anchor").select("anchor", on)
     pos = a.select("anchor", (F.col("anchor") + 1).alias("candidate"))
-    return metrics.sample_negatives(a, cat.withColumnRenamed("item", "candidate").select("candidate", on), pos, on=[on]).select("anchor", "candidate")
+    return metrics.draw_negatives(a, cat.withColumnRenamed("item", "candidate").select("candidate", on), pos, on=[on]).select("anchor", "candidate")
 
 
 @query(_negative_sql("slot"))

@@ -112,10 +112,10 @@ def _knn_sql(where: str, k: int = 10) -> str:
 SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {k}"""
 
 
-def _knn(spark, sf_dir, **options):
+def _knn(spark, sf_dir, items=None, **options):
     e = read_table(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query")
-    return dense.knn(e, asked, options.pop("k", 10), id_col="vec_id", vector_col="embedding", places=6, **options)
+    return dense.knn(e if items is None else items, asked, options.pop("k", 10), id_col="vec_id", vector_col="embedding", places=6, **options)
 
 
 @query(_knn_sql("true"))

@@ -12,7 +12,7 @@ from ..sources import tables
 from ..sources.stage import written
 from ..sources.tables import read_table
 from .base import BASKETS, CATALOGUE, POSTINGS, PURCHASES, baskets, catalogue, cobuy, doc_postings, purchases, query, ranked_sql, search_index, text_scores
-from .evaluation import _EVAL, _FIELDS, _ranked, _truth
+from .evaluation import _EVAL, _FIELDS, _ranked, _truth, draws_sql
 from .graphs import _ADJ, _NPMI, _SIDES, _TOP5, _TWINS, _WALK, _p3, _pairs, _twins
 from .search import _EMB, _knn
 
@@ -103,6 +103,35 @@ def complements(spark, sf_dir):
     return dense.knn(e, e.withColumnRenamed("vec_id", "query"), 8, id_col="vec_id", vector_col="embedding", places=6, group_col="slot", allowed=_ALLOWED, exclude_self=True)
 
 
+def _filtered_sql(where: str, k: int = 5) -> str:
+    return f"""WITH {_EMB}, {CATALOGUE}, z AS (SELECT vec_id, v, product_type, colour, product_group FROM e JOIN cat ON item = vec_id), s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_dot_product(a.v, b.v), 6) AS score FROM z a JOIN z b ON {where} WHERE a.vec_id <> b.vec_id)
+SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {k}"""
+
+
+def _filtered(spark, sf_dir, same, other=()):
+    cat = catalogue(spark, sf_dir).select(_C("item").alias("vec_id"), "product_type", "colour", "product_group")
+    e = _vectors(spark, sf_dir).select("vec_id", "embedding").join(cat, "vec_id")
+    return dense.knn(e, e.withColumnRenamed("vec_id", "query"), 5, id_col="vec_id", vector_col="embedding", places=6, same=same, other=other, exclude_self=True)
+
+
+@query(_filtered_sql("a.product_group = b.product_group AND a.colour = b.colour"))
+def similar_same_colour(spark, sf_dir):
+    """The nearest items of each item's own group and colour: both come from the anchor."""
+    return _filtered(spark, sf_dir, ["product_group", "colour"])
+
+
+@query(_filtered_sql("a.product_group = b.product_group AND a.colour <> b.colour"))
+def similar_other_colour(spark, sf_dir):
+    """The same group in another colour."""
+    return _filtered(spark, sf_dir, ["product_group"], ["colour"])
+
+
+@query(_filtered_sql("a.colour = b.colour AND a.product_group <> b.product_group AND a.product_type <> b.product_type"))
+def similar_other_type(spark, sf_dir):
+    """The same colour in another group and type."""
+    return _filtered(spark, sf_dir, ["colour"], ["product_group", "product_type"])
+
+
 _CENTRES = "x AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), sm AS (SELECT label, i, round(sum(x), 9) AS x FROM x GROUP BY 1, 2), ce AS (SELECT label, list(x / n ORDER BY i) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS n FROM sm) GROUP BY 1)"
 
 
@@ -142,8 +171,9 @@ w AS (SELECT t.query FROM t LEFT JOIN i USING (query) WHERE coalesce(best, '-inf
 SELECT query, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM c) WHERE rank <= 4""")
 def cross_category_suggestions(spark, sf_dir):
     """Items of other types for queries whose own type has no good hit."""
-    near = written(_knn(spark, sf_dir, k=1 << 9, exclude_self=True, group_col="label", same_group=True).select("query", "id", "score"), "same")
-    other = _knn(spark, sf_dir, k=1 << 9, group_col="label", same_group=False).select("query", "id", (_C("score") * 10).alias("score"), (_C("id") % 10).alias("code"))
+    # the best of the own type, and the best of every code among the others, decide
+    near = _knn(spark, sf_dir, k=1, exclude_self=True, group_col="label", same_group=True).select("query", "id", "score")
+    other = _knn(spark, sf_dir, k=1, group_col="label", same_group=False, items=_vectors(spark, sf_dir).withColumn("code", _C("vec_id") % 10), per="code").select("query", "id", (_C("score") * 10).alias("score"), "code")
     return fusion.suggest(near.withColumn("code", F.lit(0)), other).select("query", "id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -297,9 +327,7 @@ k0 AS (SELECT a.vec_id AS item, b.vec_id AS other, round(list_dot_product(a.v, b
 
 def _two(spark, sf_dir):
     a = graph.top_edges(graph.adjacency(cobuy(spark, sf_dir)), 5, "cobuy")
-    # weights are whole thousandths: enough neighbours that those of the fifth's weight are among them
-    n = _vectors(spark, sf_dir).count()
-    return a, graph.top_edges(dense.knn_graph(_vectors(spark, sf_dir), n, id_col="vec_id", vector_col="embedding"), 5, "vector")
+    return a, graph.top_edges(dense.knn_graph(_vectors(spark, sf_dir), 5, id_col="vec_id", vector_col="embedding", by_weight=True), 5, "vector")
 
 
 @query(f"WITH {_TWO} SELECT 'cobuy' AS method, item, other, rank FROM a5 UNION ALL SELECT 'vector', item, other, rank FROM k5")
@@ -365,9 +393,9 @@ def cold_tiers(spark, sf_dir):
     slot = F.element_at(F.array(*[F.lit(x) for x in _SLOT_NAMES]), (_C("label") % 5 + 1).cast("int"))
     e = _vectors(spark, sf_dir).withColumn("slot", slot)
     fit = written(dense.knn(e, e.withColumnRenamed("vec_id", "query"), 20, id_col="vec_id", vector_col="embedding", places=6, group_col="slot", allowed=_ALLOWED, exclude_self=True), "complements")
-    first = sparse.top_k(borrowed.withColumnRenamed("item", "query"), 1 << 20, item="candidate")
+    first = sparse.top_k(borrowed.withColumnRenamed("item", "query"), None, item="candidate")
     ranked = first.select("query", _C("candidate").alias("doc"), "rank").unionByName(fit.select("query", _C("id").alias("doc"), "rank"))
-    fused = three(fusion.rrf(ranked, 1 << 20, k=60, base=0), "query", "doc", "score")
+    fused = three(fusion.rrf(ranked, None, k=60, base=0), "query", "doc", "score")
     walk = three(graph.both_ways(_p3(spark, sf_dir)), "item_a", "item_b", "weight")
     tiers = [three(adj, "item_a", "item_b", "weight"), fused, walk, borrowed, three(fit, "query", "id", "score")]
     found = graph.first_tier([t.join(own, "item", "left_semi") for t in tiers])
@@ -405,23 +433,20 @@ def failsafe_at_10(spark, sf_dir):
     return metrics.attribute_shares(near, catalogue(spark, sf_dir).withColumnRenamed("item", "id"), ["colour", "product_type"])
 
 
-@query(f"""WITH {CATALOGUE}, n AS (SELECT count(*) AS n FROM cat), d AS (SELECT item AS anchor, j, CAST('0x' || substr(md5(CAST(item AS VARCHAR) || '|' || CAST(j AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % n + 1 AS candidate FROM cat, n, range(1, 101) t(j)),
-o AS (SELECT anchor, candidate, min(j) AS j FROM d WHERE anchor <> candidate AND candidate <> anchor + 1 GROUP BY 1, 2), r AS (SELECT anchor, candidate FROM o QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY j) <= 50),
-h AS (SELECT a.item AS anchor, b.item AS candidate FROM cat a JOIN cat b USING (product_type) WHERE a.item <> b.item AND b.item <> a.item + 1 QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY md5(CAST(a.item AS VARCHAR) || '|' || CAST(b.item AS VARCHAR) || '|42'), b.item) <= 50)
-SELECT anchor, candidate, 'random' AS kind FROM r UNION ALL SELECT anchor, candidate, 'hard' FROM h""")
+@query(f"""WITH {CATALOGUE}, a AS (SELECT item AS anchor, product_type, 0 AS every FROM cat), pool AS (SELECT item AS candidate, product_type, 0 AS every FROM cat)
+SELECT anchor, candidate, 'random' AS kind FROM {draws_sql('a', 'pool', 'every', 50, where='candidate <> anchor + 1')} UNION ALL SELECT anchor, candidate, 'hard' FROM {draws_sql('a', 'pool', 'product_type', 50, where='candidate <> anchor + 1')}""")
 def negatives_hard_random(spark, sf_dir):
     """Half of the negatives from the anchor's slot, half from anywhere."""
     cat = catalogue(spark, sf_dir).select("item", "product_type")
-    anchors = cat.withColumnRenamed("item", "anchor")
+    anchors, pool = cat.withColumnRenamed("item", "anchor"), cat.withColumnRenamed("item", "candidate")
     positives = anchors.select("anchor", (_C("anchor") + 1).alias("candidate"))
-    hard = metrics.sample_negatives(anchors, cat.withColumnRenamed("item", "candidate"), positives, on=["product_type"], k=50)
-    easy = metrics.random_negatives(anchors, cat.count(), positives, k=50)
-    return easy.select("anchor", "candidate", F.lit("random").alias("kind")).unionByName(hard.select("anchor", "candidate", F.lit("hard").alias("kind")))
+    found = [metrics.draw_negatives(anchors, pool, positives, on=on, k=50).select("anchor", "candidate", F.lit(kind).alias("kind")) for kind, on in (("random", []), ("hard", ["product_type"]))]
+    return found[0].unionByName(found[1])
 
 
-@query(f"""WITH {PURCHASES}, c AS (SELECT item, CAST(floor(log2(count(*) + 1)) AS INTEGER) AS band FROM pur GROUP BY 1), z AS (SELECT band, count(*) AS n FROM c GROUP BY 1),
-f AS (SELECT t.item AS target, p.item AS candidate FROM c t JOIN z USING (band) JOIN c p ON (z.n > 20 AND p.band = t.band) OR z.n <= 20 WHERE t.item <> p.item)
-SELECT target, candidate FROM f QUALIFY row_number() OVER (PARTITION BY target ORDER BY md5(CAST(target AS VARCHAR) || '|' || CAST(candidate AS VARCHAR) || '|42'), candidate) <= 20""")
+@query(f"""WITH {PURCHASES}, c AS (SELECT item, CAST(floor(log2(count(*) + 1)) AS INTEGER) AS band FROM pur GROUP BY 1), s AS (SELECT band, count(*) AS size FROM c GROUP BY 1),
+near AS (SELECT item AS target, band FROM c JOIN s USING (band) WHERE size > 20), far AS (SELECT item AS target, 0 AS every FROM c JOIN s USING (band) WHERE size <= 20), pool AS (SELECT item AS candidate, band, 0 AS every FROM c)
+SELECT target, candidate FROM {draws_sql('near', 'pool', 'band', 20, 'target')} UNION ALL SELECT target, candidate FROM {draws_sql('far', 'pool', 'every', 20, 'target')}""")
 def personal_negatives(spark, sf_dir):
     """Negatives from a target's band of popularity; from all items where the band is small."""
     n = purchases(spark, sf_dir).groupBy("item").agg(graph.degree_bin(F.count("*")).alias("band"))

@@ -274,23 +274,6 @@ def test_channels_of_a_query(spark):
     assert df.select(TX.without_words("t", F.array(F.lit("coat")))).first()[0] == "red"
 
 
-def test_closest_of_a_group(spark, monkeypatch):
-    monkeypatch.setattr(dense, "TILE", (3, 4))
-    monkeypatch.setattr(dense, "QUERY_BLOCK_BYTES", 100)
-    rng = random.Random(4)
-    rows = [(i % 5, [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)]
-    items = [(i, [rng.gauss(0, 1) for _ in range(3)], i % 2) for i in range(11)]
-    a, b = spark.createDataFrame(rows, "g int, v array<double>"), spark.createDataFrame(items, "id int, v array<double>, s int")
-    got = {(r["g"], r["id"]): r["score"] for r in dense.closest(a, b, by="g", vector_col="v", id_col="id").collect()}
-    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
-    assert len(got) == 55 and all(abs(s - max(dot(v, items[i][1]) for h, v in rows if h == g)) < 1e-8 for (g, i), s in got.items())
-    near = dense.knn(b, b.withColumnRenamed("id", "query"), 3, id_col="id", vector_col="v", group_col="s", allowed=[("0", "1")]).collect()
-    assert {r["query"] % 2 for r in near} == {0} and {r["id"] % 2 for r in near} == {1}
-    for q in range(0, 11, 2):
-        want = sorted(((-round(dot(items[q][1], v), 9), i) for i, v, s in items if s == 1))[:3]
-        assert [r["id"] for r in sorted((r for r in near if r["query"] == q), key=lambda r: r["rank"])] == [i for _, i in want]
-
-
 def test_taste_signals(spark):
     """By hand; no vector and no past give 0."""
     past = spark.createDataFrame([(1, [1.0, 0.0], 1, 2), (1, [0.0, 1.0], 2, 2)], "customer long, vector array<double>, position long, n long")
