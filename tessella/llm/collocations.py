@@ -26,8 +26,10 @@ from .shared import materialize, tasks
 
 LONGEST = 5
 #: Words of a shard, and bytes of a long text that are worked on at a time, cut between pieces.
-SHARD_WORDS = 2 << 20
+SHARD_WORDS = 1 << 20
 PART_BYTES = 4 << 20
+#: Hashes that a bucket gathers before it adds them up.
+MEET_KEYS = 2 << 20
 #: Bits of a filter for each frequent phrase, and its least and largest sizes: 1 and 16 MB.
 BITS_PER_PHRASE, MIN_BITS, MAX_BITS = 64, 1 << 23, 1 << 27
 #: A-Z lower-cased, tab to space, and every byte that parts pieces to a full stop.
@@ -186,7 +188,7 @@ class Shard:
         # reach: words of the longest phrase that may end at a place
         self.filters = filters
         n = len(self.codes)
-        self.reach = np.zeros(n, np.int64)
+        self.reach = np.zeros(n, np.int8)
         ok = self.codes >= 0
         self.reach[ok] = 1
         hashes = self.hash[self.codes]
@@ -218,8 +220,34 @@ class Shard:
         return list(map(" ".join, zip(*columns, strict=True)))
 
 
+#: Bytes of a hash that travel; a filter has fewer bits, and what two hashes share there is only counted together.
+KEY_BYTES = 5
+_KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
+
+
+def _short(h: np.ndarray) -> bytes:
+    return h.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[start], np.add.reduceat(n, start)
+
+
 def frequent(shards: DataFrame, length: int, least: int, filters: list[Filter]) -> DataFrame:
-    """(h): hashes of phrases of the length that may stand least times or more; every such phrase's hash is there."""
+    """(h): hashes of phrases of the length that may stand least times or more; every such phrase's hash is there.
+
+    A shard sends one row of hashes and counts for each bucket; hashes that it has once go without a count.
+    """
     deal = tasks(shards.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,64 +256,92 @@ def frequent(shards: DataFrame, length: int, least: int, filters: list[Filter])
                 shard = Shard(row, filters)
                 ends, count = Automaton(shard.codes, shard.reach, length).phrases(length)
                 h = shard.hashes(ends, length)
-                bucket = (h >> np.uint64(32)) % np.uint64(deal)
-                order = np.argsort(bucket, kind="stable")
-                h, count = h[order], count[order].astype(np.uint32)
-                cut = np.searchsorted(bucket[order], np.arange(deal + 1, dtype=np.uint64))
-                some = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), *[pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (h, count)]], ["bucket", "h", "count"]
-                )
+                bucket = ((h >> np.uint64(40)) % np.uint64(deal)).astype(np.int64)
+                # of each bucket, what stands once comes first
+                order = np.lexsort((count > 1, bucket))
+                h, count, bucket = h[order] & _KEY, count[order].astype(np.uint32), bucket[order]
+                cut = np.searchsorted(bucket, np.arange(deal + 1)).tolist()
+                out: list[list] = [[], [], []]
+                for b in range(deal):
+                    x, n = h[cut[b] : cut[b + 1]], count[cut[b] : cut[b + 1]]
+                    if len(x):
+                        for col, v in zip(out, (b, _short(x), n[n > 1].tobytes()), strict=True):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "h", "count"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, count = [], []
-
-        def add() -> tuple[np.ndarray, np.ndarray]:
-            every, n = np.concatenate(h), np.concatenate(count)
-            order = np.argsort(every)
-            every, n = every[order], n[order]
-            start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            return every[start], np.add.reduceat(n, start)
-
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = 0
         for b in batches:
             for x, c in zip(b.column("h"), b.column("count"), strict=True):
-                h.append(np.frombuffer(x.as_py(), np.uint64))
-                count.append(np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
-                held += len(h[-1])
-            if held > 4 << 20:
-                x, n = add()
-                h, count, held = [x], [n], 0
-        if h:
-            x, n = add()
-            x = x[n >= least].view(np.int64)
-            for a in range(0, len(x), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)])], ["h"])
+                key, many = _long(x.as_py()), np.frombuffer(c.as_py(), np.uint32)
+                n = np.ones(len(key), np.int64)
+                n[len(key) - len(many) :] = many
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+            if held > MEET_KEYS:
+                key, n = _sums(keys, counts)
+                keys, counts, held = [key], [n], 0
+        if keys:
+            key, n = _sums(keys, counts)
+            key = key[n >= least].view(np.int64)
+            for a in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)])], ["h"])
 
     sent = shards.mapInArrow(send, "bucket int, h binary, count binary")
     return sent.repartition(deal, "bucket").select("h", "count").mapInArrow(meet, "h long")
 
 
-def phrase_counts(shards: DataFrame, filters: list[Filter], longest: int) -> DataFrame:
-    """(lang, words, phrase, f) of the phrases that the filters leave, counted as they are written."""
+def phrase_counts(shards: DataFrame, filters: list[Filter], longest: int, least: int) -> DataFrame:
+    """(lang, words, phrase, f) of the phrases that stand least times or more, counted as they are written.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A shard sends the phrases that the filters leave, one row for each bucket; a bucket has them as a table of its own.
+    """
+    deal = tasks(shards.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row, filters)
                 automaton = Automaton(shard.codes, shard.reach, longest)
+                out: dict[int, tuple[list[str], list[np.ndarray]]] = {}
                 for length in range(1, longest + 1):
                     ends, count = automaton.phrases(length)
-                    for a in range(0, len(ends), 1 << 14):
-                        e = ends[a : a + (1 << 14)]
-                        text = shard.texts(e, length)
-                        n = len(text)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["lang"]] * n), pa.array(np.full(n, length, np.int32)), pa.array(text), pa.array(count[a : a + n].astype(np.int64))], ["lang", "words", "phrase", "f"]
-                        )
+                    bucket = ((shard.hashes(ends, length) >> np.uint64(40)) % np.uint64(deal)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    text = shard.texts(ends[order], length)
+                    cut = np.searchsorted(bucket[order], np.arange(deal + 1)).tolist()
+                    for b in range(deal):
+                        if cut[b] < cut[b + 1]:
+                            texts, counts = out.setdefault(b, ([], []))
+                            texts += text[cut[b] : cut[b + 1]]
+                            counts.append(count[order[cut[b] : cut[b + 1]]].astype(np.uint32))
+                # no phrase has a line break
+                cells = [(b, "\n".join(texts), np.concatenate(counts).tobytes()) for b, (texts, counts) in out.items()]
+                columns = list(zip(*cells, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int32()), pa.array([row["lang"]] * len(cells), pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary())], ["bucket", "lang", "phrases", "counts"]
+                )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, dict[str, int]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = found.setdefault(row["lang"], {})
+                for phrase, n in zip(row["phrases"].split("\n"), np.frombuffer(row["counts"], np.uint32).tolist(), strict=True):
+                    mine[phrase] = mine.get(phrase, 0) + n
+        for lang, mine in found.items():
+            kept = [(p, n) for p, n in mine.items() if n >= least]
+            for a in range(0, len(kept), 1 << 14):
+                part = kept[a : a + (1 << 14)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part)), pa.array([p.count(" ") + 1 for p, _ in part], pa.int32()), pa.array([p for p, _ in part]), pa.array([n for _, n in part], pa.int64())], ["lang", "words", "phrase", "f"]
+                )
 
-    found = shards.mapInArrow(work, "lang string, words int, phrase string, f long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    sent = shards.mapInArrow(send, "bucket int, lang string, phrases string, counts binary")
+    return sent.repartition(deal, "bucket").mapInArrow(meet, "lang string, words int, phrase string, f long")
 
 
 def collocations(docs: DataFrame, *, least: int = 100, longest: int = LONGEST, percent: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -303,7 +359,7 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = LONGEST, p
     filters: list[Filter] = []
     for length in range(1, longest):
         filters.append(Filter(materialize(frequent(shards, length, least, filters), f"phrases-{length}")))
-    counts = materialize(phrase_counts(shards, filters, longest).where(F.col("f") >= least), "phrase-counts")
+    counts = materialize(phrase_counts(shards, filters, longest, least), "phrase-counts")
     phrases = counts.where("words > 1")
     words = F.split("phrase", " ", -1)
 
