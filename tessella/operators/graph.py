@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import SETTINGS
 from ..sources.stage import written
 from . import ordering
 from .rules import season_clash
@@ -124,7 +125,7 @@ def cold_edges(found: DataFrame, warm: DataFrame) -> DataFrame:
     return joined.where("wa IS NULL OR wb IS NULL").select(found.columns)
 
 
-def diverse_neighbors(adj: DataFrame, meta: DataFrame, *, key: str, type_col: str, season_col: str | None = None, limit: int = 8, per_type: int = 2, min_weight: float = 0.0) -> DataFrame:
+def diverse_neighbors(adj: DataFrame, meta: DataFrame, *, key: str, type_col: str, season_col: str | None = None, limit: int = SETTINGS.pair_limit, per_type: int = SETTINGS.max_per_type, min_weight: float = SETTINGS.min_weight) -> DataFrame:
     """(item_a, item_b, weight, rank): best neighbours, at most per_type of a type, none that clashes in season.
 
     Walking the list and counting what was taken gives the same: an item's fate depends only on better ones of its

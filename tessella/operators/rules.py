@@ -75,6 +75,36 @@ def slot_of(product_type: Column, group: Column, garment: Column, name: Column,
     return F.coalesce(lookup(by_type, product_type), lookup(by_group, group), third, F.lit("other"))
 
 
+def slot_from_table(items: DataFrame, table: DataFrame, tiers: Mapping[str, str], *, id_col: str, words: Column | None = None, default: str = "other") -> DataFrame:
+    """items with slot and tier: the first tier whose table knows the item's key, one join for each; default if none does.
+
+    table is (version, tier, key, rank, value), and its newest version counts. tiers names the column of each tier by
+    key, in order. A last tier, word, looks up the words (an array) of what is left, and the least rank wins.
+    """
+    newest = table.agg(F.max("version").alias("version"))
+    rows = table.join(F.broadcast(newest), "version").where(F.col("value").isNotNull())
+    out = items.withColumn("slot", F.lit(None).cast("string")).withColumn("tier", F.lit(None).cast("string"))
+    for name, column in tiers.items():
+        known = rows.where(F.col("tier") == name).groupBy(F.col("key").alias(column)).agg(F.min(F.struct("rank", "value"))["value"].alias("__found"))
+        hit = F.col("slot").isNull() & F.col("__found").isNotNull()
+        out = out.join(known, column, "left").withColumn("tier", F.when(hit, name).otherwise(F.col("tier"))).withColumn("slot", F.coalesce("slot", "__found")).drop("__found")
+    if words is not None:
+        left = out.where("slot IS NULL").select(id_col, F.explode(F.array_distinct(words)).alias("key"))
+        found = left.join(rows.where("tier = 'word'").select("key", "rank", "value"), "key").groupBy(id_col).agg(F.min(F.struct("rank", "value"))["value"].alias("__found"))
+        out = out.join(found, id_col, "left")
+        out = out.withColumn("tier", F.coalesce("tier", F.when(F.col("__found").isNotNull(), "word"))).withColumn("slot", F.coalesce("slot", "__found")).drop("__found")
+    return out.select(*items.columns, F.coalesce("slot", F.lit(default)).alias("slot"), F.coalesce("tier", F.lit("default")).alias("tier"))
+
+
+def expand_families(filters: DataFrame, families: DataFrame) -> DataFrame:
+    """(query, field, value): a filter's generic value gives way to the members of its family; others stay.
+
+    families is (field, generic, member).
+    """
+    f = families.select("field", F.col("generic").alias("value"), "member").distinct()
+    return filters.join(f, ["field", "value"], "left").select("query", "field", F.coalesce("member", "value").alias("value"))
+
+
 def slot_pair_allowed(a: Column, b: Column) -> Column:
     key = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
     return key.isin(*["|".join(sorted(p)) for p in SLOT_PAIRS])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TTL, CAPACITY, HISTORY = "6 hours", 500, 12
+from ..settings import SETTINGS
+
+TTL, CAPACITY, HISTORY = f"{SETTINGS.session_ttl_hours} hours", SETTINGS.session_capacity, SETTINGS.history_turns
 
 
 def last_known(value: Column, by: str, order: str) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import SETTINGS
 from . import ordering
 
-MIN_DF, MAX_DF_RATIO, K1, B = 2, 0.95, 1.5, 0.75
+MIN_DF, MAX_DF_RATIO, K1, B = 2, 0.95, SETTINGS.bm25_k1, SETTINGS.bm25_b
 
 
 def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -72,7 +74,10 @@ def bm25_weights(post: DataFrame, vocab: DataFrame, *, k1: float = K1, b: float
 
 @dataclass(frozen=True)
 class Index:
-    """An inverted index: rows (doc, term, tf, df, dl) of the vocabulary, documents with a token, and the mean length."""
+    """An inverted index: rows (doc, term, tf, df, dl) of the vocabulary, documents with a token, and the mean length.
+
+    Where rows are bucketed by term, a batch of queries joins them without a shuffle of postings.
+    """
 
     rows: DataFrame
     n: int
@@ -84,6 +89,10 @@ class Index:
         total = rows.agg(F.max("n").alias("n"), F.sum("tf").alias("words"), F.countDistinct("doc").alias("some"))
         return total.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("words") / F.col("some"), F.lit(0.0)).alias("average"))
 
+    def only(self, terms: Sequence[str]) -> Index:
+        """The index of a few terms: of a bucketed one only their buckets are read."""
+        return Index(self.rows.where(F.col("term").isin(*terms)), self.n, self.average)
+
     def weight(self, method: str, *, k1: float = K1, b: float = B) -> Column:
         """The weight of a posting: bm25 or tfidf."""
         tf, df = F.col("tf").cast("double"), F.col("df")

@@ -69,7 +69,7 @@ def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_index(spark: SparkSession, sf_dir: str) -> sparse.Index:
     """The inverted index that all text searches share, and its two statistics."""
     files = [f"{sf_dir}/documents.parquet"]
-    rows = kept(spark, "index", files, lambda: sparse.index_rows(doc_postings(spark, sf_dir)))
+    rows = kept(spark, "index", files, lambda: sparse.index_rows(doc_postings(spark, sf_dir)), bucket_by="term")
     n, average = kept(spark, "index-statistics", files, lambda: sparse.Index.statistics(rows)).first()
     return sparse.Index(rows.drop("n"), n, average)
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import norm
+from ..operators import sketches
+from ..sources import arrays
+from ..sources.stage import shared_dir, written
 from ..sources.tables import TABLES, read_table
+from ..streaming import conversations, events
 from .base import query
 
 
@@ -35,13 +42,30 @@ def rollup_lines(spark, sf_dir):
     return read_table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
 
 
-@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY 1")
+_DAYS = "ev AS (SELECT CAST(ts AS DATE) AS day, user_id, event_type, value FROM events)"
+
+
+@query(f"WITH {_DAYS}, d AS (SELECT DISTINCT day AS until, event_type FROM ev), r AS (SELECT until, event_type, user_id, value FROM d JOIN ev USING (event_type) WHERE day BETWEEN until - 6 AND until), q AS (SELECT until, event_type, count(*) AS n, count(DISTINCT user_id) AS users, list_sort(list(value)) AS v FROM r GROUP BY ALL) SELECT CAST(until AS VARCHAR) AS until, event_type, n, CAST(users AS DOUBLE) AS users, users AS least, users AS most, round(v[CAST(ceil(0.5 * n) AS INTEGER)], 6) AS middle, round(v[CAST(ceil(0.9 * n) AS INTEGER)], 6) AS high FROM q")
 def approximate_distinct(spark, sf_dir):
-    """The sketch's count is within a twentieth of the exact one, and the sketch's middle is between exact quantiles."""
-    exact, about = F.countDistinct("user_id"), F.approx_count_distinct("user_id", 0.01)
-    middle = F.percentile_approx("value", 0.5, 1000).between(F.percentile("value", 0.45), F.percentile("value", 0.55))
-    x = read_table(spark, sf_dir, "events").groupBy("event_type").agg(exact.alias("users"), about.alias("about"), middle.alias("middle"))
-    return x.select("event_type", "users", ((F.abs(F.col("about") - F.col("users")) <= 0.05 * F.col("users")) & F.col("middle")).alias("near"))
+    """Users and quantiles of the week up to each day, from sketches kept by day: the sketches' own estimates and bounds.
+
+    The SQL counts exactly; theta and KLL states are exact up to 4,096 users or values a week.
+    """
+    e = read_table(spark, sf_dir, "events")
+    states = written(sketches.daily(e, F.to_date("ts"), "user_id", "value", ["event_type"]), "sketches")
+    week = sketches.ranges(states, 7, ["event_type"])
+    estimate, least, most = sketches.distinct(F.col("theta"))
+    return week.select(F.col("until").cast("string").alias("until"), "event_type", "n", estimate.cast("double").alias("users"), least.alias("least"), most.alias("most"), F.round(sketches.quantile(F.col("kll"), 0.5), 6).alias("middle"), F.round(sketches.quantile(F.col("kll"), 0.9), 6).alias("high"))
+
+
+@query(f"WITH {_DAYS}, u AS (SELECT DISTINCT event_type, user_id FROM ev) SELECT a.event_type AS one, b.event_type AS two, CAST(count(*) AS DOUBLE) AS both FROM u a JOIN u b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL")
+def sketch_overlap(spark, sf_dir):
+    """How many users two kinds of events share, from one theta state of each kind."""
+    s = read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.theta_sketch_agg("user_id", sketches.LG_THETA).alias("s"))
+    s = written(s, "kinds")
+    a, b = s.select(F.col("event_type").alias("one"), F.col("s").alias("a")), s.select(F.col("event_type").alias("two"), F.col("s").alias("b"))
+    # one row for each kind
+    return a.join(F.broadcast(b), F.col("one") < F.col("two")).select("one", "two", sketches.overlap(F.col("a"), F.col("b")).cast("double").alias("both")).where("both > 0")
 
 
 @query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS month, count(*) OVER w AS n, first_value(o_orderkey) OVER v AS first FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY d RANGE BETWEEN 30 PRECEDING AND CURRENT ROW), v AS (PARTITION BY o_custkey ORDER BY d, o_orderkey)")
@@ -117,3 +141,42 @@ def own_functions(spark, sf_dir):
     register_functions(spark)
     register_views(spark, sf_dir)
     return spark.sql("SELECT event_type AS name, round(geometric_mean(value), 4) AS v FROM events GROUP BY event_type UNION ALL SELECT word, CAST(count(*) AS DOUBLE) FROM part, LATERAL cut_words(p_name) GROUP BY word")
+
+
+_SESSION_SQL = """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'set' WHEN 'error' THEN 'clear' WHEN 'signup' THEN 'reset' ELSE 'message' END AS action, event_id, event_type, CASE WHEN value > 15 THEN 'high' WHEN value > 5 THEN 'low' ELSE '' END AS kind FROM events),
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_ms(ts) - epoch_ms(lag(ts) OVER w) > 6 * 3600000 OR action = 'reset' THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
+e AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts, seq) AS epoch FROM g), c AS (SELECT *, sum(CASE WHEN action = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY session, epoch ORDER BY ts, seq) AS part FROM e)
+SELECT session, seq, first_value(seq) OVER v AS opened, coalesce(last_value(CASE WHEN action = 'set' THEN 'item' || event_id END IGNORE NULLS) OVER (PARTITION BY session, epoch, part ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), '') AS anchor,
+coalesce(last_value(nullif(kind, '') IGNORE NULLS) OVER v, '') AS last_kind, least(12, count(CASE WHEN action = 'message' THEN 1 END) OVER v) AS history, coalesce(last_value(CASE WHEN action = 'message' THEN event_type || ' ' || event_id END IGNORE NULLS) OVER v, '') AS newest
+FROM c WINDOW v AS (PARTITION BY session, epoch ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)"""
+
+
+@query(_SESSION_SQL)
+def stateful_sessions(spark, sf_dir):
+    """The state of every user's session after each event, kept by a stream: anchors, inheritance, history, expiry."""
+    folder = spark.readStream.schema(events.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return conversations.run_sessions(conversations.session_turns(event_turns(folder)))
+
+
+def event_turns(e):
+    """Events as turns of a session: a purchase sets the anchor, an error clears it, a sign-up starts anew."""
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "set").when(kind == "error", "clear").when(kind == "signup", "reset").otherwise("message")
+    return e.select(
+        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), F.concat(F.lit("item"), "event_id").alias("value"),
+        F.when(F.col("value") > 15, "high").when(F.col("value") > 5, "low").otherwise("").alias("kind"), F.lit("user").alias("role"), F.concat_ws(" ", kind, F.col("event_id").cast("string")).alias("text"),
+    )
+
+
+@query("SELECT row, round(sqrt(list_dot_product(v, v)), 6) AS norm, len(v) AS size FROM (SELECT vec_id AS row, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")
+def array_vectors(spark, sf_dir):
+    """Vectors written as .npy files and read again through the array source, with a gate on size and finite numbers."""
+    arrays.register(spark)
+    e = read_table(spark, sf_dir, "embeddings").select("embedding", "vec_id")
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    path = f"{shared_dir(spark).removeprefix('file://')}/tessella/arrays-{uuid.uuid4().hex}"
+    # the id goes with the vector, as its last element: a file has no other column
+    e.select(F.concat("embedding", F.array(F.col("vec_id").cast("float"))).alias("vector")).write.format("array").mode("append").save(path)
+    x = spark.read.format("array").option("dim", size + 1).option("finite", True).load(path)
+    v = F.slice("vector", 1, size)
+    return x.select(F.element_at("vector", -1).cast("long").alias("row"), F.round(norm(v), 6).alias("norm"), F.size(v).cast("long").alias("size"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import dense, graph, metrics, profiles, rules
+from ..sources.stage import written
 from ..sources.tables import read_table
 from .base import BASKETS, CATALOGUE, PURCHASES, baskets, catalogue, cobuy, purchases, query
 
@@ -206,12 +207,47 @@ def slot_pair_distribution(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy(F.least(a, b).alias("slot_a"), F.greatest(a, b).alias("slot_b")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CATALOGUE} SELECT item, CASE WHEN product_type = 'PROMO' THEN 'outerwear' WHEN product_group = 'Brand#3' THEN 'swim' WHEN garment IN ('ring', 'bolt') THEN CASE WHEN contains(name, 'red') THEN 'top' WHEN contains(name, 'blue') THEN 'bottom' ELSE 'other' END WHEN garment = 'gear' THEN 'shoe' ELSE 'other' END AS slot FROM cat")
+_SLOT_NAMES = ("top", "bottom", "shoe", "accessory", "outerwear")
+# a table of slot rules from the data: two versions; the commoner types, groups and words have one
+_SLOT_TABLE = f"""{CATALOGUE}, keys AS (SELECT 'type' AS tier, product_type AS key, count(*) AS n FROM cat GROUP BY ALL UNION ALL SELECT 'group', product_group, count(*) FROM cat GROUP BY ALL
+UNION ALL SELECT 'word', word, count(*) FROM (SELECT unnest(string_split(name, ' ')) AS word FROM cat) GROUP BY ALL),
+rul AS (SELECT tier, key, r, {{}} AS value FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY key) AS r, avg(n) OVER (PARTITION BY tier) AS mean FROM keys) WHERE n > mean)"""
+_NAME_OF = "list_value(" + ", ".join(f"'{x}'" for x in _SLOT_NAMES) + ")[(r + {}) % 5 + 1]"
+
+
+def slot_table(spark, sf_dir):
+    """(version, tier, key, rank, value), written as Parquet and read again as any rule table is."""
+    cat = catalogue(spark, sf_dir)
+    keys = [cat.select(F.lit(t).alias("tier"), c.alias("key")) for t, c in (("type", F.col("product_type")), ("group", F.col("product_group")), ("word", F.explode(F.split("name", " "))))]
+    n = keys[0].unionByName(keys[1]).unionByName(keys[2]).groupBy("tier", "key").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("tier")
+    n = n.withColumn("rank", F.row_number().over(w.orderBy("key"))).withColumn("mean", F.avg("n").over(w)).where("n > mean")
+    names = F.array(*[F.lit(x) for x in _SLOT_NAMES])
+    each = n.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    return written(each.select("version", "tier", "key", "rank", F.get(names, ((F.col("rank") + F.col("version")) % 5).cast("int")).alias("value")), "slot-table")
+
+
+@query(f"""WITH {_SLOT_TABLE.format(_NAME_OF.format(2))}, w AS (SELECT item, min(struct_pack(r := r, value := value)).value AS value FROM (SELECT item, unnest(string_split(name, ' ')) AS key FROM cat) JOIN rul USING (key) WHERE tier = 'word' GROUP BY 1)
+SELECT cat.item, coalesce(t.value, g.value, w.value, 'other') AS slot, CASE WHEN t.value IS NOT NULL THEN 'type' WHEN g.value IS NOT NULL THEN 'group' WHEN w.value IS NOT NULL THEN 'word' ELSE 'default' END AS tier
+FROM cat LEFT JOIN rul t ON t.tier = 'type' AND t.key = product_type LEFT JOIN rul g ON g.tier = 'group' AND g.key = product_group LEFT JOIN w USING (item)""")
 def slot_lookup(spark, sf_dir):
-    """Four tiers: type, group, garment group, words of the name."""
-    c = F.col
-    slot = rules.slot_of(c("product_type"), c("product_group"), c("garment"), c("name"), by_type={"PROMO": "outerwear"}, by_group={"Brand#3": "swim"}, by_garment={"gear": "shoe"}, mixed=["ring", "bolt"], name_words=[("top", ["red"]), ("bottom", ["blue"])])
-    return catalogue(spark, sf_dir).select("item", slot.alias("slot"))
+    """Tiers of a versioned rule table: type, group, words of the name; the newest version counts."""
+    found = rules.slot_from_table(catalogue(spark, sf_dir), slot_table(spark, sf_dir), {"type": "product_type", "group": "product_group"}, id_col="item", words=F.split("name", " "))
+    return found.select("item", "slot", "tier")
+
+
+@query(f"""WITH {CATALOGUE}, g AS (SELECT DISTINCT product_group AS v FROM cat), fam AS (SELECT a.v AS generic, b.v AS member FROM g a JOIN g b ON starts_with(b.v, a.v)),
+q AS (SELECT DISTINCT product_group AS query FROM cat) SELECT query, count(DISTINCT member) AS members, count(*) AS n FROM q JOIN fam ON generic = query JOIN cat ON product_group = member GROUP BY 1""")
+def family_filter(spark, sf_dir):
+    """A filter on a generic group finds its whole family: here the groups whose name begins with the generic's."""
+    cat = catalogue(spark, sf_dir)
+    g = cat.select("product_group").distinct()
+    # a family is told by every prefix of a member's name
+    heads = g.select(F.col("product_group").alias("member"), F.explode(F.transform(F.sequence(F.lit(1), F.length("product_group")), lambda n: F.substring("product_group", F.lit(1), n))).alias("generic"))
+    families = written(heads.join(g.withColumnRenamed("product_group", "generic"), "generic", "left_semi").select(F.lit("product_group").alias("field"), "generic", "member"), "families")
+    asked = g.select(F.col("product_group").alias("query"), F.lit("product_group").alias("field"), F.col("product_group").alias("value"))
+    found = rules.expand_families(asked, families).join(cat.select(F.col("product_group").alias("value")), "value")
+    return found.groupBy("query").agg(F.countDistinct("value").alias("members"), F.count("*").alias("n"))
 
 
 @query(f"WITH {PURCHASES}, c AS (SELECT item, count(*) AS n FROM pur GROUP BY 1) SELECT item, n, round(ln(1 + n) / ln(1 + max(n) OVER ()), 6) AS score FROM c")

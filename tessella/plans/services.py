@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..operators import audits, dense, fusion, graph, metrics, nlu, profiles, rules, sparse
+from ..operators import audits, dense, fusion, graph, metrics, nlu, ordering, profiles, rules, scoring, sparse
 from ..sources import tables
 from ..sources.stage import written
 from ..sources.tables import read_table
@@ -66,19 +66,49 @@ def gender_derivation(spark, sf_dir):
 # vectors
 
 
-_ZIP = "list_transform(list_zip(a.v, b.v), lambda p: {})"
+# parameters from the data: a type pair's mask and relation from the means of its two labels, where the pair occurs twice
+_PARAMS = f"""{_EMB}, x AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), mn AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, round(avg(x), 9) AS x FROM x GROUP BY 1, 2) GROUP BY 1),
+nb AS (SELECT a.vec_id, a.label AS ka, b.label AS kb, a.v AS va, b.v AS vb, a.vec_id % 4 AS ba, b.vec_id % 4 AS bb FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+mk AS (SELECT least(ka, kb) AS ka, greatest(ka, kb) AS kb FROM nb GROUP BY ALL HAVING count(*) >= 8), rl AS (SELECT ka, kb FROM nb GROUP BY ALL HAVING count(*) >= 5),
+mks AS (SELECT mk.ka, mk.kb, [1 / (1 + exp(-(p[1] + p[2]))) FOR p IN list_zip(a.m, b.m)] AS gate FROM mk JOIN mn a ON a.label = mk.ka JOIN mn b ON b.label = mk.kb), rls AS (SELECT rl.ka, rl.kb, [p[2] - p[1] FOR p IN list_zip(a.m, b.m)] AS rel FROM rl JOIN mn a ON a.label = rl.ka JOIN mn b ON b.label = rl.kb),
+y AS (SELECT vec_id % 4 AS band, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), bn AS (SELECT band, list(x ORDER BY i) AS m FROM (SELECT band, i, round(avg(x), 9) AS x FROM y GROUP BY 1, 2) GROUP BY 1)"""
+_COS = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
 
 
-@query(f"""WITH {_EMB} SELECT a.vec_id, round(list_sum({_ZIP.format('p[1] * p[2] / (1 + exp(-p[1]))')}), 6) AS masked, round(-list_sum({_ZIP.format('(2 * p[1] - p[2]) * (2 * p[1] - p[2])')}), 6) AS translated,
-round(a.label * 0.5 + list_dot_product(a.v, b.v), 6) AS aspects, round(a.v[1] / sqrt(list_dot_product(a.v, a.v)), 6) AS first, len(a.v) + len(b.v) AS size FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
+@query(f"""WITH {_PARAMS} SELECT nb.vec_id, round(list_sum([p[1] * p[2] * coalesce(p[3], 0.5) FOR p IN list_zip(va, vb, gate)]), 6) AS masked, round(-list_sum([(p[1] + coalesce(p[3], 0) - p[2]) * (p[1] + coalesce(p[3], 0) - p[2]) FOR p IN list_zip(va, vb, rel)]), 6) AS translated,
+round(list_dot_product(va, vb) * ln(1 + exp(0.5)) + {_COS.format(a='la.m', b='lb.m')} * ln(1 + exp(1)) + {_COS.format(a='xa.m', b='xb.m')} * ln(1 + exp(-1)), 6) AS aspects, round(va[1] / sqrt(list_dot_product(va, va)), 6) AS first, len(va) + len(vb) AS size, gate IS NOT NULL AS has_mask, rel IS NOT NULL AS has_relation
+FROM nb LEFT JOIN mks ON mks.ka = least(nb.ka, nb.kb) AND mks.kb = greatest(nb.ka, nb.kb) LEFT JOIN rls ON rls.ka = nb.ka AND rls.kb = nb.kb JOIN mn la ON la.label = nb.ka JOIN mn lb ON lb.label = nb.kb JOIN bn xa ON xa.band = ba JOIN bn xb ON xb.band = bb""")
 def vector_scores(spark, sf_dir):
-    """Scores of neighbouring ids in masked, translated and aspect spaces, and joined features."""
-    e = _vectors(spark, sf_dir)
-    b = e.select((_C("vec_id") - 1).alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("b"))
-    x = e.withColumn("a", F.transform("embedding", lambda x: x.cast("double"))).join(b, "vec_id")
-    a, b = _C("a"), _C("b")
-    both = V.concat_features(a, b)
-    return x.select("vec_id", F.round(V.masked_score(a, b, a), 6).alias("masked"), F.round(V.translation_score(a, b, a), 6).alias("translated"), F.round(V.aspect_score(_C("label").cast("double"), F.lit(0.5), a, b), 6).alias("aspects"), F.round(both[0], 6).alias("first"), F.size(both).cast("long").alias("size"))
+    """Scores of neighbouring ids in masked, translated and aspect spaces, and joined features.
+
+    Masks, relations and aspect vectors are tables made from the data: the sum and the difference of two labels' means,
+    and the means themselves. Pairs that are too rare have no mask or relation and take the default.
+    """
+    e = _vectors(spark, sf_dir).select("vec_id", _C("label").alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), (_C("vec_id") % 4).alias("band"))
+
+    def means(by):
+        each = e.select(_C(by).alias("value"), F.posexplode("v").alias("i", "x")).groupBy("value", "i").agg(F.round(F.avg("x"), 9).alias("x"))
+        return each.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("m"))
+
+    labels = written(means("k"), "label-means")
+    b = e.select((_C("vec_id") - 1).alias("vec_id"), _C("k").alias("kb"), _C("v").alias("vb"), _C("band").alias("bb"))
+    rows = written(e.select("vec_id", _C("k").alias("ka"), _C("v").alias("va"), _C("band").alias("ba")).join(b, "vec_id"), "neighbours")
+
+    def table(x, y, least, name, op):
+        found = rows.groupBy(x.alias("kind_a"), y.alias("kind_b")).agg(F.count("*").alias("n")).where(_C("n") >= least)
+        found = found.join(labels.select(_C("value").alias("kind_a"), _C("m").alias("p")), "kind_a").join(labels.select(_C("value").alias("kind_b"), _C("m").alias("q")), "kind_b")
+        return found.select("kind_a", "kind_b", F.zip_with("p", "q", op).alias(name))
+
+    masks = table(F.least("ka", "kb"), F.greatest("ka", "kb"), 8, "mask", lambda p, q: p + q)
+    relations = table(_C("ka"), _C("kb"), 5, "relation", lambda p, q: q - p)
+    known = lambda t, x, y, name: t.select(_C("kind_a").alias(x), _C("kind_b").alias(y), F.lit(True).alias(name))
+    aspects = labels.select(F.lit("label").alias("aspect"), "value", _C("m").alias("vector")).unionByName(means("band").select(F.lit("band").alias("aspect"), "value", _C("m").alias("vector")))
+    x = scoring.translated(scoring.masked(rows.withColumn("residual", V.dot(_C("va"), _C("vb"))), masks), relations)
+    x = scoring.aspect_score(scoring.aspect_affinities(x, aspects, {"label": ("ka", "kb"), "band": ("ba", "bb")}), {"residual": 0.5, "label": 1.0, "band": -1.0})
+    x = x.withColumn("low", F.least("ka", "kb")).withColumn("high", F.greatest("ka", "kb")).join(known(masks, "low", "high", "has_mask"), ["low", "high"], "left").join(known(relations, "ka", "kb", "has_relation"), ["ka", "kb"], "left")
+    both = V.concat_features(_C("va"), _C("vb"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return x.select("vec_id", *[F.round(c, 6).alias(c) for c in ("masked", "translated", "aspects")], F.round(both[0], 6).alias("first"), F.size(both).cast("long").alias("size"), flag("has_mask"), flag("has_relation"))
 
 
 @query(f"WITH {_EMB}, s AS (SELECT a.vec_id AS span, a.label AS field, b.vec_id AS value, round(list_dot_product(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 7 = 0 AND b.vec_id % 7 <> 0) SELECT span, value, score FROM s QUALIFY row_number() OVER (PARTITION BY span ORDER BY score DESC, value) = 1")
@@ -180,18 +210,46 @@ def cross_category_suggestions(spark, sf_dir):
 # resolution of types, filters and spans
 
 
-_SYNONYMS = {"widget": "SMALL", "gear": "PROMO"}
+_TERMS = "unnest(list_distinct(regexp_extract_all(lower({}), '[a-z]{{3,}}')))"
 
 
-@query(f"""WITH {CATALOGUE}, x AS (SELECT item, garment AS asked, CASE WHEN item % 5 = 0 THEN product_type END AS exact, CASE garment WHEN 'widget' THEN 'SMALL' WHEN 'gear' THEN 'PROMO' END AS synonym, CASE WHEN size > 25 THEN product_type END AS corpus, (item % 100) / 100.0 AS score, product_type AS fuzzy, colour FROM cat),
-y AS (SELECT *, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN synonym IS NOT NULL THEN 'synonym' WHEN corpus IS NOT NULL THEN 'corpus' WHEN score >= 0.85 THEN 'fuzzy' ELSE 'unresolved' END AS source FROM x)
-SELECT item, coalesce(exact, synonym, corpus, CASE WHEN score >= 0.85 THEN fuzzy END) AS value, source, CASE WHEN source = 'fuzzy' THEN 1 ELSE 2 END AS n_hard FROM y""")
+@query(f"""WITH {CATALOGUE}, {_EMB}, {_CENTRES}, types AS (SELECT product_type AS type, row_number() OVER (ORDER BY product_type) - 1 AS number, count(*) OVER () AS n FROM (SELECT DISTINCT product_type FROM cat)),
+asked AS (SELECT lower(product_type) AS value FROM cat UNION SELECT product_group FROM cat UNION SELECT colour FROM cat UNION SELECT garment FROM cat UNION SELECT name FROM cat UNION SELECT 'vec' || vec_id FROM e),
+ex AS (SELECT value, type AS resolved, 1 AS tier FROM asked JOIN types ON lower(type) = lower(value)),
+sn AS (SELECT product_group AS value, product_type AS resolved, 2 AS tier FROM (SELECT *, sum(n) OVER (PARTITION BY product_group) AS total FROM (SELECT product_group, product_type, count(*) AS n FROM cat GROUP BY 1, 2)) QUALIFY row_number() OVER (PARTITION BY product_group ORDER BY n DESC, product_type) = 1 AND n / total >= 0.25),
+tc AS (SELECT term, type, count(*) AS n FROM (SELECT item, product_type AS type, {_TERMS.format('name')} AS term FROM cat) GROUP BY 1, 2 QUALIFY sum(n) OVER (PARTITION BY term) >= 5),
+tq AS (SELECT value, type, sum(n) AS n FROM (SELECT value, {_TERMS.format('value')} AS term FROM asked) JOIN tc USING (term) GROUP BY ALL),
+co AS (SELECT value, type AS resolved, 3 AS tier FROM (SELECT *, sum(n) OVER (PARTITION BY value) AS total, row_number() OVER (PARTITION BY value ORDER BY n DESC, type) AS r FROM tq) WHERE r = 1 AND total >= 15 AND n / total >= 0.2),
+fz AS (SELECT 'vec' || vec_id AS value, type AS resolved, 4 AS tier FROM (SELECT e.vec_id, ce.label, round(list_dot_product(e.v, ce.v), 6) AS score FROM e, ce QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, ce.label) = 1) JOIN types ON number = label % n WHERE score >= 0.2)
+SELECT asked.value, arg_min(resolved, tier) AS resolved, coalesce(['exact', 'synonym', 'corpus', 'fuzzy'][min(tier)], 'unresolved') AS source, coalesce(min(tier) <= 3, false) AS hard
+FROM asked LEFT JOIN (FROM ex UNION ALL FROM sn UNION ALL FROM co UNION ALL FROM fz) u ON u.value = asked.value GROUP BY 1""")
 def type_resolution(spark, sf_dir):
-    """Exact name, synonym, corpus majority, or the nearest name; what is only near is no hard filter."""
-    c = catalogue(spark, sf_dir)
-    r = nlu.resolve_type(_C("garment"), F.when(_C("item") % 5 == 0, _C("product_type")), rules.lookup(_SYNONYMS, _C("garment")), F.when(_C("size") > 25, _C("product_type")), _C("product_type"), (_C("item") % 100) / 100.0)
-    x = c.select("item", r.alias("r"), F.create_map(F.lit("product_type"), _C("product_type"), F.lit("colour_group"), _C("colour")).alias("f"))
-    return x.select("item", "r.value", "r.source", F.size(nlu.hard_filters(_C("f"), _C("r.source"))).alias("n_hard"))
+    """Exact name, synonym, corpus majority, or the nearest centre, each for what the ones before have left; what is only near is no hard filter."""
+    cat, e = catalogue(spark, sf_dir), _vectors(spark, sf_dir)
+    columns = [F.lower("product_type"), _C("product_group"), _C("colour"), _C("garment"), _C("name")]
+    asked = cat.select(F.explode(F.array(*columns)).alias("value")).unionByName(e.select(F.concat(F.lit("vec"), "vec_id").alias("value")))
+    types = cat.select(_C("product_type").alias("value")).distinct()
+    number = written(ordering.numbered(types, ["value"]), "types")
+    n = F.count("*").over(Window.partitionBy("product_group", "product_type"))
+    share = cat.select("product_group", "product_type", n.alias("n"), F.count("*").over(Window.partitionBy("product_group")).alias("total")).distinct()
+    top = share.groupBy("product_group", "total").agg(F.min(F.struct((-_C("n")).alias("n"), "product_type")).alias("best")).where(-_C("best.n") / _C("total") >= 0.25)
+    synonyms = top.select(_C("product_group").alias("surface"), _C("best.product_type").alias("value"))
+    counts = sparse.term_types(cat, "item", _C("name"), "product_type")
+
+    def corpus(rest):
+        terms = rest.select(_C("value").alias("query"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit("([a-z]{3,})"), F.lit(1)))).alias("term"))
+        return sparse.majority_type(terms, counts, min_share=0.2).select(_C("query").alias("value"), _C("type").alias("resolved"))
+
+    size = number.agg(F.count("*").alias("n"))
+    labels = dense.mean_vector(e, "label", "embedding").crossJoin(F.broadcast(size)).withColumn("idx", _C("label") % _C("n")).join(number.withColumnRenamed("value", "resolved"), "idx")
+    vectors = e.select(F.concat(F.lit("vec"), "vec_id").alias("value"), _C("embedding").alias("vector"))
+    stages = [
+        ("exact", nlu.by_name(types, "value", "value")),
+        ("synonym", nlu.by_name(synonyms)),
+        ("corpus", corpus),
+        ("fuzzy", nlu.by_vector(vectors, labels.select(_C("label").alias("id"), "resolved", "vector"), least=0.2)),
+    ]
+    return nlu.resolve_chain(asked, stages).withColumn("hard", ~_C("source").isin("fuzzy", "unresolved"))
 
 
 @query(f"""WITH {CATALOGUE}, f AS (SELECT item AS query, 'colour' AS field, upper(colour) AS value FROM cat UNION ALL SELECT item, 'garment', CASE WHEN item % 3 = 0 THEN garment || 'x' ELSE garment END FROM cat),
@@ -209,13 +267,37 @@ def argmax_labels(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", nlu.argmax_label(F.slice("embedding", 1, 4), ["a", "b", "c", "d"]).alias("label"))
 
 
-@query(f"WITH {CATALOGUE} SELECT item, CASE WHEN item % 2 = 0 THEN 'kept' ELSE colour END AS colour, garment, coalesce(nullif(CASE WHEN colour IN ('red', 'blue') THEN colour ELSE '' END, ''), CASE WHEN garment = 'ring' THEN 'round' END, 'none') AS linked FROM cat")
+# the colour of a word, from the items that have it
+_RGB_OF = "SELECT colour AS value, CAST(floor(avg(size) * 5) AS BIGINT) AS r, count(*) % 256 AS g, CAST(floor(avg(price)) AS BIGINT) % 256 AS b FROM cat GROUP BY 1"
+
+
+@query(f"""WITH {CATALOGUE}, {_EMB}, rgb AS ({_RGB_OF}), canon AS (SELECT colour AS value FROM (SELECT colour, count(*) AS n, avg(count(*)) OVER () AS mean FROM cat GROUP BY 1) WHERE n > mean), cn AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS number, count(*) OVER () AS n FROM canon),
+spans AS (SELECT DISTINCT colour AS value FROM cat UNION SELECT DISTINCT upper(name) FROM cat),
+ex AS (SELECT s.value, c.value AS resolved, 1 AS tier FROM spans s JOIN canon c ON lower(s.value) = lower(c.value)),
+wd AS (SELECT value, resolved, 2 AS tier FROM (SELECT s.value, c.value AS resolved, row_number() OVER (PARTITION BY s.value ORDER BY length(c.value) DESC, list_position(string_split(lower(s.value), ' '), lower(c.value)), c.value) AS r FROM spans s JOIN canon c ON list_contains(string_split(lower(s.value), ' '), lower(c.value))) WHERE r = 1),
+nr AS (SELECT value, resolved, 3 AS tier FROM (SELECT x.value, y.value AS resolved, row_number() OVER (PARTITION BY x.value ORDER BY (x.r - y.r) ** 2 + (x.g - y.g) ** 2 + (x.b - y.b) ** 2, y.value) AS k FROM rgb x JOIN rgb y ON y.value IN (SELECT value FROM canon)) WHERE k = 1),
+u AS (SELECT value, arg_min(resolved, tier) AS linked, ['exact', 'word', 'colour'][min(tier)] AS source FROM (FROM ex UNION ALL FROM wd UNION ALL FROM nr) GROUP BY 1),
+own AS (SELECT vec_id AS item, cn.value AS colour FROM e JOIN cn ON number = label % n)
+SELECT item, coalesce(own.colour, a.linked, cat.colour) AS colour, own.colour IS NOT NULL AS given, garment, a.linked AS linked, a.source AS source, coalesce(b.source, 'unresolved') AS span_source FROM cat LEFT JOIN own USING (item) LEFT JOIN u a ON a.value = cat.colour LEFT JOIN u b ON b.value = upper(name)""")
 def fill_and_link(spark, sf_dir):
-    """Fields that a model left out are filled; a span is linked by the first of several lookups that knows it."""
-    own = F.when(_C("item") % 2 == 0, F.create_map(F.lit("colour"), F.lit("kept"))).otherwise(F.create_map().cast("map<string,string>"))
-    m = nlu.fill_missing(own, F.create_map(F.lit("colour"), _C("colour"), F.lit("garment"), _C("garment")))
-    linked = nlu.link_span(_C("name"), F.when(_C("colour").isin("red", "blue"), _C("colour")).otherwise(""), rules.lookup({"ring": "round"}, _C("garment")), F.lit("none"))
-    return catalogue(spark, sf_dir).select("item", F.element_at(m, "colour").alias("colour"), F.element_at(m, "garment").alias("garment"), linked.alias("linked"))
+    """Spans linked to the catalogue's commoner colours: by name, by a word inside, by the nearest colour; then fields that a model left out are filled.
+
+    The model's answers are the labels of the items that have a vector.
+    """
+    cat = catalogue(spark, sf_dir)
+    n = cat.groupBy("colour").agg(F.count("*").alias("n"), F.floor(F.avg("size") * 5).alias("r"), (F.count("*") % 256).alias("g"), (F.floor(F.avg("price")) % 256).alias("b"))
+    n = written(n.crossJoin(F.broadcast(n.agg(F.avg("n").alias("mean")))), "colours")
+    canon = n.where("n > mean").select(_C("colour").alias("surface"), _C("colour").alias("value"), "r", "g", "b")
+    spans = cat.select(F.explode(F.array(_C("colour"), F.upper("name"))).alias("value"))
+    stages = [("exact", nlu.by_name(canon)), ("word", nlu.by_word(canon)), ("colour", nlu.by_colour(n.select(_C("colour").alias("value"), "r", "g", "b"), canon.select(_C("value").alias("resolved"), "r", "g", "b")))]
+    linked = written(nlu.resolve_chain(spans, stages), "linked")
+    number = written(ordering.numbered(canon.select("value"), ["value"]), "canonical")
+    size = number.agg(F.count("*").alias("n"))
+    model = _vectors(spark, sf_dir).crossJoin(F.broadcast(size)).withColumn("idx", _C("label") % _C("n")).join(number, "idx").select(_C("vec_id").alias("item"), F.create_map(F.lit("colour"), "value").alias("own"))
+    x = cat.join(model, "item", "left").join(linked.select(_C("value").alias("colour"), _C("resolved").alias("linked"), "source"), "colour").join(linked.select(_C("value").alias("span"), _C("source").alias("span_source")), F.upper("name") == _C("span"))
+    own = F.coalesce("own", F.create_map().cast("map<string,string>"))
+    m = nlu.fill_missing(own, F.create_map(F.lit("colour"), F.coalesce("linked", "colour"), F.lit("garment"), _C("garment")))
+    return x.select("item", F.element_at(m, "colour").alias("colour"), F.map_contains_key(own, "colour").alias("given"), F.element_at(m, "garment").alias("garment"), "linked", "source", "span_source")
 
 
 @query(f"""WITH {POSTINGS}, q2 AS (SELECT query, term FROM qt JOIN benchmark ON query = item_id WHERE term <> regexp_extract(lower(text), '[a-z0-9]+')),

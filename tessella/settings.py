@@ -11,7 +11,6 @@ class Settings:
     """Limits and weights that queries share; TESSELLA_<NAME> in the environment overrides a field."""
 
     limit: int = 10
-    rerank_pool: int = 30
     pair_limit: int = 8
     max_per_type: int = 2
     min_weight: float = 0.0
@@ -29,3 +28,7 @@ class Settings:
         kinds = {"int": int, "float": float, "str": str}
         given = {f.name: kinds[str(f.type)](env[f"TESSELLA_{f.name.upper()}"]) for f in fields(cls) if f"TESSELLA_{f.name.upper()}" in env}
         return cls(**given)
+
+
+#: The settings of this process.
+SETTINGS = Settings.from_env()

@@ -72,15 +72,64 @@ def folders_of(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
 
 
-def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], *, version: int = 1) -> DataFrame:
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let write() fill a folder aside and rename it to path: path is whole or not there, and a failed build leaves it as it was.
+
+    Of two builders at once the first to be done wins.
+    """
+    fs, at = _fs(spark, path)
+    if fs.exists(at):
+        return
+    aside = f"{path.rpartition('/')[0]}/_building-{uuid.uuid4().hex}"
+    _, there = _fs(spark, aside)
+    try:
+        write(aside)
+        if not fs.exists(at) and not fs.rename(there, at) and not fs.exists(at):
+            raise OSError(f"{aside} could not be renamed to {path}")
+    finally:
+        if fs.exists(there):
+            fs.delete(there, True)
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], *, version: int = 1, bucket_by: str | None = None, buckets: int = 64) -> DataFrame:
     """The table built from source files: built once for the state that they are in, and again when one changes.
 
-    version counts the ways in which the table has been built; a new one is no old one's copy.
+    version counts the ways in which the table has been built; a new one is no old one's copy. With bucket_by the files
+    are buckets of that column's hash, sorted by it: a join or an aggregation by it reads them without a shuffle, and a
+    filter on some of its values reads their buckets only. Tables of the sources' earlier states go once a new one is
+    there.
     """
-    from .tables import cached
+    from .tables import signature
 
     state = {p: files_of(spark, p) for p in sources}
-    return cached(spark, f"{shared_dir(spark)}/tessella/{name}", {"name": name, "sources": state, "version": version}, build)
+    bucketed = {"by": bucket_by, "buckets": buckets} if bucket_by else {}
+    folder = f"{shared_dir(spark)}/tessella/{name}/of={signature({'sources': sorted(sources), 'version': version, **bucketed})}"
+    table = f"kept_{signature({'folder': folder, 'state': state})}"
+    path = f"{folder}/sig={signature(state)}"
+
+    def write(aside: str) -> None:
+        rows = build()
+        if not bucket_by:
+            rows.write.parquet(aside)
+            return
+        # one file for each bucket
+        dealt = rows.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+        building = f"building_{uuid.uuid4().hex}"
+        try:
+            dealt.format("parquet").option("path", aside).saveAsTable(building)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {building}")
+
+    publish(spark, path, write)
+    fs, _ = _fs(spark, folder)
+    for old in folders_of(spark, folder):
+        if old.startswith("sig=") and not path.endswith(f"/{old}"):
+            fs.delete(_fs(spark, f"{folder}/{old}")[1], True)
+    if not bucket_by:
+        return spark.read.parquet(path)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({bucket_by}) SORTED BY ({bucket_by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
 
 
 def forget(spark: SparkSession, name: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import clean_value, normalize_article_id
 from ..functions.vectors import is_finite
 from ..operators.dense import upsert as _upsert
+from .stage import publish
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -71,12 +72,9 @@ def signature(config: Mapping[str, object]) -> str:
 
 
 def cached(spark: SparkSession, folder: str, config: Mapping[str, object], build) -> DataFrame:
-    """The table built for a configuration: read if an earlier run has written it whole, else built and written."""
+    """The table built for a configuration: read if an earlier run has written it whole, else built aside and renamed."""
     path = f"{folder.rstrip('/')}/sig={signature(config)}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
+    publish(spark, path, lambda aside: build().write.parquet(aside))
     return spark.read.parquet(path)
 
 
