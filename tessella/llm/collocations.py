@@ -102,6 +102,12 @@ def shards_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, SHARDS)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one after the other: a batch of large values never stands in memory twice."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+
+
 class Filter:
     """Hashes, each a bit of a table of bounded size."""
 
@@ -252,7 +258,7 @@ def frequent(shards: DataFrame, length: int, least: int, filters: list[Filter])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 shard = Shard(row, filters)
                 ends, count = Automaton(shard.codes, shard.reach, length).phrases(length)
                 h = shard.hashes(ends, length)
@@ -303,7 +309,7 @@ def phrase_counts(shards: DataFrame, filters: list[Filter], longest: int, least:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 shard = Shard(row, filters)
                 automaton = Automaton(shard.codes, shard.reach, longest)
                 out: dict[int, tuple[list[str], list[np.ndarray]]] = {}
@@ -328,7 +334,7 @@ def phrase_counts(shards: DataFrame, filters: list[Filter], longest: int, least:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, dict[str, int]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 mine = found.setdefault(row["lang"], {})
                 for phrase, n in zip(row["phrases"].split("\n"), np.frombuffer(row["counts"], np.uint32).tolist(), strict=True):
                     mine[phrase] = mine.get(phrase, 0) + n
