@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
+from ..sources.stage import written
 
 HARD_KEYS = ("product_type", "colour_group", "graphical_appearance")
 ALLOWED_KEYS = ("product_type", "colour_group", "graphical_appearance", "occasion", "seasonality")
@@ -70,8 +71,40 @@ def drop_contradictions(must_not: Column, must: Column) -> Column:
 
 def unless_empty(rows: DataFrame, keep: Column, by: str | None = None) -> DataFrame:
     """The rows that pass, or all of a group's rows where none does."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return rows.withColumn("__n", F.count_if(keep).over(w)).where(keep | (F.col("__n") == 0)).drop("__n")
+    if by:
+        return rows.withColumn("__n", F.count_if(keep).over(Window.partitionBy(by))).where(keep | (F.col("__n") == 0)).drop("__n")
+    n = rows.agg(F.count_if(keep).alias("__n"))
+    return rows.crossJoin(F.broadcast(n)).where(keep | (F.col("__n") == 0)).drop("__n")
+
+
+def first_values(filters: Column) -> Column:
+    """A map of lists as one of single values: the first that is not blank; keys without one go."""
+    first = F.transform_values(filters, lambda k, v: F.get(all_non_blank(v), F.lit(0)))
+    return F.map_filter(first, lambda k, v: v.isNotNull())
+
+
+def all_non_blank(values: Column) -> Column:
+    """The values of a list that are not blank, trimmed, each once."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+
+
+def cascade(asked: DataFrame, items: DataFrame, tiers: Sequence[tuple[Sequence[str], Column]], limit: int, *, by: str = "query", item: str = "id", score: str = "score") -> DataFrame:
+    """(by, item, score, tier, rank): the limit best items of the first tier that has any for a query; a query is not its own hit.
+
+    A tier is (columns in which item and query agree, a test of the item). Of each combination of the columns only the
+    limit + 1 best items meet a query, and only queries that the tiers before have left go to the next.
+    """
+    out, rest = None, asked
+    for number, (keys, test) in enumerate(tiers, 1):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), item))
+        top = items.where(test).withColumn("__r", place).where(F.col("__r") <= limit + 1).select(*keys, item, score)
+        found = rest.select(by, *keys).join(top, list(keys)).where(F.col(by) != F.col(item))
+        order = Window.partitionBy(by).orderBy(F.desc(score), item)
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        found = written(found.select(by, item, score, F.lit(number).alias("tier"), "rank"), "tier")
+        rest = rest.join(found.select(by).distinct(), by, "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def relax(candidates: DataFrame, tiers: Sequence[Column], limit: int, *, by: str = "query", item: str = "id") -> DataFrame:

@@ -45,6 +45,9 @@ def npmi(n_ab: Column, n_a: Column, n_b: Column, total: Column) -> Column:
 
 def edges(found: DataFrame, *, method: str = "npmi", min_count: int = 3, threshold: float = 0.0, scale: float = 1000.0) -> DataFrame:
     """(item_a, item_b, n, weight): counts, or NPMI of at least the threshold times scale."""
+    if method != "cobuy":
+        # read three times
+        found = written(found, "baskets")
     pairs = pair_counts(found).where(F.col("n") >= min_count)
     if method == "cobuy":
         return pairs.withColumn("weight", F.col("n").cast("double"))
@@ -209,6 +212,22 @@ def profile(found: DataFrame) -> DataFrame:
     return one.agg(F.count("*").alias("edges"), F.round(F.avg("weight"), 6).alias("mean_weight")).crossJoin(F.broadcast(d))
 
 
+def report(adj: DataFrame, meta: DataFrame, key: str, fields: list[str], fractions: list[float]) -> DataFrame:
+    """(name, q, value) of a directed adjacency: sizes, share of nodes that meta knows, edges within a value of each field,
+    and least, greatest, mean and nearest-rank quantiles of degrees and weights. A blank value is within nothing."""
+    adj = written(adj.select("item_a", "item_b", "weight"), "adjacency")
+    deg = written(adj.groupBy(F.col("item_a").alias("item")).agg(F.count("*").cast("double").alias("degree")), "degrees")
+    sides = [meta.select(F.col(key).alias(f"item_{e}"), *[F.col(f).cast("string").alias(f"{f}_{e}") for f in fields]) for e in "ab"]
+    x = adj.join(sides[0], "item_a", "left").join(sides[1], "item_b", "left")
+    within = [F.avg((F.coalesce(F.col(f"{f}_a") != "", F.lit(False)) & F.coalesce(F.col(f"{f}_a") == F.col(f"{f}_b"), F.lit(False))).cast("double")).alias(f"within {f}") for f in fields]
+    one = x.agg(F.count("*").cast("double").alias("directed edges"), F.count_if(F.col("item_a") < F.col("item_b")).cast("double").alias("edges"), *within, *[f("weight").cast("double").alias(f"{n} weight") for n, f in (("least", F.min), ("greatest", F.max), ("mean", F.avg))])
+    nodes = deg.join(meta.select(F.col(key).alias("item"), F.lit(1.0).alias("known")).distinct(), "item", "left")
+    two = nodes.agg(F.count("*").cast("double").alias("nodes"), F.sum("known").alias("known nodes"), F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage"), *[f("degree").alias(f"{n} degree") for n, f in (("least", F.min), ("greatest", F.max), ("mean", F.avg))])
+    flat = lambda d: d.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in d.columns]))).alias("name", "value")).select("name", F.lit(None).cast("double").alias("q"), "value")
+    quant = [nearest_rank(d, c, fractions).select(F.lit(c).alias("name"), "q", F.col(c).cast("double").alias("value")) for d, c in ((deg, "degree"), (adj, "weight"))]
+    return flat(one).unionByName(flat(two)).unionByName(quant[0]).unionByName(quant[1])
+
+
 def mean_of_neighbors(adj: DataFrame, vectors: DataFrame, key: str, vector_col: str) -> DataFrame:
     """(item, i, x): the mean of an item's own vector and its neighbours', by dimension."""
     own = vectors.select(F.col(key).alias("item"), F.col(key).alias("source"))

@@ -171,6 +171,7 @@ def sections_conflict(a: Column, b: Column, sport: Sequence[str], formal: Sequen
 
 
 #: The rules that each mode asks for, by the names of a rule table.
+# The rules that each mode of the content filter asks for.
 MODES: Mapping[str, tuple[str, ...]] = {
     "none": (),
     "minimal": ("wanted", "index"),

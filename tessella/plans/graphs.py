@@ -115,6 +115,28 @@ def graph_profile(spark, sf_dir):
     return graph.profile(cobuy(spark, sf_dir))
 
 
+_FRACTIONS = [0.5, 0.75, 0.9, 0.99]
+
+
+@query(f"""WITH {BASKETS}, {CATALOGUE}, {_ADJ}, d AS (SELECT item_a AS item, count(*)::DOUBLE AS degree FROM adj GROUP BY 1), w AS (SELECT adj.*, a.product_type AS ta, b.product_type AS tb, a.product_group AS ga, b.product_group AS gb, a.colour AS ca, b.colour AS cb FROM adj LEFT JOIN cat a ON a.item = item_a LEFT JOIN cat b ON b.item = item_b),
+o AS (SELECT count(*)::DOUBLE AS "directed edges", count(CASE WHEN item_a < item_b THEN 1 END)::DOUBLE AS edges, avg(CASE WHEN ta <> '' AND ta = tb THEN 1.0 ELSE 0 END) AS "within product_type", avg(CASE WHEN ga <> '' AND ga = gb THEN 1.0 ELSE 0 END) AS "within product_group", avg(CASE WHEN ca <> '' AND ca = cb THEN 1.0 ELSE 0 END) AS "within colour", min(weight) AS "least weight", max(weight) AS "greatest weight", avg(weight) AS "mean weight" FROM w),
+t AS (SELECT count(*)::DOUBLE AS nodes, count(cat.item)::DOUBLE AS "known nodes", count(cat.item) / count(*) AS coverage, min(degree) AS "least degree", max(degree) AS "greatest degree", avg(degree) AS "mean degree" FROM d LEFT JOIN cat USING (item)),
+q(q) AS (VALUES {', '.join(f'({f}::DOUBLE)' for f in _FRACTIONS)}), r AS (SELECT 'degree' AS name, degree AS v, row_number() OVER (ORDER BY degree) - 1 AS r, count(*) OVER () AS n FROM d UNION ALL SELECT 'weight', weight, row_number() OVER (ORDER BY weight) - 1, count(*) OVER () FROM adj)
+SELECT name, NULL::DOUBLE AS q, round(value, 6) AS value FROM (UNPIVOT o ON COLUMNS(*) INTO NAME name VALUE value) UNION ALL SELECT name, NULL, round(value, 6) FROM (UNPIVOT t ON COLUMNS(*) INTO NAME name VALUE value)
+UNION ALL SELECT name, q, round(v, 6) FROM r, q WHERE r = least(CAST(floor(q * n) AS BIGINT), n - 1)""")
+def graph_report(spark, sf_dir):
+    """The whole profile of the co-buy graph: sizes, coverage, edges within a type, group and colour, quantiles."""
+    found = graph.report(graph.adjacency(cobuy(spark, sf_dir)), catalogue(spark, sf_dir), "item", ["product_type", "product_group", "colour"], _FRACTIONS)
+    return found.select("name", "q", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {BASKETS}, e AS (SELECT item_a, item_b, round(CASE WHEN pc.n = total THEN 1.0 ELSE ln(pc.n / total / ((a.n / total) * (b.n / total))) / -ln(pc.n / total) END, 9) AS v FROM pc JOIN ic a ON item_a = a.item JOIN ic b ON item_b = b.item, nb WHERE pc.n >= 2 AND pc.n < total) SELECT item, count(*) AS n, round(max(v * 1000), 6) AS best FROM (SELECT item_a AS item, v FROM e WHERE v > 0 UNION ALL SELECT item_b, v FROM e WHERE v > 0) GROUP BY 1")
+def positive_neighbors(spark, sf_dir):
+    """Neighbours of positive association alone; the graph has edges below as well."""
+    adj = graph.adjacency(graph.edges(baskets(spark, sf_dir), min_count=2, threshold=-1.0), positive_only=True)
+    return adj.groupBy(F.col("item_a").alias("item")).agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("best"))
+
+
 @query("""WITH s AS (SELECT l_quantity AS v, row_number() OVER (ORDER BY l_quantity) - 1 AS r, count(*) OVER () AS n FROM lineitem), q(q) AS (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.9), (1.0))
 SELECT q, v AS l_quantity FROM s, q WHERE r = least(CAST(floor(q * n) AS BIGINT), n - 1)""")
 def graph_quantiles(spark, sf_dir):

@@ -169,12 +169,18 @@ def shoe_mentions(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(slot == "shoe", slot).otherwise("").alias("slot"))
 
 
-@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents) SELECT doc_id, 'COL' AS field, string_agg(token, ' ' ORDER BY pos) AS surface FROM w WHERE pos IN (1, 2) GROUP BY 1")
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), l AS (SELECT *, list_max([length(x) FOR x IN t]) AS most FROM w), p AS (SELECT doc_id, t, list_position([length(x) FOR x IN t], most) AS place FROM l)
+SELECT doc_id, 'LONG' AS field, array_to_string(list_slice(t, place, place + 1), ' ') AS surface FROM p WHERE place IS NOT NULL""")
 def bio_decode(spark, sf_dir):
-    """Tags laid over the words of every document; the first span of the field wins."""
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
-    m = F.pmod(F.col("pos") + 1, F.lit(5))
-    return nlu.bio_spans(rows.withColumn("tag", F.when(m == 1, "B-COL").when(m == 2, "I-COL").otherwise("O")), "doc_id")
+    """A span, the first longest word with the next one, laid as tags over the words of every whole document and read back."""
+    docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", " ").alias("t"))
+    size = F.transform("t", lambda x: F.length(x))
+    # found once for a document, before its words become rows
+    docs = docs.select("doc_id", "t", F.array_position(size, F.array_max(size)).alias("at"))
+    rows = docs.select("doc_id", "at", F.posexplode("t").alias("pos", "token"))
+    at = F.col("pos") + 1 - F.col("at")
+    tagged = rows.select("doc_id", "pos", "token", F.when(at == 0, "B-LONG").when(at == 1, "I-LONG").otherwise("O").alias("tag"))
+    return nlu.bio_spans(tagged, "doc_id")
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_user_turn FROM conversations")

@@ -10,7 +10,7 @@ from ..functions import vectors as V
 from ..operators import dense, filters, fusion, sparse
 from ..sources.stage import written
 from ..sources.tables import read_table
-from .base import CATALOGUE, POSTINGS, benchmark_terms, bm25_scores, catalogue, doc_postings, query, ranked_sql, text_scores, tfidf_scores
+from .base import CATALOGUE, GRADES, POSTINGS, benchmark_terms, bm25_scores, catalogue, doc_postings, grades, query, ranked_sql, text_scores, tfidf_scores
 
 _HYBRID = f"""WITH {POSTINGS}, a AS {ranked_sql("bms", 40)}, b AS {ranked_sql("tfs", 40)},
 u AS (SELECT query, doc, round(sum(1.0 / (2 + rank)), 9) AS score FROM (SELECT query, doc, rank FROM a UNION ALL SELECT query, doc, rank FROM b) GROUP BY 1, 2)
@@ -223,6 +223,56 @@ def rerank_overlap(spark, sf_dir):
     return fusion.rerank(rows, fusion.overlap_score(TX.words_alnum("qt"), TX.words_alnum("dt")), 10).select("query", "doc", "rank", F.round("rescore", 6).alias("rescore"), "new_rank")
 
 
+_METHODS = f"""{POSTINGS}, {GRADES}, {_EMB}, near AS (SELECT item_id AS query, b.vec_id AS doc, round(list_dot_product(a.v, b.v), 9) AS score FROM benchmark JOIN e a ON a.vec_id = item_id, e b WHERE b.vec_id IN (SELECT doc_id FROM documents)),
+d0 AS {ranked_sql("near", 50)}, s0 AS {ranked_sql("bms", 50)}, rf AS (SELECT query, doc, round(sum(1.0 / (60 + rank)), 9) AS score FROM (FROM d0 UNION ALL FROM s0) GROUP BY 1, 2), r0 AS {ranked_sql("rf", 50)},
+mm AS (SELECT query, doc, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE max(score) OVER w - min(score) OVER w END AS part FROM (SELECT *, 1 AS m FROM d0 UNION ALL SELECT *, 2 FROM s0) WINDOW w AS (PARTITION BY query, m)),
+cv AS (SELECT query, doc, round(sum(0.5 * part), 9) AS score FROM mm GROUP BY 1, 2), c0 AS {ranked_sql("cv", 50)},
+al AS (SELECT 'dense' AS method, query, doc, rank FROM d0 UNION ALL SELECT 'sparse', query, doc, rank FROM s0 UNION ALL SELECT 'rrf', query, doc, rank FROM r0 UNION ALL SELECT 'convex', query, doc, rank FROM c0),
+nq AS (SELECT query, count(*) AS nq FROM qt GROUP BY 1), ov AS (SELECT query, doc, count(*) AS common FROM qt JOIN post USING (term) GROUP BY 1, 2),
+rr AS (SELECT al.*, row_number() OVER (PARTITION BY method, al.query ORDER BY coalesce(common, 0) / greatest(coalesce(nq, 0), 1) DESC, rank, al.doc) AS new_rank FROM al LEFT JOIN nq ON nq.query = al.query LEFT JOIN ov ON ov.query = al.query AND ov.doc = al.doc),
+bl AS (SELECT *, row_number() OVER (PARTITION BY method, query ORDER BY round(1.0 / (59 + rank) + 1.0 / (59 + new_rank), 12) DESC, rank, doc) AS mixed FROM rr),
+st AS (SELECT method, 'before' AS stage, query, doc, rank AS r FROM bl UNION ALL SELECT method, 'after', query, doc, new_rank FROM bl UNION ALL SELECT method, 'blend', query, doc, mixed FROM bl)"""
+
+
+@query(f"WITH {_METHODS} SELECT method, stage, count(DISTINCT query) AS queries, round(sum((2 ** coalesce(grade, 0) - 1) / log2(r + 1)) / count(DISTINCT query), 5) AS dcg, round(count(CASE WHEN grade >= 1 THEN 1 END) / (10 * count(DISTINCT query)), 6) AS p1, round(count(CASE WHEN grade = 2 THEN 1 END) / (10 * count(DISTINCT query)), 6) AS p2 FROM st LEFT JOIN gr USING (doc) WHERE r <= 10 GROUP BY 1, 2")
+def rerank_ablation(spark, sf_dir):
+    """Dense, sparse and two ways to fuse them, each before and after a re-rank, and with both orders blended."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("dt"))
+    bench = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("qt"))
+    items = e.join(docs.select(F.col("doc").alias("vec_id")), "vec_id", "left_semi")
+    asked = e.withColumnRenamed("vec_id", "query").join(bench.select("query"), "query", "left_semi")
+    dense_ = dense.knn(items, asked, 50, id_col="vec_id", vector_col="embedding").select("query", F.col("id").alias("doc"), "score", "rank")
+    lists = {"dense": written(dense_, "dense"), "sparse": written(sparse.top_k(bm25_scores(spark, sf_dir), 50).select("query", "doc", "score", "rank"), "sparse")}
+    both = lists["dense"].withColumn("branch", F.lit("dense")).unionByName(lists["sparse"].withColumn("branch", F.lit("sparse")))
+    lists |= {"rrf": fusion.rrf(both, 50, k=60, base=1), "convex": fusion.convex(both, {"dense": 0.5, "sparse": 0.5}, 50)}
+    rows = None
+    for method, found in lists.items():
+        part = found.select("query", "doc", "rank", F.lit(method).alias("method"))
+        rows = part if rows is None else rows.unionByName(part)
+    # a pair is scored once, whatever lists it is in
+    pairs = rows.select("query", "doc").distinct().join(docs, "doc").join(bench, "query")
+    scored = pairs.select("query", "doc", fusion.overlap_score(TX.words_alnum("qt"), TX.words_alnum("dt")).alias("rescore"))
+    keyed = rows.join(written(scored, "rescored"), ["query", "doc"]).select(F.struct("method", "query").alias("query"), "doc", "rank", F.col("rescore").alias("s"))
+    after = written(fusion.rerank(keyed, F.col("s"), 50).select("query", "doc", "rank", "new_rank"), "reranked")
+    mixed = fusion.blend(after, None).select("query", "doc", F.lit("blend").alias("stage"), F.col("rank").alias("r"))
+    stages = after.select("query", "doc", F.explode(F.create_map(F.lit("before"), "rank", F.lit("after"), "new_rank")).alias("stage", "r")).unionByName(mixed)
+    g = stages.where("r <= 10").join(grades(spark, sf_dir), "doc", "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    n = F.countDistinct("query.query")
+    dcg = F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("r") + 1))
+    shares = [F.round(F.count_if(F.col("grade") >= least) / (10 * n), 6).alias(f"p{least}") for least in (1, 2)]
+    return g.groupBy(F.col("query.method").alias("method"), "stage").agg(n.alias("queries"), F.round(dcg / n, 5).alias("dcg"), *shares)
+
+
+@query(f"WITH {CATALOGUE} SELECT product_group AS grp, count(*) AS n, min(colour) AS colour, min(CASE WHEN size > 10 THEN garment END) AS garment, coalesce(string_agg(DISTINCT garment, '|' ORDER BY garment) FILTER (size > 10), '') AS garments FROM cat GROUP BY 1")
+def hard_filter_lists(spark, sf_dir):
+    """Filters with lists of values: the first that is not blank, and all that are not."""
+    m = F.create_map(F.lit("colour"), F.sort_array(F.collect_set("colour")), F.lit("garment"), F.sort_array(F.collect_list(F.when(F.col("size") > 10, F.col("garment")).otherwise(" "))))
+    x = catalogue(spark, sf_dir).groupBy(F.col("product_group").alias("grp")).agg(F.count("*").alias("n"), m.alias("m"))
+    first = filters.first_values(F.col("m"))
+    return x.select("grp", "n", first["colour"].alias("colour"), F.try_element_at(first, F.lit("garment")).alias("garment"), F.array_join(filters.all_non_blank(F.col("m")["garment"]), "|").alias("garments"))
+
+
 def _filtered(sql_where: str):
     return f"WITH {CATALOGUE} SELECT item, name FROM cat WHERE {sql_where}"
 
@@ -271,11 +321,10 @@ SELECT query, id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY que
 def relaxation_cascade(spark, sf_dir):
     """The tightest of three filter tiers that has any item for a query."""
     cat = catalogue(spark, sf_dir)
-    asked = cat.where("item % 20 = 0").select(F.col("item").alias("query"), F.col("product_type").alias("t"), F.col("colour").alias("c"), F.col("size").alias("s"))
-    rows = asked.join(cat, F.col("product_type") == F.col("t")).where("item <> query").withColumn("id", F.col("item")).withColumn("score", F.col("price"))
-    same = F.col("colour") == F.col("c")
-    t1, t2, t3 = same & (F.col("size") == F.col("s")), same & (F.col("size") > 45), F.col("size") > 40
-    return filters.relax(rows, [t1, t2 & ~t1, t3 & ~t2 & ~t1], 5).select("query", "id", "tier", "rank")
+    asked = cat.where("item % 20 = 0").withColumnRenamed("item", "query")
+    items = cat.withColumnsRenamed({"item": "id", "price": "score"})
+    tiers = [(["product_type", "colour", "size"], F.lit(True)), (["product_type", "colour"], F.col("size") > 45), (["product_type"], F.col("size") > 40)]
+    return filters.cascade(asked, items, tiers, 5).select("query", "id", "tier", "rank")
 
 
 @query(f"WITH {CATALOGUE} SELECT item, CASE WHEN colour = 'old' THEN 1 ELSE 2 END AS n_hard FROM cat")

@@ -13,7 +13,8 @@ from ..sources.stage import written
 from ..sources.tables import read_table
 from .base import BASKETS, CATALOGUE, POSTINGS, PURCHASES, baskets, catalogue, cobuy, doc_postings, purchases, query, ranked_sql, search_index, text_scores
 from .evaluation import _EVAL, _FIELDS, _ranked, _truth, draws_sql
-from .graphs import _ADJ, _NPMI, _SIDES, _TOP5, _TWINS, _WALK, _p3, _pairs, _twins
+from .graphs import _ADJ, _NPMI, _R, _SIDES, _TOP5, _TWINS, _WALK, _p3, _pairs, _twins
+from .graphs import _rules as graph_rules
 from .search import _EMB, _knn
 
 _C = F.col
@@ -334,6 +335,27 @@ def rule_flags(spark, sf_dir):
     return _pairs(spark, sf_dir).select("item_a", "item_b", r["wanted"].alias("wanted"), r["index"].alias("same_index"), strict.alias("strict_index"), r["style"].alias("style"), r["season"].alias("season"), r["section"].alias("section"), rules.content_filter(r, "minimal").alias("minimal"))
 
 
+_STYLE = "substr(lpad(CAST(item_a AS VARCHAR), 10, '0'), 1, 9) <> substr(lpad(CAST(item_b AS VARCHAR), 10, '0'), 1, 9)"
+_MODE_SQL = {
+    "wanted": "NOT (gra IN ('anvil', 'gizmo') OR grb IN ('anvil', 'gizmo'))", "index": "(ga = '' OR gb = '' OR ga = gb)", "style": f"({_STYLE})", "strict_type": "ta <> tb",
+    "season": f"NOT (({_any(rules.WINTER, 'ca')} AND {_any(rules.SUMMER, 'cb')}) OR ({_any(rules.SUMMER, 'ca')} AND {_any(rules.WINTER, 'cb')}))",
+    "section": "NOT ((ta = 'PROMO' AND tb = 'ECONOMY') OR (ta = 'ECONOMY' AND tb = 'PROMO'))",
+} | _R
+
+
+@query(f"WITH {BASKETS}, {CATALOGUE}, {_SIDES} " + " UNION ALL ".join(f"SELECT '{mode}' AS mode, count(*) AS kept, sum(weight) AS weight FROM pp WHERE " + (" AND ".join(f"({_MODE_SQL[r]})" for r in needs) or "true") for mode, needs in rules.MODES.items()))
+def filter_modes(spark, sf_dir):
+    """How many edges, and what weight, each of the five modes of the content filter keeps, in one pass."""
+    c = _C
+    own = lambda x: F.substring(F.lpad(c(x).cast("string"), 10, "0"), 1, 9)
+    flags = graph_rules() | {
+        "wanted": rules.wanted_groups(c("garment_a"), c("garment_b"), _UNWANTED), "index": rules.same_index(c("product_group_a"), c("product_group_b")), "style": own("item_a") != own("item_b"),
+        "season": rules.seasons_compatible(c("colour_a"), c("colour_b")), "section": ~rules.sections_conflict(c("product_type_a"), c("product_type_b"), ["PROMO"], ["ECONOMY"]), "strict_type": c("product_type_a") != c("product_type_b"),
+    }
+    modes = F.array(*[F.when(rules.content_filter(flags, m), F.lit(m)) for m in rules.MODES])
+    return _pairs(spark, sf_dir).select("weight", F.explode(F.array_compact(modes)).alias("mode")).groupBy("mode").agg(F.count("*").alias("kept"), F.sum("weight").alias("weight"))
+
+
 @query(f"""WITH {BASKETS}, {CATALOGUE}, {_ADJ}, s AS (SELECT item, product_type, CASE WHEN colour = 'hot' THEN 'Spring/Summer' WHEN colour = 'cold' THEN 'Autumn/Winter' ELSE '' END AS season FROM cat),
 j AS (SELECT item_a, item_b, weight, b.product_type, row_number() OVER (PARTITION BY item_a, b.product_type ORDER BY weight DESC, item_b) AS r FROM adj JOIN s a ON item_a = a.item JOIN s b ON item_b = b.item WHERE NOT ((a.season = 'Spring/Summer' AND b.season = 'Autumn/Winter') OR (a.season = 'Autumn/Winter' AND b.season = 'Spring/Summer')))
 SELECT item_a, item_b, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY weight DESC, item_b) AS rank FROM j WHERE r <= 2) WHERE rank <= 8""")
@@ -488,10 +510,11 @@ def cold_tiers(spark, sf_dir):
 # evaluation
 
 
-@query(f"WITH {_EVAL}, f AS (SELECT query, min(rank) AS r FROM jj WHERE hit = 1 GROUP BY 1), rr AS (SELECT query, coalesce(1.0 / r, 0) AS rr FROM nt LEFT JOIN f USING (query)), g AS (SELECT CASE WHEN query % 3 = 0 THEN 'cold' ELSE 'warm' END AS grp, rr FROM rr UNION ALL SELECT 'overall', rr FROM rr) SELECT grp, count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN rr >= 0.2 THEN 1.0 ELSE 0 END), 6) AS hit_at_5 FROM g GROUP BY 1")
+@query(f"WITH {_EVAL}, {BASKETS}, f AS (SELECT query, min(rank) AS r FROM jj WHERE hit = 1 GROUP BY 1), rr AS (SELECT query, coalesce(1.0 / r, 0) AS rr FROM nt LEFT JOIN f USING (query)), g AS (SELECT CASE WHEN query IN (SELECT item_a FROM cobuy UNION SELECT item_b FROM cobuy) THEN 'warm' ELSE 'cold' END AS grp, rr FROM rr UNION ALL SELECT 'overall', rr FROM rr) SELECT grp, count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN rr >= 0.2 THEN 1.0 ELSE 0 END), 6) AS hit_at_5 FROM g GROUP BY 1")
 def mrr_by_group(spark, sf_dir):
-    """Reciprocal ranks of warm and cold queries, and of all."""
-    rr = metrics.reciprocal_rank(_ranked(spark, sf_dir), _truth(spark, sf_dir)).withColumn("grp", F.when(_C("query") % 3 == 0, "cold").otherwise("warm"))
+    """Reciprocal ranks of warm queries, whose item is in the co-buy graph, of cold ones, and of all."""
+    warm = graph.endpoints(cobuy(spark, sf_dir)).select(_C("item").alias("query"), F.lit("warm").alias("grp"))
+    rr = metrics.reciprocal_rank(_ranked(spark, sf_dir), _truth(spark, sf_dir)).join(warm, "query", "left").fillna("cold", ["grp"])
     return metrics.with_overall(rr, "grp").groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg((_C("rr") >= 0.2).cast("double")), 6).alias("hit_at_5"))
 
 
