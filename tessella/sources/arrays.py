@@ -271,3 +271,5 @@ def register(spark) -> None:
     """Make formats array and log known to the session."""
     spark.dataSource.register(ArraySource)
     spark.dataSource.register(LogSource)
+    # formats are looked up in the thread's active session, which this makes the given one
+    spark.createDataFrame([], "x int")

@@ -129,6 +129,8 @@ def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[],
         return spark.read.parquet(path)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({bucket_by}) SORTED BY ({bucket_by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    # the files may have been built anew since the session saw them
+    spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
