@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import filters, nlu, sessions
+from ..sources.stage import written
 from ..sources.tables import read_table
 from ..streaming import events as EV
 from .base import CATALOGUE, catalogue, query
@@ -54,7 +55,8 @@ def _lexicon(spark, sf_dir):
     """Types, colours and garments of the catalogue."""
     cat = catalogue(spark, sf_dir)
     fields = F.create_map(F.lit("colour_group"), F.col("colour"), F.lit("garment"), F.col("garment"), F.lit("product_type"), F.col("product_type"))
-    return nlu.lexicon_of(cat.select(F.explode(fields).alias("field", "value")).distinct())
+    # written, so that the optimiser knows how small it is before the words of all requests are shuffled
+    return written(nlu.lexicon_of(cat.select(F.explode(fields).alias("field", "value")).distinct()), "lexicon")
 
 
 def _attributes(spark, sf_dir, negative=False):
