@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from tessella.operators import nlu
+from tessella.operators import metrics, nlu
 from tessella.plans import ORACLES, QUERIES
 from tessella.plans.base import text_scores
 
@@ -39,3 +39,19 @@ def test_counts_beyond_the_sketches(spark, tmp_path):
         want = con.execute(ORACLES[name]).df()
         got = QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
         assert len(want) and sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_exploded_rows_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """Draws and steps are many times what the optimiser takes them for; they meet the pool by a shuffle."""
+    plans, written = [], metrics.written
+
+    def seen(df, name, **options):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return written(df, name, **options)
+
+    monkeypatch.setattr(metrics, "written", seen)
+    a = spark.range(2000).select(F.col("id").alias("anchor"), (F.col("id") % 2).alias("slot"))
+    metrics.draw_negatives(a, a.withColumnRenamed("anchor", "candidate"), on=["slot"], k=5)
+    drawn = [p for name, p in plans if name == "drawn"]
+    assert drawn and all("BroadcastHashJoin" not in p for p in drawn)
+    assert "BroadcastHashJoin" not in QUERIES["tie_rank"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
