@@ -157,3 +157,8 @@ def test_places_in_a_grid(spark, tmp_path):
     want = con.execute(ORACLES["bm25_grid"]).df()
     got = QUERIES["bm25_grid"](spark, str(tmp_path)).toPandas()[list(want.columns)]
     assert len(want) == 16 and sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_queries_that_share_the_walk(spark, sf_dir):
+    """cold_edges takes the walk's rows as its tasks sum them; no join by the user makes pairs of items."""
+    assert "FlatMapGroupsInArrow" in optimized(QUERIES["cold_edges"](spark, sf_dir))
