@@ -162,3 +162,12 @@ def test_places_in_a_grid(spark, tmp_path):
 def test_queries_that_share_the_walk(spark, sf_dir):
     """cold_edges takes the walk's rows as its tasks sum them; no join by the user makes pairs of items."""
     assert "FlatMapGroupsInArrow" in optimized(QUERIES["cold_edges"](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["complements"])
+def test_queries_that_share_the_blocks(spark, sf_dir, monkeypatch, name):
+    """The neighbours of these queries are dealt by _deal(), as floats."""
+    seen, deal = [], dense._deal
+    monkeypatch.setattr(dense, "_deal", lambda items, asked, k, tasks: seen.append((items, asked)) or deal(items, asked, k, tasks))
+    QUERIES[name](spark, sf_dir)
+    assert seen and all(size <= n * 64 * 4 for pair in seen for n, size in pair)
