@@ -164,7 +164,7 @@ def test_queries_that_share_the_walk(spark, sf_dir):
     assert "FlatMapGroupsInArrow" in optimized(QUERIES["cold_edges"](spark, sf_dir))
 
 
-@pytest.mark.parametrize("name", ["complements", "similar_other_type"])
+@pytest.mark.parametrize("name", ["complements", "similar_other_type", "cold_tiers"])
 def test_queries_that_share_the_blocks(spark, sf_dir, monkeypatch, name):
     """The neighbours of these queries are dealt by _deal(), as floats."""
     seen, deal = [], dense._deal
