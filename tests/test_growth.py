@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from hashlib import md5
 
 import duckdb
 import pytest
@@ -234,3 +235,36 @@ def test_blocks_of_complements_at_six_times_the_rows(k, label):
         return (across * (size + label + k * dense.HIT_BYTES) + down * (size + label)) * n
 
     assert sent(600_000) <= 6 * sent(100_000)
+
+
+def _drawn(anchor, pool, k, positive):
+    """The negatives of one anchor from a group, in plain Python: draws if the group is large, else the whole group by hash."""
+    digest = lambda x: md5(f"{anchor}|{x}|42".encode()).hexdigest()
+    pool, left_out = sorted(pool), {anchor, positive}
+    if len(pool) <= metrics.LISTED * k:
+        return sorted((c for c in pool if c not in left_out), key=digest)[:k]
+    draws = [pool[int(digest(j)[:15], 16) % len(pool)] for j in range(1, metrics.ROUNDS * metrics.DRAWN * k + 1)]
+    return [c for c in dict.fromkeys(draws) if c not in left_out][:k]
+
+
+@pytest.mark.parametrize(("kind", "groups"), [("string", 3)])
+def test_draws_do_not_travel(spark, monkeypatch, kind, groups):
+    """Draws are looked up where they are made: anchors and pools are shuffled, not draws. Cells of a group give what plain Python gives."""
+    monkeypatch.setattr(metrics, "CELL_ANCHORS", 16)
+    monkeypatch.setattr(metrics, "CHUNK_IDS", 8)
+    key = str if kind == "string" else int
+    rows = [(key(i), i % groups if i < 450 else groups) for i in range(460)]
+    pool = spark.createDataFrame(rows, f"candidate {kind}, slot int")
+    anchors = spark.createDataFrame([*rows, (key(1000), 0), (key(1001), None), (key(1002), 77)], f"anchor {kind}, slot int")
+    positives = spark.createDataFrame([(key(i), key(i + groups)) for i in range(460)], f"anchor {kind}, candidate {kind}")
+    found = metrics.draw_negatives(anchors, pool, positives, on=["slot"] if groups > 1 else [], k=10)
+    above, _, below = optimized(found).partition("MapInArrow")
+    assert below and not any(x in above for x in ("Join", "Window", "Aggregate")) and "Generate sequence" not in below and "Generate explode(sequence(1" not in below
+    want = {}
+    for a, g in [*rows, (key(1000), 0)] if groups > 1 else [*rows, *[(key(i), None) for i in (1000, 1001, 1002)]]:
+        mine = [c for c, h in rows if groups == 1 or h == g]
+        want[a] = _drawn(a, mine, 10, key(int(a) + groups) if int(a) < 460 else None)
+    got = defaultdict(dict)
+    for r in found.collect():
+        got[r["anchor"]][r["r"]] = r["candidate"]
+    assert {a: [x for _, x in sorted(c.items())] for a, c in got.items()} == {a: c for a, c in want.items() if c}
