@@ -247,7 +247,7 @@ def _drawn(anchor, pool, k, positive):
     return [c for c in dict.fromkeys(draws) if c not in left_out][:k]
 
 
-@pytest.mark.parametrize(("kind", "groups"), [("string", 3), ("long", 1)])
+@pytest.mark.parametrize(("kind", "groups"), [("string", 3), ("long", 1), ("long", 5)])
 def test_draws_do_not_travel(spark, monkeypatch, kind, groups):
     """Draws are looked up where they are made: anchors and pools are shuffled, not draws. Cells of a group give what plain Python gives."""
     monkeypatch.setattr(metrics, "CELL_ANCHORS", 16)
